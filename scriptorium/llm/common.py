@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,33 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def slices(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes together, so that arrays over them stay small; a row is never cut."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
+def where_kept(docs: DataFrame, columns: list[Column], decide: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, as they are, for which ``decide`` is true. It sees a batch of ``columns`` and returns an array.
+
+    The decision is taken where the row is, so nothing is joined or exchanged. Names of ``docs`` may clash or repeat.
+    """
+    n, k, schema = len(docs.columns), len(columns), docs.schema
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    named = docs.toDF(*[f"c{i}" for i in range(n)]) if len(set(docs.columns)) < n else docs
+    rows = named.select(*columns, *[F.col(f"`{c}`") for c in named.columns]).toDF(*[f"d{i}" for i in range(k)], *[f"c{i}" for i in range(n)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(decide(batch))
+            yield batch.select(range(k, k + n)).filter(keep)
+
+    return rows.mapInArrow(run, inner).toDF(*docs.columns)
+
+
 # --- hashing of words, vectorised over a whole Arrow column ---------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -104,10 +133,15 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A word is a run of letters and digits; the caller lower-cases. The hash is a polynomial over the word's bytes
     modulo 2**64, taken from prefix sums, so the cost is a few passes over the bytes.
     """
-    raw, offsets = utf8_bytes(column)
+    hashes, rows, starts, ends = words_in(*utf8_bytes(column))
+    return hashes, rows, ends - starts
+
+
+def words_in(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first byte, end) of every word of rows that are cut at ``offsets``; see ``word_hashes``."""
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     inside = _WORD[raw]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
@@ -142,4 +176,4 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             hashes[done:upto] = (sums[e] - sums[s]) * _INV[s]
             done = upto
         hashes += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(hashes), rows, ends - starts
+    return mix64(hashes), rows, starts, ends

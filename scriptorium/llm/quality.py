@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8_bytes, word_hashes
+from .common import slices, stored, text_or_empty, utf8_bytes, where_kept, word_hashes
 
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other_lower", "other_upper", "other")
 MARKS = ".,;:!?'\"()-"
@@ -99,50 +99,71 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return out
 
 
-def score(docs: DataFrame, refs: dict[str, dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char_js: float = MAX_CHAR_JS, char_slack: float = CHAR_SLACK, max_word_js: float = MAX_WORD_JS, word_slack: float = WORD_SLACK) -> DataFrame:
-    """(doc_id, body, char_js, word_js, n_words, kept) of every row, against references that were counted before."""
+Limits = tuple[int, int, float, float, float, float]
+LIMITS: Limits = (MIN_CHARS, MIN_WORDS, MAX_CHAR_JS, CHAR_SLACK, MAX_WORD_JS, WORD_SLACK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = {}
+
+class Judge:
+    """Distances of batches of texts to references that were counted before."""
+
+    def __init__(self, refs: dict[str, dict], limits: Limits = LIMITS):
+        self.refs, self.limits, self.coded = refs, limits, {}
         for name, r in refs.items():
             h = word_hashes(pa.array(r["words"], pa.string()))[0] if r["words"] else np.zeros(0, np.uint64)
             order = np.argsort(h)
             known = np.array(r["counts"], dtype=np.float64)
-            coded[name] = (h[order], np.append(known[order], r["total"] - known.sum()) if len(h) else np.zeros(1))
+            self.coded[name] = (h[order], np.append(known[order], r["total"] - known.sum()) if len(h) else np.zeros(1))
+
+    def __call__(self, texts: pa.Array, languages: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(character distance, word distance, words, kept) of each row."""
+        langs = languages.dictionary_encode()
+        n, at = len(texts), np.asarray(langs.indices)
+        chars = class_counts(texts)
+        size = chars.sum(axis=1)
+        char_js, word_js, n_words = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        low = pc.utf8_lower(texts)
+        for lo, hi in slices(np.asarray(pc.binary_length(texts))):
+            h, row, _ = word_hashes(low.slice(lo, hi - lo))
+            n_words[lo:hi] = np.bincount(row, minlength=hi - lo)
+            for i, name in enumerate(langs.dictionary.to_pylist()):
+                mine = np.flatnonzero(at[lo:hi] == i)
+                known, ref = self.coded.get(name, (np.zeros(0, np.uint64), np.zeros(1)))
+                if not len(mine):
+                    continue
+                k = len(known) + 1
+                place = np.full(hi - lo, -1)
+                place[mine] = np.arange(len(mine))
+                own = place[row] >= 0
+                hh = h[own]
+                which = np.searchsorted(known, hh)
+                hit = (which < len(known)) & (known[np.minimum(which, max(len(known) - 1, 0))] == hh) if len(known) else np.zeros(len(hh), bool)
+                counts = np.bincount(place[row[own]] * k + np.where(hit, which, k - 1), minlength=len(mine) * k).reshape(-1, k)
+                word_js[lo + mine] = js_distance(counts.astype(np.float64), ref)
+                char_js[lo + mine] = js_distance(chars[lo + mine].astype(np.float64), self.refs[name]["classes"] if name in self.refs else np.zeros(len(CLASSES)))
+        min_chars, min_words, max_char, char_slack, max_word, word_slack = self.limits
+        bad = (size >= min_chars) & (char_js > max_char + char_slack / np.sqrt(np.maximum(size, 1))) | (n_words >= min_words) & (word_js > max_word + word_slack / np.sqrt(np.maximum(n_words, 1)))
+        return char_js, word_js, n_words, ~bad
+
+
+def _limits(given: dict[str, float]) -> Limits:
+    names = ("min_chars", "min_words", "max_char_js", "char_slack", "max_word_js", "word_slack")
+    if extra := set(given) - set(names):
+        raise TypeError(f"unknown limits: {sorted(extra)}")
+    return tuple(given.get(k, v) for k, v in zip(names, LIMITS))
+
+
+def score(docs: DataFrame, refs: dict[str, dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """(doc_id, char_js, word_js, n_words, kept) of every row, against references that were counted before."""
+    bounds = _limits(limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(refs, bounds)
         for batch in batches:
-            texts, langs = batch.column(2), batch.column(3).dictionary_encode()
-            n, at = len(texts), np.asarray(langs.indices)
-            chars = class_counts(texts)
-            size = chars.sum(axis=1)
-            char_js, word_js, n_words = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            low, length = pc.utf8_lower(texts), np.asarray(pc.binary_length(texts))
-            lo = 0
-            while lo < n:
-                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(length[lo:]), 1 << 22, side="right")))
-                h, row, _ = word_hashes(low.slice(lo, hi - lo))
-                n_words[lo:hi] = np.bincount(row, minlength=hi - lo)
-                for i, name in enumerate(langs.dictionary.to_pylist()):
-                    mine = np.flatnonzero(at[lo:hi] == i)
-                    known, ref = coded.get(name, (np.zeros(0, np.uint64), np.zeros(1)))
-                    if not len(mine):
-                        continue
-                    k = len(known) + 1
-                    place = np.full(hi - lo, -1)
-                    place[mine] = np.arange(len(mine))
-                    own = place[row] >= 0
-                    hh = h[own]
-                    which = np.searchsorted(known, hh)
-                    hit = (which < len(known)) & (known[np.minimum(which, max(len(known) - 1, 0))] == hh) if len(known) else np.zeros(len(hh), bool)
-                    counts = np.bincount(place[row[own]] * k + np.where(hit, which, k - 1), minlength=len(mine) * k).reshape(-1, k)
-                    word_js[lo + mine] = js_distance(counts.astype(np.float64), ref)
-                    char_js[lo + mine] = js_distance(chars[lo + mine].astype(np.float64), refs[name]["classes"] if name in refs else np.zeros(len(CLASSES)))
-                lo = hi
-            bad = (size >= min_chars) & (char_js > max_char_js + char_slack / np.sqrt(np.maximum(size, 1))) | (n_words >= min_words) & (word_js > max_word_js + word_slack / np.sqrt(np.maximum(n_words, 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(char_js), pa.array(word_js), pa.array(n_words), pa.array(~bad)], names=["doc_id", "body", "char_js", "word_js", "n_words", "kept"])
+            char_js, word_js, n_words, kept = judge(batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(char_js), pa.array(word_js), pa.array(n_words), pa.array(kept)], names=["doc_id", "char_js", "word_js", "n_words", "kept"])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    return rows.mapInArrow(run, "doc_id long, body long, char_js double, word_js double, n_words long, kept boolean")
+    rows = docs.select(F.col(id_col).cast("long"), text_or_empty(text_col), text_or_empty(lang_col))
+    return rows.mapInArrow(run, "doc_id long, char_js double, word_js double, n_words long, kept boolean")
 
 
 def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
@@ -160,9 +181,13 @@ def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return scored.select("doc_id", "n_words", F.round("char_js", 6).alias("char_js"), F.round("word_js", 6).alias("word_js"), "kept")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
-    """The rows of ``docs`` that ``divergence`` keeps, columns as given."""
-    scored = score(docs, references(docs, text_col, lang_col), id_col, text_col, lang_col, **limits)
-    bad = scored.where(~F.col("kept")).select(F.col("doc_id").alias("__doc"), F.col("body").alias("__body")).distinct()
-    body = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (body == F.col("__body")), "left_anti")
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that ``divergence`` keeps, as they are. Each is judged where it is, without a join."""
+    refs, bounds, made = references(docs, text_col, lang_col), _limits(limits), []
+
+    def decide(batch: pa.RecordBatch) -> np.ndarray:
+        if not made:
+            made.append(Judge(refs, bounds))
+        return made[0](batch.column(0), batch.column(1))[3]
+
+    return where_kept(docs, [text_or_empty(text_col), text_or_empty(lang_col)], decide)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, sharding, simhash, warc
+from . import bpe, chat, embeddings, langid, linededup, packing, quality, sharding, simhash, warc
 from .common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,5 +45,18 @@ def op7_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_histogram_sort, op2_harmonic_packing, op3_simhash_near_dedup, op4_warc_normalise, op5_prefix_target, op6_distribution_divergence, op7_bpe_round_trip)}
+def op8_code_switch_language(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op9_patience_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.align(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_groups(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+_ALL = (op1_histogram_sort, op2_harmonic_packing, op3_simhash_near_dedup, op4_warc_normalise, op5_prefix_target, op6_distribution_divergence, op7_bpe_round_trip, op8_code_switch_language, op9_patience_line_dedup, op10_embedding_near_dedup)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op2_harmonic_packing": packing.SQL, "op5_prefix_target": chat.SQL}
