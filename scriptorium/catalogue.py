@@ -544,7 +544,7 @@ def _(s, d):
     return truecase.truecase(L(s, d), truecase.train_truecaser(L(s, d), KEY), KEY)
 
 
-@query("bpe_pair_counts", f"SELECT l AS left, r AS right, CAST(sum(count) AS BIGINT) AS count FROM (SELECT count, ss[i] AS l, ss[i + 1] AS r FROM (SELECT count, ss, unnest(range(1, len(ss))) AS i FROM (SELECT count, list_append(string_split(word, '')[1:-2], word[-1:] || '</w>') AS ss FROM {COUNTS_SQL}))) GROUP BY 1, 2")
+@query("bpe_pair_counts", f"SELECT l AS left, r AS right, CAST(sum(count) AS BIGINT) AS count FROM (SELECT count, ss[i] AS l, ss[i + 1] AS r FROM (SELECT count, ss, unnest(range(1, len(ss))) AS i FROM (SELECT count, list_append(string_split(word, ''), '</w>') AS ss FROM {COUNTS_SQL}))) GROUP BY 1, 2")
 def _(s, d):
     return bpe.pair_counts(counts.count_tokens(L(s, d)))
 

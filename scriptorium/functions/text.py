@@ -114,20 +114,24 @@ _ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 _LIGATURES = {ord(a): b for a, b in zip("ĲĳŉǄǅǆǇǈǉǊǋǌﬀﬁﬂﬃﬄﬅﬆ", ["IJ", "ij", "'n", "DŽ", "Dž", "dž", "LJ", "Lj", "lj", "NJ", "Nj", "nj", "ff", "fi", "fl", "ffi", "ffl", "st", "st"])}
 _QUOTES = {ord(c): "'" for c in "‘’‚‛"} | {ord(c): '"' for c in "“”„‟"}
 _CONTROL = {i: None for i in [*range(0, 9), 11, *range(14, 32), 127, 0xFEFF]}
-_MOJIBAKE = re.compile("[ÂÃÄÅÐÑâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_FOREIGN = re.compile("[^\x00-\x7f]+")
+
+
+def _repair(match: re.Match) -> str:
+    """A run of characters that is UTF-8 read as Windows-1252 or Latin-1, read anew; any other run as it is."""
+    for charset in ("cp1252", "latin-1"):
+        try:
+            return match[0].encode(charset).decode("utf-8")
+        except UnicodeError:
+            continue
+    return match[0]
 
 
 def clean_text(text: str) -> str:
     """Repairs one text: HTML entities, terminal escapes, UTF-8 read as Windows-1252, ligatures, widths, quotes, line
     ends, lone surrogates, control characters and byte order marks; NFKC at the end."""
-    text = _ANSI.sub("", html.unescape(text) if "<" not in text else text)
-    if _MOJIBAKE.search(text):
-        for charset in ("cp1252", "latin-1"):
-            try:
-                text = text.encode(charset).decode("utf-8")
-                break
-            except UnicodeError:
-                continue
+    text = _ANSI.sub("", html.unescape(text))
+    text = _FOREIGN.sub(_repair, text)
     text = text.translate(_LIGATURES).translate(_QUOTES)
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", "\n").replace(" ", "\n").replace("\x85", "\n")
     return unicodedata.normalize("NFKC", text.translate(_CONTROL).encode("utf-16", "surrogatepass").decode("utf-16", "replace"))

@@ -73,14 +73,25 @@ def evaluate_chrf(rows: DataFrame, hyp: str = "hyp", refs: str = "refs", betas:
 
 
 def evaluate_bleu(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """Corpus BLEU-4 of tokenised text against one reference: clipped n-gram counts by joins, brevity penalty."""
-    cut = rows.select(F.monotonically_increasing_id().alias("id"), tokens(hyp).alias("h"), tokens(ref).alias("r"))
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.when(F.size(c) >= n, F.array_join(F.slice(c, i, n), " ")))
-    count = lambda c: cut.select("id", F.explode(F.flatten(F.array(*[F.transform(grams(F.col(c), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, 5)]))).alias("x")).where("x.g IS NOT NULL").groupBy("id", "x.n", "x.g").agg(F.count(F.lit(1)).alias(c))
+    """Corpus BLEU-4 of tokenised text against one reference: clipped n-gram counts by joins, brevity penalty.
+
+    A segment is named by a hash of its texts; equal segments are one with a weight, so that nothing depends on the
+    order of rows.
+    """
+    cut = rows.groupBy(hyp, ref).agg(F.count(F.lit(1)).alias("w")).select(F.xxhash64(hyp, ref).alias("id"), "w", tokens(hyp).alias("h"), tokens(ref).alias("r"))
+
+    def grams(c: str, n: int) -> Column:
+        starts = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(c, i, n), " ").alias("g")))
+
+    def count(c: str) -> DataFrame:
+        every = F.concat(*[grams(c, n) for n in range(1, 5)])
+        return cut.select("id", "w", F.explode(every).alias("x")).groupBy("id", "x.n", "x.g").agg(F.sum("w").alias(c))
+
     both = count("h").join(count("r"), ["id", "n", "g"], "left")
     per_n = both.groupBy("n").agg(F.sum("h").alias("total"), F.sum(F.least("h", F.coalesce("r", F.lit(0)))).alias("hit"))
     precision = per_n.agg(F.when((F.count(F.lit(1)) == 4) & (F.min("hit") > 0), F.exp(F.sum(F.log(F.col("hit") / F.col("total"))) / 4)).otherwise(0.0).alias("p"))
-    size = cut.agg(F.sum(F.size("h")).alias("c"), F.sum(F.size("r")).alias("r"))
+    size = cut.agg(F.sum(F.size("h") * F.col("w")).alias("c"), F.sum(F.size("r") * F.col("w")).alias("r"))
     penalty = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "c")))
     return precision.crossJoin(size).select((100 * F.col("p") * F.coalesce(penalty, F.lit(0.0))).alias("bleu"))
 

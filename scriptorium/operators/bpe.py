@@ -16,9 +16,8 @@ END = "</w>"
 
 
 def pair_counts(counts: DataFrame) -> DataFrame:
-    """(left, right, count): neighbouring symbols of the words (word, count), the last one marked as an end."""
-    c = chars("word")
-    symbols = F.concat(F.slice(c, 1, F.size(c) - 1), F.array(F.concat(F.element_at(c, -1), F.lit(END))))
+    """(left, right, count): neighbouring symbols of the words (word, count), which end with a symbol of their own."""
+    symbols = F.concat(chars("word"), F.array(F.lit(END)))
     s = counts.where(F.length("word") > 0).select("count", symbols.alias("s"))
     pairs = s.select("count", F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("left"), F.slice("s", 2, F.size("s")).alias("right"))).alias("p")).where("p.right IS NOT NULL AND p.left IS NOT NULL")
     return pairs.groupBy("p.left", "p.right").agg(F.sum("count").alias("count"))
@@ -43,7 +42,7 @@ def learn_merges(vocabulary: Iterable[tuple[str, int]], symbols: int = 10_000, m
     Every merge depends on the one before, so this is a loop over the distinct words, with counts of pairs kept up to
     date for the words that change.
     """
-    words = [(tuple(w[:-1]) + (w[-1] + END,), n) for w, n in vocabulary if w]
+    words = [(tuple(w) + (END,), n) for w, n in vocabulary if w]
     stats: dict[tuple[str, str], int] = defaultdict(int)
     where: dict[tuple[str, str], set[int]] = defaultdict(set)
     for i, (w, n) in enumerate(words):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -47,10 +48,15 @@ def remove(predicate: Column | Callable[[Column], Column], log: str | None = Non
 
 
 def remove_parallel(predicates: dict[str, Cell], log: str | None = None) -> Op:
-    """Drops a row if the predicate of any column is true. The rejects have the cells joined by `` ||| ``."""
+    """Drops a row if the predicate of any column is true. The rejects have the cells (c0, c1 and so on, and those with a
+    predicate) joined by `` ||| ``."""
     bad = reduce(lambda a, b: a | b, [F.coalesce(p(F.col(c)), F.lit(False)) for c, p in predicates.items()])
-    names = list(predicates)
-    return lambda df: Result(df.where(~bad), {log: df.where(bad).withColumn("reject", F.concat_ws(" ||| ", *names))} if log else {})
+
+    def run(df: DataFrame) -> Result:
+        cells_ = [c for c in df.columns if c in predicates or re.fullmatch(r"c\d+", c)]
+        return Result(df.where(~bad), {log: df.where(bad).withColumn("reject", F.concat_ws(" ||| ", *cells_))} if log else {})
+
+    return run
 
 
 def tee(name: str) -> Op:
