@@ -110,10 +110,10 @@ def normalise_file(source: str, target: str, level: int = LEVEL) -> tuple[int, i
     temporary = f"{final}.{uuid.uuid4().hex}.tmp"
     offset = n = 0
     whole = True
-    raw = fs.open_input_stream(path)
+    raw = fs.open_input_stream(path, compression=None)  # or Arrow inflates by the suffix, and fails on a cut stream
     peek = raw.read(2)
     raw.close()
-    raw = fs.open_input_stream(path)
+    raw = fs.open_input_stream(path, compression=None)
     stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), STEP) if peek == b"\x1f\x8b" else io.BufferedReader(raw, STEP)
     name = final.rsplit("/", 1)[-1]
     with fs.open_output_stream(temporary) as out, fs.open_output_stream(temporary + "i") as index:
