@@ -198,15 +198,17 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Columns as given; ``n_chars``, where there is one, is set to the new length of a changed text. Other cases as in ``align``.
     """
-    joined, text, left = _cut(docs, id_col, text_col, rare, min_words)
+    # Columns go by their place meanwhile, so that no name of theirs can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    joined, text, left = _cut(docs.toDF(*names), id_at, text_at, rare, min_words)
     joined = joined.withColumn("__text", text).where(left)
-    changed = F.col("__gone").isNotNull()
     out = []
-    for c in docs.columns:
-        if c == text_col:
+    for c, name in zip(docs.columns, names):
+        if name == text_at:
             out.append(F.col("__text").alias(c))
         elif c == "n_chars":
-            out.append(F.when(changed, F.length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col("__gone").isNotNull(), F.length("__text")).otherwise(F.col(name)).cast(docs.schema[c].dataType).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(name).alias(c))
     return joined.select(*out)

@@ -298,13 +298,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """The rows of ``docs`` of which one per near-copy group stays; columns as given. Cases as in ``near_groups``."""
-    groups = stored(near_groups(docs, id_col, text_col, **limits).where("kept").select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), "n_rows"), "kept")
-    body = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-    def match(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        k = keys.select("__doc", "__body")
-        return rows.join(k, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (body == F.col("__body")), "left_semi")
-
-    once = match(docs, groups.where("n_rows = 1"))
-    again = match(docs, groups.where("n_rows > 1")).dropDuplicates([id_col, text_col])
-    return once.unionByName(again)
+    kept = stored(near_groups(docs, id_col, text_col, **limits).where("kept").select(F.col("doc").alias("kept_doc"), F.col("body").alias("kept_body"), "n_rows"), "kept")
+    # Columns go by their place meanwhile, so that no name of theirs can clash.
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit("")))
+    found = rows.join(kept, F.col(id_at).cast("long").eqNullSafe(F.col("kept_doc")) & (body == F.col("kept_body")))
+    once = found.where("n_rows = 1").select(rows.columns)
+    again = found.where("n_rows > 1").dropDuplicates(["kept_doc", "kept_body"]).select(rows.columns)
+    return once.unionByName(again).toDF(*docs.columns)
