@@ -227,7 +227,10 @@ def _masks(width: int, t: int) -> list[int]:
 
 
 def near_signatures(sigs: DataFrame, max_bits: int = MAX_BITS, max_pair_bits: int = MAX_PAIR_BITS) -> DataFrame:
-    """(a, b): pairs of ids of ``sigs`` (id, sig, pair), a < b, that are near copies. Every row is a query."""
+    """(a, b): pairs of ids of ``sigs`` (sig, pair) that are near copies, each once. Every row is a query.
+
+    An id is ``node_id`` of both signatures, so that it is computed from a met pair and not carried by the probes.
+    """
     groups, thresholds = plan(sigs, max_bits)
     left, right = [], []
     for i, (g, t) in enumerate(zip(groups, thresholds)):
@@ -236,21 +239,28 @@ def near_signatures(sigs: DataFrame, max_bits: int = MAX_BITS, max_pair_bits: in
                 sides.append((i, part_value(g), _masks(len(g), half)))
 
     def probes(side: list, name: str) -> DataFrame:
-        rows = [
-            sigs.select(F.lit(i).alias("part"), v.alias("v"), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "sig", "pair")]).withColumn("v", F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("v").bitwiseXOR(m))))
-            for i, v, masks in side
-        ]
+        # One number holds the part and its value, as a part has 16 bits at most.
+        rows = []
+        for i, v, masks in side:
+            coded = v + F.lit(i << 16)
+            values = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: coded.bitwiseXOR(m))  # noqa: B023
+            rows.append(sigs.select(F.explode(values).alias("v"), F.col("sig").alias(f"{name}_sig"), F.col("pair").alias(f"{name}_pair")))
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
         return out
 
-    met = probes(left, "a").join(probes(right, "b"), ["part", "v"]).where(
-        (F.col("a_id") < F.col("b_id"))
+    met = probes(left, "a").join(probes(right, "b"), "v").where(
+        ((F.col("a_sig") < F.col("b_sig")) | (F.col("a_sig") == F.col("b_sig")) & (F.col("a_pair") < F.col("b_pair")))
         & (F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= max_bits)
         & (F.bit_count(F.col("a_pair").bitwiseXOR(F.col("b_pair"))) <= max_pair_bits)
     )
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return met.select(node_id("a_sig", "a_pair").alias("a"), node_id("b_sig", "b_pair").alias("b")).distinct()
+
+
+def node_id(sig: str, pair: str, blank=None):
+    """Name of the rows with these signatures; ``blank`` parts texts without words."""
+    return F.xxhash64(sig, pair, F.lit(0).cast("long") if blank is None else blank)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -285,8 +295,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     each = stored(signature_table(docs, id_col, text_col).groupBy("doc", "body").agg(F.min("sig").alias("sig"), F.min("pair").alias("pair"), F.min("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows")), "signatures")
     # Rows that agree in both signatures are one node of the search.
-    empty = F.when(F.col("n_words") == 0, F.col("body")).otherwise(F.lit(0)).alias("blank")
-    node = F.xxhash64("sig", "pair", empty)
+    node = node_id("sig", "pair", F.when(F.col("n_words") == 0, F.col("body")).otherwise(F.lit(0)))
     nodes = stored(each.select(node.alias("id"), "sig", "pair", "n_words").groupBy("id").agg(F.min("sig").alias("sig"), F.min("pair").alias("pair"), F.max("n_words").alias("n_words")), "nodes")
     roots = components(near_signatures(nodes.where("n_words > 0"), max_bits, max_pair_bits))
     marked = each.withColumn("id", node).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
