@@ -600,6 +600,16 @@ query("analyze_lengths", f"SELECT conv_id AS docid, turn AS segid, length(c0) AS
 _RT = f"list_filter({T_SQL.format('c1')}, lambda y: regexp_matches(y, '[a-z0-9]'))"
 query("analyze_repetitions", f"SELECT conv_id AS docid, turn AS segid, CAST(len({_RT}) - len(list_distinct({_RT})) AS BIGINT) AS anywhere, CAST(len(list_filter(range(1, len({_RT})), lambda i: ({_RT})[i] = ({_RT})[i + 1])) AS BIGINT) AS consecutive FROM {PAIRS_SQL}")(lambda s, d: analysis.analyze_repetitions(segments(s, d)).select("docid", "segid", F.col("bl_reps_anywhere").cast("long").alias("anywhere"), F.col("bl_reps_conseq").cast("long").alias("consecutive")))
 query("analyze_names", f"SELECT conv_id AS docid, turn AS segid, CAST(len(list_filter({T_SQL.format('c0')}, lambda y: length(y) > 1 AND regexp_matches(y, '^[\\p{{Lu}}\\p{{Nd}}]'))) AS BIGINT) AS lnames FROM {PAIRS_SQL}")(lambda s, d: analysis.analyze_names(segments(s, d)).select("docid", "segid", F.col("lnames").cast("long").alias("lnames")))
+query("retokenize")(lambda s, d: analysis.retokenize(segments(s, d), "en", "en"))
+
+
+@query("retruecase")
+def _(s, d):
+    p = pairs(s, d)
+    model = truecase.train_truecaser(p.withColumnRenamed("c0", "line"), ["conv_id", "turn"])
+    return analysis.retruecase(segments(s, d), model, model)
+
+
 query("analyze_chrf")(lambda s, d: analysis.analyze_chrf(segments(s, d)).drop("refs"))
 query("evaluate_chrf")(lambda s, d: analysis.evaluate_chrf(segments(s, d), "sys", "refs", (1.0, 2.0)))
 query("evaluate_bleu")(lambda s, d: analysis.evaluate_bleu(pairs(s, d), "c0", "c1"))
@@ -621,6 +631,7 @@ def _source_lines(s: SparkSession, d: str) -> DataFrame:
 
 query("corpus_profile")(lambda s, d: profile.profile(_source_lines(s, d), ["source"]))
 _HITS = "len(regexp_extract_all(line, '{}'))"
+query("profile_table")(lambda s, d: profile.profile_table(_source_lines(s, d), ["source"]))
 query("profile_patterns", f"SELECT source, count(*) AS line_count, max(len({TOK})) AS max_tokens, max(length(line)) AS max_chars, CAST(sum({_HITS.format('<[^>]*>')}) AS BIGINT) AS xml_tag, CAST(sum({_HITS.format('[&<](?:unk|UNK)[;>]')}) AS BIGINT) AS unk_unk, CAST(sum({_HITS.format('&quot;|&apos;|&#124;')}) AS BIGINT) AS escaping_escaped FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source")(lambda s, d: profile.pattern_counts(_source_lines(s, d), ["source"]).select("source", "line_count", "max_tokens", "max_chars", "xml_tag", "unk_unk", "escaping_escaped"))
 query("profile_labels", r"""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), x AS (
  SELECT source, 'case' AS heading, CASE WHEN regexp_matches(line, '^\p{Lu}') THEN 'U' WHEN regexp_matches(line, '^\p{Ll}') THEN 'L' WHEN regexp_matches(line, '^\p{Nd}') THEN 'N' ELSE '?' END AS label FROM l

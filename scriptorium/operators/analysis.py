@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..corpus import tokens
 from ..functions.text import is_name
+from ..functions.tokenization import RuleTokenizer, tokenize
+from .truecase import truecase
 
 N = 6
 STATS = "hyp array<bigint>, ref array<bigint>, hit array<bigint>"
@@ -157,9 +159,29 @@ def with_bleu(rows: DataFrame, baseline: DataFrame, system: DataFrame) -> DataFr
     return out.withColumn("delta_prod", F.col("delta_chrF1") * F.col("delta_bleu")) if "delta_chrF1" in out.columns else out
 
 
-def retokenize(rows: DataFrame, source, target) -> DataFrame:
-    """Applies a function of a column to the source, and another to the outputs; references are left to ``for_refs``."""
-    return rows.withColumns({"src": source(F.col("src")), "bl": target(F.col("bl")), "sys": target(F.col("sys"))})
+def retokenize(rows: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
+    """Tokenises the source in its language, and outputs and references in the target's."""
+
+    def run(column: pd.Series) -> pd.Series:
+        make = RuleTokenizer(target_lang)
+        return column.map(lambda texts: [None if t is None else make(t) for t in texts], na_action="ignore")
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    refs = F.pandas_udf(run, "array<string>")
+    return rows.withColumns({"src": tokenize("src", source_lang), "bl": tokenize("bl", target_lang), "sys": tokenize("sys", target_lang), "refs": refs("refs")})
+
+
+def retruecase(rows: DataFrame, source_model: DataFrame | None, target_model: DataFrame | None) -> DataFrame:
+    """Truecases the source by one model, and outputs and references by the other; None leaves them as they are."""
+    key, out = ["docid", "segid"], rows
+    for column, model in (("src", source_model), ("bl", target_model), ("sys", target_model)):
+        if model is not None:
+            out = out.drop(column).join(truecase(rows.select(*key, column), model, key, column), key)
+    if target_model is not None:
+        each = rows.select(*key, F.posexplode("refs").alias("i", "text"))
+        cased = truecase(each, target_model, [*key, "i"], "text").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("refs"))
+        out = out.drop("refs").join(cased, key)
+    return out.select(*rows.columns)
 
 
 def sorted_report(rows: DataFrame, by: str) -> DataFrame:

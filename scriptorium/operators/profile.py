@@ -88,3 +88,12 @@ def profile(lines: DataFrame, group: Sequence[str], column: str = "line") -> Dat
         long += [F.struct(F.lit(h).alias("heading"), F.lit(lab).alias("label"), F.col(f"{h}_{lab}".replace(" ", "_").replace("-", "_")).alias("count")) for lab in labels]
     patterns = wide.select(*group, F.explode(F.array(*long)).alias("x")).select(*group, "x.heading", "x.label", "x.count")
     return summarize_labels(patterns.unionByName(label_counts(lines, group, column)), group)
+
+
+def profile_table(lines: DataFrame, group: Sequence[str], column: str = "line") -> DataFrame:
+    """One row a group with the printed cell under each heading."""
+    headings = ["case", *PATTERNS, "hyphens", "periods", "columns"]
+    cells = profile(lines, group, column).withColumn("cell", summary_cell(F.col("label"), F.col("count"), F.col("share")))
+    wide = cells.groupBy(*group).pivot("heading", headings).agg(F.first("cell")).na.fill("-", headings)
+    sizes = pattern_counts(lines, group, column).select(*group, F.col("line_count"), F.concat_ws("/", F.lpad(F.col("max_tokens").cast("string"), 2, " "), F.col("max_chars").cast("string")).alias("sizes"))
+    return sizes.join(wide, list(group))

@@ -242,6 +242,15 @@ def test_analysis(spark):
     assert [r["bin"] for r in analysis.quantize(q, "v", 3).orderBy("v").collect()] == [1, 1, 2]
 
 
+def test_segments_again(spark):
+    rows_ = spark.createDataFrame([(1, 1, "Hi, you", "The a.", "b c", ["A,b", "the"])], "docid long, segid long, src string, bl string, sys string, refs array<string>")
+    got = analysis.retokenize(rows_, "en", "en").first()
+    assert (got["src"], got["bl"], got["refs"]) == ("Hi , you", "The a .", ["A , b", "the"])
+    model = spark.createDataFrame([("the", "the", True), ("b", "B", True)], "word string, best string, sure boolean")
+    got = analysis.retruecase(rows_, None, model).first()
+    assert (got["src"], got["bl"], got["sys"], got["refs"]) == ("Hi, you", "the a.", "B c", ["A,b", "the"])
+
+
 def test_noise_is_seeded(lines):
     x = lines(["a b c d e f g h", "z"])
     f = lambda: [r[0] for r in x.orderBy("line_no").select(noise.drop_tokens("line", O, 0.5)).collect()]
@@ -257,6 +266,8 @@ def test_profile(lines):
     x = lines(['A "b", c-d. <b>', "x", "Y\tz."]).withColumn("g", F.lit(1))
     got = {(r["heading"], r["label"], r["count"]) for r in profile.profile(x, ["g"]).collect()}
     assert {("xml", "tag", 1), ("case", "U", 2), ("columns", "no", 2), ("hyphens", "cd", 1), ("quotes", "outside", 1)} <= got
+    wide = profile.profile_table(x, ["g"]).first()
+    assert (wide["line_count"], wide["case"], wide["xml"], wide["unk"]) == (3, "U 2 66%", "tag 1 all", "-")
     assert {r["m"] for r in x.sparkSession.createDataFrame([(5,), (50,), (20000,)], "n int").select(profile.magnitude(F.col("n")).alias("m")).collect()} == {"5", "d", "!"}
 
 
