@@ -191,3 +191,40 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *
         return made[0](batch.column(0), batch.column(1))[3]
 
     return where_kept(docs, [text_or_empty(text_col), text_or_empty(lang_col)], decide)
+
+
+def _js_sql(source: str) -> str:
+    side = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / (p + q)) ELSE 0 END"
+    return f"SELECT r, sqrt(greatest(sum({side('p')} + {side('q')}) / 2, 0)) AS js FROM {source} GROUP BY r"
+
+
+def _counts_sql() -> str:
+    """The counts of the classes, in the order of CLASSES."""
+    n = lambda c: f"(length(t) - length(regexp_replace(t, '{c}', '', 'g')))"
+    lower, upper, digit, space, mark = n("[a-z]"), n("[A-Z]"), n("[0-9]"), n(r"[ \t\n\r\f\v]"), n("[-.,;:!?''\"()]")
+    ascii_ = " - ".join([n(r"[\x00-\x7f]"), lower, upper, digit, space, mark])
+    other_lower, other_upper = f"{n(r'\p{Ll}')} - {lower}", f"{n(r'\p{Lu}')} - {upper}"
+    rest = f"length(t) - {n(r'[\x00-\x7f]')} - ({other_lower}) - ({other_upper})"
+    return ", ".join([lower, upper, digit, space, mark, ascii_, other_lower, other_upper, rest])
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+c AS (SELECT r, lang, length(t) AS size, unnest(range({len(CLASSES)})) AS i, unnest([{_counts_sql()}]) AS n FROM d),
+cr AS (SELECT lang, i, sum(n) AS n FROM c GROUP BY ALL), ct AS (SELECT lang, sum(n) AS n FROM cr GROUP BY ALL),
+cp AS (SELECT r, c.n / size AS p, cr.n / ct.n AS q FROM c JOIN cr USING (lang, i) JOIN ct USING (lang) WHERE size > 0),
+cj AS ({_js_sql("cp")}),
+w AS (SELECT r, lang, unnest(regexp_extract_all(lower(t), '{WORD}')) AS w FROM d),
+wr AS (SELECT lang, w, count(*) AS n FROM w GROUP BY ALL), wt AS (SELECT lang, sum(n) AS total FROM wr GROUP BY ALL),
+common AS (SELECT lang, w, n, total FROM wr JOIN wt USING (lang) WHERE n >= total * {MIN_SHARE}),
+ref AS (SELECT lang, w, n / total AS q FROM common UNION ALL
+  SELECT lang, '', (any_value(wt.total) - coalesce(sum(common.n), 0)) / any_value(wt.total) FROM wt LEFT JOIN common USING (lang) GROUP BY lang),
+own AS (SELECT w.r, coalesce(common.w, '') AS w, count(*) AS n FROM w LEFT JOIN common USING (lang, w) GROUP BY ALL),
+nw AS (SELECT r, any_value(lang) AS lang, count(*) AS n_words FROM w GROUP BY r),
+wp AS (SELECT nw.r, coalesce(own.n, 0) / n_words AS p, q FROM nw JOIN ref USING (lang) LEFT JOIN own ON own.r = nw.r AND own.w = ref.w),
+wj AS ({_js_sql("wp")})
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(cj.js, 0), 6) AS char_js, round(coalesce(wj.js, 0), 6) AS word_js,
+  NOT (length(t) >= {MIN_CHARS} AND coalesce(cj.js, 0) > {MAX_CHAR_JS} + {CHAR_SLACK} / sqrt(greatest(length(t), 1))
+    OR coalesce(n_words, 0) >= {MIN_WORDS} AND coalesce(wj.js, 0) > {MAX_WORD_JS} + {WORD_SLACK} / sqrt(greatest(coalesce(n_words, 0), 1))) AS kept
+FROM d LEFT JOIN cj USING (r) LEFT JOIN wj USING (r) LEFT JOIN nw USING (r)
+"""

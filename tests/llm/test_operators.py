@@ -501,6 +501,9 @@ def test_line_dedup_cases(spark, nasty, nothing):
     kept = linededup.drop_common_lines(nasty)
     assert kept.columns == nasty.columns and {r["text"] for r in kept.collect()} == {r[1] for r in NASTY}
     assert linededup.align(nothing).count() == 0 and linededup.drop_common_lines(nothing).count() == 0
+    line = "a line of more than six words here"
+    ids = spark.createDataFrame([(None, line), (None, line + "\nx"), (1, line + "\ny")], "doc_id long, text string")
+    assert Counter(r["text"].split("\n")[0] for r in linededup.align(ids).collect())[line] == 1  # null ids are compared too
     two = "one two three four five six seven\n\nblank lines are no lines at all"
     df = spark.createDataFrame([(1, two, 70), (2, two, 70), (3, two + "\nnew", 74)], "doc_id long, text string, n_chars long")
     assert rows(linededup.drop_common_lines(df), "doc_id", "text", "n_chars") == [(1, two, 70), (3, "\nnew", 4)]
@@ -541,7 +544,8 @@ def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(16)
     base = rng.standard_normal((150, 32))
     noise = [base[i % 40] + rng.standard_normal(32) * s for i, s in zip(range(250), itertools.cycle([0.05, 0.15, 0.25, 0.0]))]
-    x = np.concatenate([base, noise]).astype(np.float32)
+    hot = [base[149] + rng.standard_normal(32) * 0.1 for _ in range(200)]  # one large bucket
+    x = np.concatenate([base, noise, hot]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
     brute = brute_components(x.astype(np.float64), 0.95)
     got = {r["vec_id"]: r["group_id"] for r in embeddings.near_groups(df).collect()}
@@ -617,13 +621,13 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert pipeline.run(spark, f"{tmp_path}/{name}").count() >= 0
 
 
-def test_sql_of_packing_and_chat(spark, tmp_path):
+def test_sql_against_duckdb(spark, tmp_path):
     from scriptorium.llm import queries
 
     rng = random.Random(18)
-    docs = [(i, prose(rng, "fr", rng.randint(0, 5000))) for i in range(30)] + [(40, None), (41, "")]
+    docs = [(i, prose(rng, k, rng.randint(0, 3000)), k) for i in range(10) for k in WORDS] + [(40, None, "fr"), (41, "", None), (42, "$ É" * 200, "fr")]
     turns = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["", None, "hé", "x\ny"])) for c in range(20) for t in range(4)]
-    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(turns, TURNS).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
     for name in ("documents", "conversations"):
