@@ -91,7 +91,7 @@ CELLS: list[tuple[str, Callable[[Column], Column], str | None]] = [
     ("normalize_contractions", X.normalize_contractions, None),
     ("normalize_contractions_reverse", lambda c: X.normalize_contractions(c, reverse=True), None),
     ("normalize_long_sounds", X.normalize_long_sounds, None),
-    ("split_numbers", X.split_numbers, r"regexp_replace(line, '(\d)([.,/-])(\d)', '\1@@ \2@@ \3', 'g')"),
+    ("split_numbers", X.split_numbers, r"regexp_replace(line, '(\d)([-/,.])(\d)', '\1@@ \2@@ \3', 'g')"),
     ("prefix", lambda c: X.prefix(c, "<s> ", " </s>"), "'<s> ' || line || ' </s>'"),
     ("truncate_words", X.truncate_words, f"array_to_string(list_transform({TOK}, lambda y: y[1:5]), ' ')"),
     ("truncate_words_suffix", lambda c: X.truncate_words(c, 4, False), f"array_to_string(list_transform({TOK}, lambda y: right(y, 4)), ' ')"),

@@ -84,7 +84,7 @@ def only_names(token: Cell) -> Column:
     return ~is_name(col(token))
 
 
-STRIKES = {"(": (2, 4, 6), ")": (2, 4, 6), "[": (2, 4, 6), "]": (2, 4, 6), ";": (2, 4, 6), "/": (3, 4, 6), ":": (3, 4, 6), "-": (4, 6, 10), ",": (4, 6, 10)}
+STRIKES = dict.fromkeys("()[];", (2, 4, 6)) | dict.fromkeys("/:", (3, 4, 6)) | dict.fromkeys("-,", (4, 6, 10))
 
 
 def bureaucratic(line: Cell, threshold: int = 4, numeric: tuple[int, ...] = (4, 6, 10), marks: Mapping[str, tuple[int, ...]] = STRIKES) -> Column:

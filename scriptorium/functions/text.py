@@ -201,7 +201,7 @@ def normalize_contractions(line: Cell, lang: str = "en", reverse: bool = False,
 
 
 def split_numbers(line: Cell) -> Column:
-    return F.regexp_replace(col(line), r"(?U)(\d)([.,/-])(\d)", "$1@@ $2@@ $3")
+    return F.regexp_replace(col(line), r"(?U)(\d)([-/,.])(\d)", "$1@@ $2@@ $3")
 
 
 def prefix(line: Cell, before: str = "", after: str = "") -> Column:
@@ -252,7 +252,7 @@ def remove_language_tags(line: Cell) -> Column:
 
 
 def replace_set_id(line: Cell, setid: str) -> Column:
-    return F.regexp_replace(col(line), '^(<.*setid=")[^"]*"', "$1" + java_replacement(setid) + '"')
+    return F.regexp_replace(col(line), r'^(<.*\bsetid\s*=\s*")[^"]*', "$1" + java_replacement(setid))
 
 
 def lowercase(line: Cell) -> Column:

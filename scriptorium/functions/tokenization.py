@@ -15,7 +15,7 @@ from ..corpus import col, tokens
 from .languages import nonbreaking
 from .text import FIVEDOT, FOURDOT, Cell, _over, chars, java_quote, java_replacement
 
-PUNCTUATION = "-.,!?:;/\\@%()'\"+£$€¥"
+PUNCTUATION = "\"'()" + ".,:;!?" + "/\\-" + "%+@" + "¥£$€"
 
 
 def simple_tokenize(line: Cell, punctuation: str = PUNCTUATION, marker: str = FIVEDOT) -> Column:
@@ -103,7 +103,7 @@ class RuleTokenizer:
     def __init__(self, lang: str, extra: tuple[str, ...] = (), escape_extra: bool = True, prefixes: tuple[str, ...] | None = None):
         words = nonbreaking(lang) if prefixes is None else prefixes
         self.words = [(" " + self._split(w + ".").rstrip(), f" {w}.") for w in words]
-        protected = [r"\d (?:[.,] \d)+", r"\.(?: \.)+", f"https? : / / [^{_SPACE}]*", r"(?:www \. )?[A-Za-z]* \. (?:" + "|".join(_DOMAINS) + ")", r"[a-z. ]* @ [a-z. ]*"]
+        protected = [r"\d (?:[.,] \d)+", r"\.(?: \.)+", f"https? : / / [^{_SPACE}]*", r"(?:www \. |)[a-zA-Z]* \. (?:" + "|".join(_DOMAINS) + ")", r"[a-z. ]* @ [a-z. ]*"]
         if lang in ("fi", "et"):
             protected.append(r"\d \. ")
         self.protected = [re.compile(p) for p in [*protected, *(re.escape(e) if escape_extra else e for e in extra)]]
@@ -112,7 +112,7 @@ class RuleTokenizer:
             rules += [(r"(?<=\w) '\s+([a-z]) ", r" '\1 "), (r"(?<=\w) '\s+(ve|re|ll) ", r" '\1 "), (r"(?<=\d) '\s+s ", " 's ")]
         else:
             if lang in ("fi", "et"):
-                rules += [(r"(?<=\w) : ([a-zäåöõü]{1,3}) ", r" :\1 "), (r"(?<=\w) : (ista|nneksi) ", r" :\1 ")]
+                rules += [(r"(?<=\w) : ([õöäåüa-z]{1,3}) ", r" :\1 "), (r"(?<=\w) : (ista|nneksi) ", r" :\1 ")]
             rules.append((r"([A-Za-z][a-z]{2}) ' ([a-z]) ", r"\1'\2 "))
         self.rules = [(re.compile(a), b) for a, b in rules]
 
@@ -147,7 +147,7 @@ def detokenize(line: Cell, lang: str) -> Column:
     if lang == "en":
         rules += [(" ('[a-z]) ", "$1 "), (" ('(?:re|ll|ve)) ", "$1 ")]
     elif lang in ("fi", "et"):
-        rules += [(" (:[a-zäåöõü]{1,3}) ", "$1 "), (" (:(?:ista|nneksi)) ", "$1 "), (" ' (in|an|hun|ista|lla|lle|sin|ssa|sta|ta) ", "'$1 "), ("([tT]ark) ' ", "$1'")]
+        rules += [(" (:[õöäåüa-z]{1,3}) ", "$1 "), (" (:(?:ista|nneksi)) ", "$1 "), (" ' (in|an|hun|ista|lla|lle|sin|ssa|sta|ta) ", "'$1 "), ("([tT]ark) ' ", "$1'")]
     money = r"[€£\$]"
     rules += [("s ' ", "s' "), (r"(\d) : (\d)", "$1:$2"), (r" ([])?!;:,.])(?!\w)".replace("[])", r"[\])"), "$1"), (r"([\[(@]) ", "$1"), (rf"({money}) ([-,.]*\d)", "$1$2"), (rf"(\d[,.]?) ({money})", "$1$2"), ('" ([^"]+) "', '"$1"'), (" ' ([^']+) ' ", " '$1' "), ('^ " ', ' "'), (' " $', '" '), (r' ("[,.]) ', "$1 ")]
     out = F.concat(F.lit(" "), col(line), F.lit(" "))
@@ -177,7 +177,7 @@ def split_hyphens(line: Cell, before: str = " ", after: str = " ") -> Column:
 
 
 def split_hyphens_strictly(line: Cell, before: str = " ", after: str = " ") -> Column:
-    return F.regexp_replace(col(line), "(?i)(?<=[a-z]{4})-(?=[a-z]{4})", java_replacement(f"{before}-{after}"))
+    return F.regexp_replace(col(line), r"(?<=\p{Alpha}{4})-(?=\p{Alpha}{4})", java_replacement(f"{before}-{after}"))
 
 
 def split_all_hyphens(line: Cell, before: str = " ", after: str = " ") -> Column:

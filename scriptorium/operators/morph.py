@@ -13,7 +13,7 @@ from ..functions.text import java_quote
 from .blocks import strip, with_block
 
 KEEP = ("POS", "NUM", "CASE", "PERS", "MOOD", "TENSE")
-JUNK = ".,[]<>()@'#*/-"
+JUNK = "()[]<>" + ".,'" + "@#*/-"
 
 
 def cells(line: str, sep: str = "\t") -> Column:

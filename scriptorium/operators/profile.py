@@ -13,7 +13,7 @@ from ..functions.text import FIVEDOT
 
 #: heading -> label -> patterns; hits of a label's patterns are added up.
 PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
-    "numbers": {"tag": ("[&<]number[;>]",), "raw": (r"(?<=\s)[0-9]+(?=\s)",)},
+    "numbers": {"tag": ("[&<]number[;>]",), "raw": (r"(?<=\s)\p{Digit}+(?=\s)",)},
     "boundary": {"comp": (r"(?<=\S)@ ",), "plus": (r" \+(?=\S)", r"\+ (?=\S)"), "5dot": (f" {FIVEDOT}(?=\\S)", f"{FIVEDOT} (?=\\S)"), "omor": (r"\{[^}]+\}",), "none": (r"(?U)\w \w",)},
     "clitics": {"split": (" 's ",), "split escaped": (" &apos;s ",), "over-split": (" ' s ",), "over-split escaped": (" &apos; s ",), "whole": (r"\S's ",), "whole escaped": (r"\S&apos;s ",), "wrong": (r"\S' s ",), "wrong escaped": (r"\S&apos; s ",)},
     "quotes": {"inside": (r'[,.]\s*"',), "inside escaped": (r"[,.]\s*&quot;",), "outside": (r'"\s*[,.]',), "outside escaped": (r"&quot;\s*[,.]",)},

@@ -72,4 +72,4 @@ def merge_refs(sets: Sequence[DataFrame]) -> DataFrame:
 
 
 def replace_set_id(lines: DataFrame, setid: str, column: str = "line") -> DataFrame:
-    return lines.withColumn(column, F.regexp_replace(column, '^(<.*setid=")[^"]*"', "$1" + java_replacement(setid) + '"'))
+    return lines.withColumn(column, F.regexp_replace(column, r'^(<.*\bsetid\s*=\s*")[^"]*', "$1" + java_replacement(setid)))

@@ -302,7 +302,8 @@ PROGRAMS: dict[str, ExternalStep] = {
 
 def read_config(*paths: str, overrides: Mapping[str, str] | None = None) -> configparser.ConfigParser:
     """INI files with ``${section:key}`` interpolation, later ones first in rank; overrides are ``section:key`` to value."""
-    conf = configparser.ConfigParser(interpolation=configparser.ExtendedInterpolation())
+    between = configparser.ExtendedInterpolation()
+    conf = configparser.ConfigParser(interpolation=between)
     conf.optionxform = str
     conf.read(paths, encoding="utf-8")
     for k, v in (overrides or {}).items():

@@ -109,13 +109,11 @@ def test_repetitive_against_a_loop(cells):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>ab \n", max_size=40))
 def test_strip_tags_against_a_loop(text):
-    depth, out = 0, []
+    inside, out = 0, []
     for c in text:
-        if c == "<":
-            depth += 1
-        elif c == ">":
-            depth = max(0, depth - 1)
-        elif depth == 0 or c == "\n":
+        if c in "<>":
+            inside = inside + 1 if c == "<" else max(inside - 1, 0)
+        elif c == "\n" or not inside:
             out.append(c)
     assert X.strip_tags(text) == re.sub(" +", " ", "".join(out))
 
