@@ -8,6 +8,7 @@ and joins them through the products of their transition matrices, which is exact
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,21 +146,18 @@ def forward_backward(e: np.ndarray, first: np.ndarray, transition: np.ndarray, s
 # --- training ---------------------------------------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
-    """At most ``texts`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, chosen by a hash of the text."""
+def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> DataFrame | None:
+    """(lang, h, text): about ``2 * texts`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, drawn by a hash
+    of the text; None without any language. ``fit`` uses the first ``texts`` of them by the hash."""
     counts = docs.where(F.col(lang_col).isNotNull() & (F.trim(F.col(lang_col)) != "")).groupBy(F.col(lang_col).cast("string").alias("lang")).count()
     top = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not top:
-        return {}
+        return None
     rate = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * texts / r["count"])))])
     h = F.xxhash64(F.col(text_col).cast("string"), F.lit(_SEED))
     draw = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
     lang = F.col(lang_col).cast("string")
-    found = docs.where(F.col(text_col).isNotNull() & (draw < F.coalesce(rate[lang], F.lit(0.0)))).select(lang.alias("lang"), h.alias("h"), F.col(text_col).cast("string").alias("text"))
-    out: dict[str, list[tuple[int, str]]] = {}
-    for r in found.collect():  # at most about 2 x texts of each language
-        out.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: [t for _, t in sorted(set(v))[:texts]] for k, v in sorted(out.items())}
+    return docs.where(F.col(text_col).isNotNull() & (draw < F.coalesce(rate[lang], F.lit(0.0)))).select(lang.alias("lang"), h.alias("h"), F.col(text_col).cast("string").alias("text"))
 
 
 def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS, seed: int = _SEED) -> Model:
@@ -191,9 +189,6 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
     if k < 2 or len(usable) < 2:
         return empty
     h, span, raw = np.concatenate(hashes), np.concatenate(spans, axis=1), np.concatenate(raws)
-    unique, at, word_of = np.unique(h, return_index=True, return_inverse=True)
-    feats, firsts = features(raw, span[0][at], span[1][at], _lexicon_bits(unique, lexicon), k)
-    of_word = np.repeat(np.arange(len(unique)), np.diff(np.append(firsts, len(feats))))
     words, labels, first = [], [], []
     for _ in range(chains):
         for j in range(int(rng.integers(SEGMENTS[0], SEGMENTS[1] + 1))):
@@ -201,10 +196,15 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
             a, b = by_lang[i][int(rng.integers(len(by_lang[i])))]
             size = min(b - a, int(rng.integers(SEGMENT[0], SEGMENT[1] + 1)))
             at0 = int(rng.integers(a, b - size + 1))
-            words.append(word_of[at0 : at0 + size])
+            words.append(np.arange(at0, at0 + size))
             labels.append(np.full(size, i))
             first.append(np.arange(size) == (0 if j == 0 else -1))
-    w, y, new = np.concatenate(words), np.concatenate(labels), np.concatenate(first)
+    place, y, new = np.concatenate(words), np.concatenate(labels), np.concatenate(first)
+    # Only words that a chain uses get features.
+    unique, at, w = np.unique(h[place], return_index=True, return_inverse=True)
+    at = place[at]
+    feats, firsts = features(raw, span[0][at], span[1][at], _lexicon_bits(unique, lexicon), k)
+    of_word = np.repeat(np.arange(len(unique)), np.diff(np.append(firsts, len(feats))))
     observed = np.zeros((k, k))
     inside = np.flatnonzero(~new)
     np.add.at(observed, (y[inside - 1], y[inside]), 1)
@@ -223,11 +223,24 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += 0.1 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
-    return Model(languages, params[0], lexicon, params[1], params[2])
+    return Model(languages, params[0].astype(np.float32), lexicon, params[1], params[2])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> Model:
-    return fit(labelled_sample(docs, text_col, lang_col, texts))
+    """Fits the model in one task, as the sample is bounded; only the model reaches the driver."""
+    sample = labelled_sample(docs, text_col, lang_col, texts)
+    if sample is None:
+        return fit({})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[tuple[int, str]]] = {}
+        for batch in batches:
+            for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found.setdefault(lang, []).append((h, text))
+        model = fit({k: [t for _, t in sorted(set(v))[:texts]] for k, v in found.items()})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 # --- labelling --------------------------------------------------------------------------------------------------------
