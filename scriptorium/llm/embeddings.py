@@ -23,8 +23,8 @@ from .common import mix64, stored
 from .simhash import components
 
 THRESHOLD, RECALL, EPSILON, SEED = 0.95, 0.98, 3.0, 7
-#: Rows of the blocks of a bucket that are compared at a time.
-BLOCK = 2048
+#: Rows that are compared at a time, rows of a bucket up to which its pairs are listed, and pairs listed at a time.
+CHUNK, BLOCK, SMALL, PAIRS = 8192, 2048, 64, 50_000
 
 
 def code_bits(dim: int) -> int:
@@ -122,48 +122,76 @@ def near_pairs(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            b = np.asarray(batch.column(0))
-            cuts = np.append(0, np.flatnonzero(b[1:] != b[:-1]) + 1)
-            for at, to in zip(cuts, np.append(cuts[1:], len(b))):
-                part = batch.slice(at, to - at)
-                if held and held[0].column(0)[0].as_py() != b[at]:
-                    yield from bucket(held)
-                    held = []
-                held.append(part)
+            held.append(batch)
+            if sum(map(len, held)) < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            b = np.asarray(table.column("bucket"))
+            if b[0] == b[-1]:  # one bucket so far
+                continue
+            cut = int(np.searchsorted(b, b[-1]))  # the last bucket may go on
+            yield from compare(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
         if held:
-            yield from bucket(held)
+            yield from compare(pa.Table.from_batches(held))
 
-    def bucket(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts).combine_chunks()
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole buckets, of which ``t`` has sorted rows."""
         m = len(t)
-        if m < 2:
-            return
-        whole = lambda c: t.column(c).chunk(0) if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-        ids, table = np.asarray(whole("id")), int(t.column("t")[0].as_py())
-        keys = np.asarray(whole("keys").flatten()).reshape(m, tables)
-        signs = np.unpackbits(np.frombuffer(b"".join(whole("code").to_pylist()), np.uint8).reshape(m, -1), axis=1)[:, :bits].astype(bool)
-        z = np.frombuffer(b"".join(whole("query").to_pylist()), np.int8).reshape(m, bits).astype(np.float32) * np.asarray(whole("scale"))[:, None]
-        factor = np.asarray(whole("factor"))
-        # The error of the 8-bit query is at most half a step in every place; its sum has this spread.
-        step = epsilon * np.asarray(whole("scale")) / sqrt(12)
-        for i in range(0, m, BLOCK):
-            for j in range(i, m, BLOCK):
-                I, J = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                one, off = estimate(signs[I], factor[I], z[J], epsilon)
-                two, off2 = estimate(signs[J], factor[J], z[I], epsilon)
-                off, off2 = off + step[J][None, :] / factor[I][:, None], (off2 + step[I][None, :] / factor[J][:, None]).T
-                two = two.T
-                possible = (one + off >= threshold) & (two + off2 >= threshold)
-                if i == j:
-                    possible &= np.tri(len(one), k=-1, dtype=bool).T
-                a, b = np.nonzero(possible)
-                if table:  # met before?
-                    earlier = (keys[I][a][:, :table] == keys[J][b][:, :table]).any(axis=1)
-                    a, b = a[~earlier], b[~earlier]
-                if len(a):
-                    sure = (one - off >= threshold)[a, b] | (two - off2 >= threshold)[a, b]
-                    x, y = ids[I][a], ids[J][b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sure)], names=["a", "b", "sure"])
+        whole = {c: t.column(c).combine_chunks() for c in t.column_names}
+        ids, b, at = np.asarray(whole["id"]), np.asarray(whole["bucket"]), np.asarray(whole["t"])
+        keys = np.asarray(whole["keys"].flatten()).reshape(m, tables)
+        signs = np.unpackbits(np.frombuffer(b"".join(whole["code"].to_pylist()), np.uint8).reshape(m, -1), axis=1)[:, :bits].astype(bool)
+        query = np.frombuffer(b"".join(whole["query"].to_pylist()), np.int8).reshape(m, bits)
+        factor, scale = np.asarray(whole["factor"]), np.asarray(whole["scale"])
+        bound = epsilon * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / (bits - 1))
+        # The error of an 8-bit query is at most half a step in every place; its sum has this spread.
+        step = epsilon * scale / sqrt(12)
+
+        def open_pairs(one: np.ndarray, two: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of rows x and y with both estimates: what the bounds don't rule out and no earlier table has."""
+            off, off2 = bound[x] + step[y] / factor[x], bound[y] + step[x] / factor[y]
+            k = np.flatnonzero((one + off >= threshold) & (two + off2 >= threshold))
+            k = k[~((keys[x[k]] == keys[y[k]]) & (np.arange(tables) < at[x[k]][:, None])).any(axis=1)]
+            if len(k):
+                p, q = ids[x[k]], ids[y[k]]
+                sure = (one[k] - off[k] >= threshold) | (two[k] - off2[k] >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(sure)], names=["a", "b", "sure"])
+
+        start = np.append(0, np.flatnonzero(b[1:] != b[:-1]) + 1)
+        size = np.diff(np.append(start, m))
+        # Small buckets together: row i of a bucket with each of the rows behind it.
+        small = np.repeat(size <= SMALL, size)
+        behind = np.where(small, np.repeat(start + size, size) - np.arange(m) - 1, 0)
+        ends = np.cumsum(behind)
+        lo = 0
+        while lo < m:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            n = behind[lo:hi]
+            x = np.repeat(np.arange(lo, hi), n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            if len(x):
+                dot = lambda i, j: np.einsum("ij,ij->i", np.where(signs[i], np.float32(1), np.float32(-1)), query[j].astype(np.float32)) * scale[j] / (sqrt(bits) * factor[i])
+                yield from open_pairs(dot(x, y), dot(y, x), x, y)
+            lo = hi
+        # Large ones by blocks of products.
+        for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            for i in range(s, s + n, BLOCK):
+                I = np.arange(i, min(i + BLOCK, s + n))
+                zi = query[I].astype(np.float32) * scale[I][:, None]
+                for j in range(i, s + n, BLOCK):
+                    J = np.arange(j, min(j + BLOCK, s + n))
+                    zj = zi if i == j else query[J].astype(np.float32) * scale[J][:, None]
+                    one, _ = estimate(signs[I], factor[I], zj, epsilon)
+                    two = estimate(signs[J], factor[J], zi, epsilon)[0].T
+                    # A first, looser cut by the largest bounds, so that few pairs are spelt out.
+                    reach = threshold - (bound[s : s + n].max() + step[s : s + n].max() / factor[s : s + n].min())
+                    possible = (one >= reach) & (two >= reach)
+                    if i == j:
+                        possible &= np.tri(len(I), k=-1, dtype=bool).T
+                    u, v = np.nonzero(possible)
+                    if len(u):
+                        yield from open_pairs(one[u, v], two[u, v], I[u], J[v])
 
     judged = stored(met.select("bucket", "id", "t", "keys", "code", "query", "factor", "scale").mapInArrow(judge, "a long, b long, sure boolean"), "estimated")
     vectors = nodes.select("id", "v")
