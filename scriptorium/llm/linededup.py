@@ -1,11 +1,13 @@
 """Removal of repeated lines by pairwise alignment of overlapping documents.
 
-Documents overlap if they share a line. Pairs are found through line hashes, aligned by patience diff, and blocks of
-aligned lines are deleted from the later document of the pair (the one with the greater id).
+Every document is aligned by patience diff with every earlier one that can take a block from it, and blocks of aligned
+lines are deleted from the later document of the pair (the one with the greater id). The result is that of all pairs:
 
-* A line that at most ``rare`` documents have makes all pairs of them.
-* A more frequent line would make a quadratic number of pairs. Each of its documents is paired with the first that has
-  the line, so the earliest copy of a line is always compared with every later one, at a cost in proportion to its uses.
+* A window is a shortest run of neighbouring lines that has ``min_words`` words, from a line on or up to a line. A line
+  can only be deleted through an earlier document that has one of the windows around it as well, so no other is tried.
+* The documents that have a window are tried in their order, and no further than to the first that deletes the whole
+  window: a later one can't change the result. Mostly the first does; rounds of more and more documents follow for the rest.
+* Documents that agree in their shared lines and the places of these are aligned once.
 
 Only hashes and positions of lines that several documents have are moved; a text is read to hash its lines and once more
 to cut the deleted ones.
@@ -14,7 +16,7 @@ to cut the deleted ones.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,26 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _with_gaps(place: list[int], hashes: list[int], more: bool, step: int) -> tuple[list[int], list[int]]:
+    """The line hashes with a number of no other line in every gap of the places, and the place of each.
+
+    Lines that no other document has can't be aligned, but they end a run of equal ends. ``more``: some follow the last.
+    """
+    out, at, free, expected = [], [], step << 64, 0
+    for p, h in zip(place, hashes):
+        if p != expected:
+            out.append(free)
+            at.append(-1)
+            free += step
+        out.append(h)
+        at.append(p)
+        expected = p + 1
+    if more:
+        out.append(free)
+        at.append(-1)
+    return out, at
+
+
 def common_blocks(place_a: list[int], hash_a: list[int], place_b: list[int], hash_b: list[int], words_b: list[int], least: int) -> list[int]:
     """Places in b that lie in an aligned block of at least ``least`` words; a block is contiguous in both documents."""
     out: list[int] = []
@@ -103,59 +125,121 @@ def common_blocks(place_a: list[int], hash_a: list[int], place_b: list[int], has
     return out
 
 
+def windows(place: list[int], hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(key, first, last place) of the shortest runs of neighbouring lines from each line on and up to each line that
+    have ``least`` words."""
+    out = set()
+    for i, w in enumerate(words):
+        if w >= least:
+            out.add((hashes[i], place[i], place[i]))
+            continue
+        for step in (1, -1):
+            j, total = i, w
+            while total < least and 0 <= j + step < len(words) and place[j + step] == place[j] + step:
+                j += step
+                total += words[j]
+            if total >= least:
+                lo, hi = min(i, j), max(i, j)
+                out.add((hash(tuple(hashes[lo : hi + 1])), place[lo], place[hi]))
+    return list(out)
+
+
 def _key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("body")]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, body, place, h, words): the hash of every line that has a word; ``place`` counts these lines of a document."""
+    """(doc, body, place, h, words, n): the hash of every line that has a word; ``place`` counts these lines of a document,
+    which are ``n``."""
     trimmed = F.transform(F.split(text_or_empty(text_col), "\n", -1), lambda x: F.struct(F.regexp_count(x, F.lit(WORD)).alias("words"), F.xxhash64(x).alias("h")))
     full = F.filter(trimmed, lambda x: x["words"] > 0)
-    return docs.select(*_key(id_col, text_col), F.posexplode(full).alias("place", "x")).select("doc", "body", "place", F.col("x.h").alias("h"), F.col("x.words").cast("int").alias("words"))
+    rows = docs.select(*_key(id_col, text_col), full.alias("full"))
+    return rows.select("doc", "body", F.size("full").alias("n"), F.posexplode("full").alias("place", "x")).select("doc", "body", "place", F.col("x.h").alias("h"), F.col("x.words").cast("int").alias("words"), "n")
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc, body, place, earlier): lines to delete, and the least id of the documents that have the aligned block."""
-    me = F.struct("doc", "body")
-    # Equal rows are one document; a line counts once for each.
-    lines = lines_of(docs, id_col, text_col).select(me.alias("k"), "place", "h", "words").distinct()
-    spread = lines.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("h", "first")
-    # Lines that only one document has can't be aligned and are dropped before anything else is moved.
-    shared = stored(lines.join(spread, "h"), "shared-lines")
-    uses = shared.select("h", "k", "first").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    few = uses.where(F.col("n") <= rare).groupBy("h").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    pairs_of_few = few.select(F.explode(F.expr("flatten(transform(ks, (a, i) -> transform(slice(ks, i + 2, size(ks)), b -> struct(a as a, b as b))))")).alias("p")).select("p.a", "p.b")
-    pairs_of_many = uses.where((F.col("n") > rare) & (F.col("k") != F.col("first"))).select(F.col("first").alias("a"), F.col("k").alias("b"))
-    pairs = pairs_of_few.unionByName(pairs_of_many).distinct()
-    whole = stored(shared.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "h", "words"))).alias("x")).select("k", F.col("x.place").alias("p"), F.col("x.h").alias("h"), F.col("x.words").alias("w")), "line-lists")
+def _lists(batch: pa.RecordBatch, c: int) -> Callable[[int], list[int]]:
+    """The lists of a column by row."""
+    at, flat = np.asarray(batch.column(c).offsets).tolist(), np.asarray(batch.column(c).flatten()).tolist()
+    base = at[0]
+    return lambda i: flat[at[i] - base : at[i + 1] - base]
+
+
+def _aligned(pairs: DataFrame, groups: DataFrame, min_words: int) -> DataFrame:
+    """(g, place, a): what each pair (ga, g) of groups deletes from the second; a is the first document of ``ga``."""
+    left = pairs.join(groups.select(F.col("g").alias("ga"), F.col("head").alias("a"), F.col("p").alias("pa"), F.col("h").alias("ha"), F.col("more").alias("ma")), "ga")
     # The second column of lists is joined on the later document, so that its pairs lie together.
-    left = pairs.join(whole.select(F.col("k").alias("a"), F.col("p").alias("pa"), F.col("h").alias("ha")), "a")
-    both = left.join(whole.select(F.col("k").alias("b"), F.col("p").alias("pb"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b")
+    both = left.join(groups.select("g", F.col("p").alias("pb"), F.col("h").alias("hb"), F.col("w").alias("wb"), F.col("more").alias("mb")), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, bodies, places, earlier = [], [], [], []
-            ids, body, first = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            cols = []
-            for c in range(3, 8):
-                at, flat = np.asarray(batch.column(c).offsets).tolist(), np.asarray(batch.column(c).flatten()).tolist()
-                base = at[0]
-                cols.append((at, flat, base))
-
-            def cut(c: int, i: int) -> list[int]:
-                at, flat, base = cols[c]
-                return flat[at[i] - base : at[i + 1] - base]
-
-            for i in range(len(ids)):
-                hit = common_blocks(cut(0, i), cut(1, i), cut(2, i), cut(3, i), cut(4, i), min_words)
-                docs_.extend([ids[i]] * len(hit))
+            gs, docs_, bodies, places = [], [], [], []
+            g, doc, body, more_a, more_b = (batch.column(c).to_pylist() for c in range(5))
+            pa_, ha, pb, hb, wb = (_lists(batch, c) for c in range(5, 10))
+            for i in range(len(g)):
+                left, at_left = _with_gaps(pa_(i), ha(i), more_a[i], -1)
+                right, at_right = _with_gaps(pb(i), hb(i), more_b[i], 1)
+                words = dict(zip(pb(i), wb(i)))
+                hit = common_blocks(at_left, left, at_right, right, [words.get(p, 0) for p in at_right], min_words)
+                gs.extend([g[i]] * len(hit))
+                docs_.extend([doc[i]] * len(hit))
                 bodies.extend([body[i]] * len(hit))
                 places.extend(hit)
-                earlier.extend([first[i]] * len(hit))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(bodies, pa.int64()), pa.array(places, pa.int32()), pa.array(earlier, pa.int64())], names=["doc", "body", "place", "earlier"])
+            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(places, pa.int32()), pa.array(docs_, pa.int64()), pa.array(bodies, pa.int64())], names=["g", "place", "doc", "body"])
+
+    found = both.select("g", "a.doc", "a.body", "ma", "mb", "pa", "ha", "pb", "hb", "wb").mapInArrow(run, "g long, place int, doc long, body long")
+    return found.groupBy("g", "place").agg(F.min(F.struct("doc", "body")).alias("a"))
+
 
-    found = both.select("b.doc", "b.body", F.col("a.doc").alias("earlier"), "pa", "ha", "pb", "hb", "wb").mapInArrow(run, "doc long, body long, place int, earlier long")
-    return found.groupBy("doc", "body", "place").agg(F.min("earlier").alias("earlier"))
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(doc, body, place, earlier): lines to delete, and the least id of the documents that have the aligned block.
+
+    ``rare`` only sets how many documents of a window are tried in the second round; the result doesn't depend on it.
+    """
+    me = F.struct("doc", "body")
+    # Equal rows are one document; a line counts once for each.
+    lines = lines_of(docs, id_col, text_col).select(me.alias("k"), "place", "h", "words", "n").distinct()
+    spread = lines.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("h")
+    # Lines that only one document has can't be aligned and are dropped before anything else is moved.
+    whole = lines.join(spread, "h").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "h", "words"))).alias("x"), F.first("n").alias("n"))
+    whole = whole.select("k", F.col("x.place").alias("p"), F.col("x.h").alias("h"), F.col("x.words").alias("w"), (F.element_at("x.place", -1) + 1 < F.col("n")).alias("more"))
+    whole = stored(whole.withColumn("g", F.xxhash64("p", "h", "more")), "line-lists")
+    groups = stored(whole.groupBy("g").agg(F.min("k").alias("head"), F.max("k").alias("last"), *[F.first(c).alias(c) for c in ("p", "h", "w", "more")]), "line-groups")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, h, w = (_lists(batch, c) for c in range(1, 4))
+            g, found = batch.column(0).to_pylist(), []
+            for i in range(len(g)):
+                found.extend((g[i], *x) for x in windows(p(i), h(i), w(i), min_words))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "w", "s", "e"])
+
+    heads = groups.select("g", "head", "last")
+    cuts = groups.select("g", "p", "h", "w").mapInArrow(cut, "g long, w long, s int, e int").join(heads, "g")
+    first = cuts.groupBy("w").agg(F.min(F.struct("head", "g")).alias("f"), F.max("last").alias("l")).where("f.head < l").select("w", "f")
+    # Windows of which no earlier document has a copy take no part.
+    uses = stored(cuts.join(first, "w").where("f.head < last"), "line-windows")
+    gone = stored(_aligned(uses.select(F.col("f.g").alias("ga"), "g").distinct(), groups, min_words), "aligned")
+
+    def rest(of: DataFrame) -> DataFrame:
+        """Windows of ``of``, and up to which document a line of theirs may still be deleted or have an earlier source."""
+        each = of.withColumn("place", F.explode(F.sequence("s", "e"))).join(gone, ["g", "place"], "left")
+        until = F.when(F.count("a") < F.count(F.lit(1)), F.first("last")).otherwise(F.least(F.first("last"), F.max("a")))
+        return each.groupBy("w", "g", "s", "e").agg(F.first("last").alias("last"), F.first("t").alias("t"), until.alias("until")).where("t < until")
+
+    # Windows that lost all lines to the first document that has them are done.
+    left = stored(rest(uses.select("w", "g", "s", "e", "last", F.col("f.head").alias("t"))), "open-windows")
+    others = uses.where("f.head < head").select("w", F.col("g").alias("ga"), "head").join(left.select("w").distinct(), "w", "left_semi").distinct()
+    ranked = stored(others.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("head", "ga"))), "window-documents")
+    lo, hi = 1, 1 + max(rare, 1)
+    while True:
+        onward = ranked.where(F.col("r") == lo).select("w", F.col("head").alias("next"))
+        left = stored(left.drop("until").transform(rest).join(onward, "w").where("next < until").drop("next"), "open-windows")
+        if left.isEmpty():
+            break
+        pairs = left.join(ranked.where((F.col("r") >= lo) & (F.col("r") < hi)), "w").where("head < until").select("ga", "g").distinct()
+        gone = stored(gone.unionByName(_aligned(pairs, groups, min_words)).groupBy("g", "place").agg(F.min("a").alias("a")), "aligned")
+        lo, hi = hi, 8 * hi
+    return whole.select("k", "g").join(gone, "g").where("a < k").select("k.doc", "k.body", "place", F.col("a.doc").alias("earlier"))
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, rare: int, min_words: int) -> tuple[DataFrame, Column, Column]:

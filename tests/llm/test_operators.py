@@ -482,6 +482,24 @@ def test_line_dedup_against_all_pairs(spark):
     assert one and all("end" not in r["text"] for r in flagged)  # a line of all documents goes from all but the first
 
 
+def test_frequent_lines_against_all_pairs(spark):
+    # Lines of more than RARE documents: repeated in the first or the later ones, in another order, and blocks of short
+    # lines whose first documents differ.
+    rng = random.Random(21)
+    long, short = [f"a frequent line of many words {i}" for i in range(3)], [f"s{i} t" for i in range(5)]
+    data = [(i, f"{short[i]}\nonly {i}") for i in range(5)]
+    for i in range(5, 45):
+        body = []
+        for _ in range(rng.randint(1, 4)):
+            body += rng.choice([[rng.choice(long)], [rng.choice(long)] * 2, rng.sample(long, 2), short[: rng.randint(2, 5)], [f"own {i} {len(body)}"]])
+        data.append((i, "\n".join(body)))
+    data += [(i + 100, t) for i, t in data[10:30]]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    brute = {d: "\n".join(kept) for (d, _), kept in brute_lines(data).items()}
+    assert min(sum(x in t.split("\n") for _, t in data) for x in long + short[:4]) > linededup.RARE
+    assert {r["doc_id"]: r["text"] for r in linededup.align(df).collect()} == brute
+
+
 def test_patience():
     assert linededup.patience(list("abc"), list("axc")) == [(0, 0), (2, 2)]
     assert linededup.patience(list("xaby"), list("zabw")) == [(1, 1), (2, 2)]
