@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, utf8_bytes, where_kept, words_in
 
-#: Bounds of the training sample: labelled texts a language, and languages (the most frequent ones).
-SAMPLE_TEXTS, MAX_LANGUAGES = 300, 64
-#: Words of a training segment, segments of a training chain, and chains.
-SEGMENT, SEGMENTS, CHAINS, EPOCHS = (4, 40), (1, 4), 2000, 30
+#: Bound of the training sample: labelled texts a language. Every language that has labelled texts is fitted.
+SAMPLE_TEXTS = 300
+#: Words of a training segment, segments of a training chain, and chains: at least, and for each language.
+SEGMENT, SEGMENTS, CHAINS, CHAINS_EACH, EPOCHS = (4, 40), (1, 4), 2000, 30, 30
 HASH_BITS, LEXICON_TEXTS = 18, 3
 MIN_WORDS, MIN_SHARE, MIN_CONFIDENCE = 20, 0.25, 0.6
 RESULT = "doc_id long, declared string, language string, n_words long, share double, confidence double, n_switches long, spans array<struct<start:int,n:int,lang:string>>, kept boolean"
@@ -34,7 +34,7 @@ _SEED = 20240601
 class Model:
     languages: list[str]
     weights: np.ndarray  # hashed features x languages
-    lexicon: tuple[np.ndarray, np.ndarray]  # sorted word hashes, bit set of the languages that have them
+    lexicon: tuple[np.ndarray, np.ndarray]  # sorted word hashes, and for each the languages that have it as bits of words of 64
     transition: np.ndarray  # log potentials
     start: np.ndarray
 
@@ -67,10 +67,10 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.nda
         words.append(own[use])
         codes.append(packed[use] * np.uint64(8) + np.uint64(k - 2))
     for i in range(n_languages):
-        has = np.flatnonzero((bits >> np.uint64(i)) & np.uint64(1))
+        has = np.flatnonzero((bits[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))
         words.append(has)
         codes.append(np.full(len(has), 7 + 8 * (i + 1), dtype=np.uint64))
-    none = np.flatnonzero(bits == 0)
+    none = np.flatnonzero(~bits.any(axis=1))
     words.append(none)
     codes.append(np.full(len(none), 7, dtype=np.uint64))
     word, code = np.concatenate(words), np.concatenate(codes)
@@ -82,9 +82,9 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.nda
 def _lexicon_bits(h: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     known, bits = lexicon
     if not len(known):
-        return np.zeros(len(h), np.uint64)
+        return np.zeros((len(h), bits.shape[1]), np.uint64)
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, bits[at], np.uint64(0))
+    return np.where((known[at] == h)[:, None], bits[at], np.uint64(0))
 
 
 # --- forward-backward -------------------------------------------------------------------------------------------------
@@ -147,10 +147,10 @@ def forward_backward(e: np.ndarray, first: np.ndarray, transition: np.ndarray, s
 
 
 def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> DataFrame | None:
-    """(lang, h, text): about ``2 * texts`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, drawn by a hash
-    of the text; None without any language. ``fit`` uses the first ``texts`` of them by the hash."""
+    """(lang, h, text): about ``2 * texts`` texts of each language, drawn by a hash of the text; None without any language.
+    ``fit`` uses the first ``texts`` of them by the hash."""
     counts = docs.where(F.col(lang_col).isNotNull() & (F.trim(F.col(lang_col)) != "")).groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    top = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    top = counts.collect()
     if not top:
         return None
     rate = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * texts / r["count"])))])
@@ -166,7 +166,7 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
     k = len(languages)
     hashes, spans, raws, base = [], [], [], 0
     by_lang: list[list[tuple[int, int]]] = [[] for _ in languages]  # word ranges of texts
-    seen: dict[int, np.ndarray] = {}
+    seen: dict[int, int] = {}  # any number of bits
     n = 0
     for i, lang in enumerate(languages):
         raw, offsets = utf8_bytes(pc.utf8_lower(pa.array(sample[lang], pa.large_string())))
@@ -183,7 +183,8 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
         base += len(raw)
         n += len(h)
     known = np.array(sorted(seen), dtype=np.uint64)
-    lexicon = (known, np.array([seen[int(w)] for w in known], dtype=np.uint64))
+    parts = max(1, -(-k // 64))
+    lexicon = (known, np.array([[seen[int(w)] >> 64 * j & (1 << 64) - 1 for j in range(parts)] for w in known], dtype=np.uint64).reshape(-1, parts))
     empty = Model(languages, np.zeros((1 << HASH_BITS, max(k, 1))), lexicon, np.zeros((max(k, 1),) * 2), np.zeros(max(k, 1)))
     usable = [i for i in range(k) if by_lang[i]]
     if k < 2 or len(usable) < 2:
@@ -205,11 +206,12 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
     at = place[at]
     feats, firsts = features(raw, span[0][at], span[1][at], _lexicon_bits(unique, lexicon), k)
     of_word = np.repeat(np.arange(len(unique)), np.diff(np.append(firsts, len(feats))))
+    used, feats = np.unique(feats, return_inverse=True)  # the others keep a weight of 0
     observed = np.zeros((k, k))
     inside = np.flatnonzero(~new)
     np.add.at(observed, (y[inside - 1], y[inside]), 1)
     initial = np.bincount(y[new], minlength=k).astype(float)
-    params = [empty.weights, empty.transition, empty.start]
+    params = [np.zeros((len(used), k)), empty.transition, empty.start]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(k)[y]
     for epoch in range(1, epochs + 1):
@@ -217,13 +219,15 @@ def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS
         z = emission[w]
         post, pairs = forward_backward(np.exp(z - z.max(axis=1, keepdims=True)), new, np.exp(params[1]), np.exp(params[2]), pairs=True)
         by_word = np.stack([np.bincount(w, weights=d, minlength=len(unique)) for d in (target - post).T], axis=1)
-        g0 = np.stack([np.bincount(feats, weights=by_word[of_word, j], minlength=1 << HASH_BITS) for j in range(k)], axis=1)
+        g0 = np.stack([np.bincount(feats, weights=by_word[of_word, j], minlength=len(used)) for j in range(k)], axis=1)
         grads = [g0 / len(w) - 1e-6 * params[0], (observed - pairs) / len(w) - 1e-6 * params[1], (initial - post[new].sum(axis=0)) / len(w) - 1e-6 * params[2]]
         for p, g, (m, v) in zip(params, grads, moments):  # Adam
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += 0.1 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
-    return Model(languages, params[0].astype(np.float32), lexicon, params[1], params[2])
+    weights = np.zeros((1 << HASH_BITS, k), np.float32)
+    weights[used] = params[0]
+    return Model(languages, weights, lexicon, params[1], params[2])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> Model:
@@ -237,7 +241,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts
         for batch in batches:
             for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found.setdefault(lang, []).append((h, text))
-        model = fit({k: [t for _, t in sorted(set(v))[:texts]] for k, v in found.items()})
+        model = fit({k: [t for _, t in sorted(set(v))[:texts]] for k, v in found.items()}, max(CHAINS, CHAINS_EACH * len(found)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
@@ -254,6 +258,9 @@ class Tagger:
     def __init__(self, model: Model):
         self.model, k = model, len(model.weights[0])
         self.transition, self.start = np.exp(model.transition), np.exp(model.start)
+        # Of more than 4 languages, fewer words are held and labelled at a time, so that memory stays the same.
+        self.most, self.bytes = self.MOST * 4 // max(k, 4), (1 << 22) * 4 // max(k, 4)
+        self.place = {x: i for i, x in enumerate(model.languages)}
         self.known, self.emission = np.zeros(0, np.uint64), np.zeros((0, k))
 
     def _emissions(self, unique: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -268,7 +275,7 @@ class Tagger:
             feats, firsts = features(raw, starts[miss], ends[miss], _lexicon_bits(unique[miss], self.model.lexicon), len(self.model.languages))
             z = np.add.reduceat(self.model.weights[feats], firsts, axis=0)
             out[miss] = np.exp(z - z.max(axis=1, keepdims=True))
-            if len(self.known) + len(miss) > self.MOST:
+            if len(self.known) + len(miss) > self.most:
                 self.known, self.emission = unique, out
             else:
                 self.known, self.emission = np.insert(self.known, at[miss], unique[miss]), np.insert(self.emission, at[miss], out[miss], axis=0)
@@ -295,7 +302,7 @@ def _judge(tagger: Tagger, texts: pa.Array, declared: pa.Array, limits: tuple[in
     row, label, sure = tagger.tag(texts)
     counts = np.bincount(row * k + label, minlength=n * k).reshape(n, k)
     words = counts.sum(axis=1)
-    own = np.array([names.index(x) if x in names else -1 for x in declared.to_pylist()], dtype=np.int64)
+    own = np.array([tagger.place.get(x, -1) for x in declared.to_pylist()], dtype=np.int64)
     best = counts.argmax(axis=1)
     judged = np.where(own >= 0, own, best)
     share = counts[np.arange(n), judged] / np.maximum(words, 1)
@@ -327,7 +334,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
         names = pa.array([*shared.value.languages, None][: max(len(shared.value.languages), 1)], pa.string())
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column(1)))
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, tagger.bytes):
                 part = batch.slice(a, b - a)
                 got = _judge(tagger, part.column(1), part.column(2), limits)
                 n, row, label = len(part), got["row"], got["label"]
@@ -356,7 +363,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, text_col: str =
         if not made:
             made.append(Tagger(shared.value))
         sizes = np.asarray(pc.binary_length(batch.column(0)))
-        parts = [_judge(made[0], batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), limits)["kept"] for a, b in slices(sizes)]
+        parts = [_judge(made[0], batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), limits)["kept"] for a, b in slices(sizes, made[0].bytes)]
         return np.concatenate(parts) if parts else np.zeros(0, bool)
 
     return where_kept(docs, [F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string")], decide)

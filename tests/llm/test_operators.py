@@ -429,6 +429,17 @@ def test_language_cases(spark, nasty, nothing, model):
     assert langid.identify(one).first()["kept"]
 
 
+def test_more_than_64_languages(spark):
+    rng = random.Random(22)
+    sample = {f"l{i:02d}": [" ".join(rng.choice(letters) for _ in range(12)) for _ in range(3 + (i < 60))] for i in range(70) for letters in [[chr(0x4E00 + 20 * i + j) * 2 for j in range(8)]]}
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in sample.items() for t in v)], "doc_id long, text string, lang string")
+    assert {r["lang"] for r in langid.labelled_sample(df).select("lang").distinct().collect()} == set(sample)
+    model = langid.fit(sample, chains=300, epochs=8)
+    assert model.languages == sorted(sample) and model.lexicon[1].any(axis=0).all()
+    got = langid.identify(df, model).collect()
+    assert all(r["language"] == r["declared"] and r["share"] > 0.9 for r in got)
+
+
 def test_tagger_caches_nothing_but_emissions(model):
     rng = random.Random(12)
     t = pa.array([prose(rng, "fr", 50), "", prose(rng, "en", 1)])
