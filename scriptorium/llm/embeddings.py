@@ -5,8 +5,9 @@ rotated vector; with the stored factor ``<code, vector>`` the code gives, agains
 estimate of the inner product and a confidence bound on it. The bound alone accepts or rejects a pair, and only pairs
 that it leaves open are computed exactly from the vectors.
 
-Candidates come from tables that are keyed by bits of the same code: the number of bits grows with the logarithm of the
-rows, so buckets stay small, and the number of tables follows from the recall wanted at the threshold.
+Candidates come from tables that are keyed by signs of random projections, other ones for every bit of every table, so
+that tables miss a pair independently: the number of bits grows with the logarithm of the rows, so buckets stay small, and
+the number of tables follows from the recall wanted at the threshold.
 """
 
 from __future__ import annotations
@@ -64,6 +65,19 @@ def plan(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tup
     return key, max(1, ceil(log(1 - recall) / log(1 - meet))) if meet < 1 else 1
 
 
+def key_planes(dim: int, key_bits: int, tables: int) -> np.ndarray:
+    """Independent normals of the planes whose sides are the bits of the keys, table by table; the same on every worker."""
+    return np.random.default_rng(SEED + 1).standard_normal((dim, tables * key_bits)).astype(np.float32)
+
+
+def bucket_keys(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
+    """The bucket of each row in every table: rows x tables."""
+    sides = (x @ planes > 0).reshape(len(x), tables, -1)
+    salt = mix64(np.arange(1, sides.shape[2] + 1, dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        return np.stack([mix64((sides[:, t] * salt).sum(axis=1, dtype=np.uint64) + np.uint64(t)) for t in range(tables)], axis=1)
+
+
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     flat = np.asarray(column.flatten(), dtype=np.float32)
     x = flat.reshape(-1, dim)
@@ -93,20 +107,17 @@ def near_pairs(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall:
     """
     n = nodes.count()
     key_bits, tables = plan(n, threshold, recall)
-    bits = max(code_bits(dim), -(-(key_bits + 8) // 64) * 64)
-    turn = rotation(dim, bits)
-    rng = np.random.default_rng(SEED + 1)
-    chosen = np.stack([rng.choice(bits, key_bits, replace=False) for _ in range(tables)])
+    bits = code_bits(dim)
+    turn, planes = rotation(dim, bits), key_planes(dim, key_bits, tables)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix64(np.arange(1, bits + 1, dtype=np.uint64))
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                z, signs, factor = encode(_unit(part.column(1), dim), turn)
+                x = _unit(part.column(1), dim)
+                z, signs, factor = encode(x, turn)
                 m = len(part)
-                with np.errstate(over="ignore"):
-                    keys = np.stack([mix64((signs[:, c].astype(np.uint64) * salt[c]).sum(axis=1, dtype=np.uint64) + np.uint64(t)) for t, c in enumerate(chosen)], axis=1)
+                keys = bucket_keys(x, planes, tables)
                 scale = np.abs(z).max(axis=1) / 127
                 query = np.round(z / scale[:, None]).astype(np.int8)  # rotated vector in 8 bits
                 yield pa.RecordBatch.from_arrays(

@@ -583,6 +583,18 @@ def test_embeddings_against_all_pairs(spark):
     assert all(brute[i] == brute[g] for i, g in got.items())  # nothing but true near-duplicates
 
 
+def test_recall_of_buckets_at_a_million_rows():
+    rng = np.random.default_rng(23)
+    x, y = rng.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    key_bits, tables = embeddings.plan(10**6)
+    planes = embeddings.key_planes(64, key_bits, tables)
+    one, two = (embeddings.bucket_keys(v.astype(np.float32), planes, tables) for v in (x, y))
+    assert (one == two).any(axis=1).mean() > embeddings.RECALL - 0.012
+
+
 def test_embedding_cases(spark):
     v = [1.0, 0.0, 0.0, 0.0]
     data = [(1, v), (2, v), (2, v), (3, None), (4, [0.0] * 4), (5, [float("nan")] * 4), (6, [1.0]), (7, [1.0]), (8, [None, 1.0, 0.0, 0.0]), (None, [0.0, 1.0, 0.0, 0.0]), (9, [0.0, 2.0, 0.0, 0.0]), (10, [])]
