@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .storage import stored
 
 #: White space as Python's ``str.split`` has it; Java's Unicode \s lacks the four separators.
 WHITE = r"(?U)[\s\x{1c}-\x{1f}]+"
-#: Rows up to which one window is cheaper than a search for ranges, and rows of a range.
-ONE_WINDOW, RANGE_ROWS = 1_000_000, 500_000
 
 
 def col(x: str | Column) -> Column:
@@ -35,25 +34,14 @@ def tables(spark: SparkSession, sf: str):
 def with_position(df: DataFrame, order: list[str], name: str = "position", start: int = 0) -> DataFrame:
     """Adds the 0-based place of each row in the whole order.
 
-    A small table is one window. A larger one is cut into ranges of the order key at sampled boundaries, so that every
-    range is numbered by its own task; only the ranges' sizes pass through the driver.
+    One exchange cuts the rows into ranges of the order key, each of which a task sorts, numbers and writes to the shared
+    folder. The ranges' sizes, one number a task, give the place of every range's first row.
     """
-    key = F.struct(*order)
-    rows = df.select(*order).count()
-    if rows <= ONE_WINDOW:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
-    ranges = -(-rows // RANGE_ROWS)
-    rate = min(1.0, 64 * ranges / rows)
-    draw = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) / float(1 << 30)
-    sample = [tuple(r) for r in df.where(draw < rate).select(*order).distinct().orderBy(*order).collect()]
-    bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}, key=lambda t: bisect_left(sample, t)) if sample else []
-    kinds = ",".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in order)
-    edge = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(b, order)]) for b in bounds]).cast(f"array<struct<{kinds}>>") if bounds else None
-    placed = df.withColumn("__range", F.size(F.filter(edge, lambda b: b <= key)) if edge is not None else F.lit(0))
-    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
-    base, run = [], start
-    for i in range(len(bounds) + 1):
-        base.append(run)
-        run += sizes.get(i, 0)
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("__range") + 1)
-    return placed.withColumn(name, F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1 + offset).drop("__range")
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    placed = stored(numbered, "places")
+    # An id of Spark's is the number of the task in the upper bits and that of the row in the lower 33.
+    task, row = F.shiftright(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["task"]: r["count"] for r in placed.groupBy(task.alias("task")).count().collect()}
+    before = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)), initial=start))
+    bases = F.expr("array(" + ",".join(f"{n}L" for n in before) + ")")
+    return placed.withColumn(name, F.element_at(bases, (task + 1).cast("int")) + row)

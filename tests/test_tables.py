@@ -9,6 +9,7 @@ from scriptorium import corpus
 from scriptorium.functions import filters as P
 from scriptorium.functions import text as X
 from scriptorium.operators import analysis, blocks, bpe, counts, dedup, lookup, morph, noise, order, pipes, profile, sgm, tabular, truecase
+from scriptorium.storage import stored
 
 O = ["line_no"]
 
@@ -28,14 +29,21 @@ def test_lines_and_tokens(spark):
     assert one.select(corpus.tokens("line")).first()[0] == " a\x1fb c  ".split()
 
 
-def test_positions_in_ranges(spark, monkeypatch):
-    df = spark.range(500).select((F.col("id") % 7).alias("a"), "id")
-    plain = table(corpus.with_position(df, ["a", "id"]), "position", "a", "id")
-    monkeypatch.setattr(corpus, "ONE_WINDOW", 10)
-    monkeypatch.setattr(corpus, "RANGE_ROWS", 60)
-    ranged = corpus.with_position(df, ["a", "id"])
-    assert table(ranged, "position", "a", "id") == plain
-    assert [p for p, *_ in plain] == list(range(500))
+def test_positions_in_ranges(spark):
+    df = spark.range(500, numPartitions=4).select((F.col("id") % 7).alias("a"), "id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("n"))
+    placed = table(corpus.with_position(df, ["a", "id"]), "position", "a", "id")
+    assert placed == [(p, *x) for p, x in enumerate(sorted((i % 7, i) for i in range(500)))]
+    again = table(corpus.with_position(df, ["n", "id"], "at", 10), "at", "n", "id")
+    assert [x[0] for x in again] == list(range(10, 510)) and [x[1] for x in again[:100]] == [None] * 100
+    assert corpus.with_position(df.limit(0), ["id"]).count() == 0
+
+
+def test_stored_tables_replace_each_other(spark):
+    one = stored(spark.range(5).toDF("x"), "t")
+    two = stored(one.selectExpr("x + 1 AS x"), "t", one)
+    assert [r["x"] for r in two.orderBy("x").collect()] == [1, 2, 3, 4, 5]
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE"):
+        spark.read.parquet(one._stored_at)
 
 
 def test_slices(lines):
