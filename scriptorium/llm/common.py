@@ -1,49 +1,16 @@
-"""Helpers shared by the operators of this folder: the shared folder, written tables, and vectorised word hashing."""
+"""Helpers shared by the operators of this folder: slices, filters by Arrow batches, and vectorised word hashing."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that every executor can read and write.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one. Only a session without that setting (tests, a laptop)
-    gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isDefined():
-            named = jsc.getCheckpointDir().get()
-        else:
-            named = "file://" + tempfile.mkdtemp(prefix="scriptorium-shared-")
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/") if "://" in named or named.startswith("file:") else "file://" + os.path.abspath(named)
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/scriptorium-{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
-
-    It cuts the lineage as ``checkpoint()`` does, in a columnar and compressed form, and survives lost executors.
-    """
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import expire, fresh_path, stored  # noqa: F401
 
 
 def text_or_empty(name: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embeddings, langid, linededup, packing, quality, sharding, simhash, warc
-from .common import fresh_path
+from .common import expire, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op4_warc_normalise(spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     warc.write_monolithic(spark.read.parquet(f"{sf}/pages.parquet"), f"{folder}/in")
-    index, _ = warc.normalise(spark, f"{folder}/in", f"{folder}/out")
+    index, files = warc.normalise(spark, f"{folder}/in", f"{folder}/out")
+    expire(spark, folder)
+    if not files.where("NOT whole").isEmpty():
+        raise ValueError("a WARC file was cut")
     return index.withColumn("page_id", F.regexp_extract("record_id", r"<urn:page:(-?\d+)>", 1).cast("long"))
 
 

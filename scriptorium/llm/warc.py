@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEVEL, STEP = 6, 1 << 20
+#: Level of compression; bytes that are read at a time, and of a line of a head at most; of a compressed record in memory.
+LEVEL, STEP, HELD = 6, 1 << 20, 16 << 20
 INDEX = "file string, record_no long, warc_type string, record_id string, target_uri string, offset long, length long, n_bytes long, digest string"
 
 
@@ -72,20 +73,55 @@ class _Damaged(Exception):
     pass
 
 
+class _Record:
+    """The compressed pieces of a record until it is whole: in memory, and beyond ``HELD`` bytes in a file beside the target."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.fs, self.path, self.held, self.n, self.size, self.file = fs, path, [], 0, 0, None
+
+    def add(self, piece: bytes) -> None:
+        self.held.append(piece)
+        self.n += len(piece)
+        self.size += len(piece)
+        if self.n > HELD:
+            self.file = self.file or self.fs.open_output_stream(self.path)
+            for p in self.held:
+                self.file.write(p)
+            self.held, self.n = [], 0
+
+    def move_to(self, out) -> None:
+        if self.file:
+            self.file.close()
+            with self.fs.open_input_stream(self.path, compression=None) as back:
+                while block := back.read(STEP):
+                    out.write(block)
+        for p in self.held:
+            out.write(p)
+        self.drop()
+
+    def drop(self) -> None:
+        if self.file:
+            if not self.file.closed:
+                self.file.close()
+            self.fs.delete_file(self.path)
+            self.file = None
+
+
 def _records(stream: io.BufferedReader) -> Iterator[tuple[bytes, dict[str, str], int]]:
     """(head, headers, body length) of each record; the caller reads the body before it asks for the next one."""
     while True:
-        line = stream.readline()
+        line = stream.readline(STEP)
         while line in (b"\r\n", b"\n"):
-            line = stream.readline()
+            line = stream.readline(STEP)
         if not line:
             return
         if not line.startswith(b"WARC/"):
             raise _Damaged
-        head, headers = [line], {}
+        head, headers, size = [line], {}, len(line)
         while True:
-            line = stream.readline()
-            if not line:
+            line = stream.readline(STEP)
+            size += len(line)
+            if not line.endswith(b"\n") or size > STEP:  # no head is that long
                 raise _Damaged
             head.append(line)
             if line in (b"\r\n", b"\n"):
@@ -102,39 +138,40 @@ def _records(stream: io.BufferedReader) -> Iterator[tuple[bytes, dict[str, str],
 def normalise_file(source: str, target: str, level: int = LEVEL) -> tuple[int, int, bool]:
     """Rewrites one WARC file, inflating it once; (records, bytes written, whole).
 
-    Memory is bounded by ``STEP`` whatever the size of the file or a record. The file may be one gzip stream, many
+    Memory is bounded by ``STEP`` and ``HELD`` whatever the size of the file, a record or a line. The file may be one gzip stream, many
     members, or not compressed. Of a cut or damaged file the records before the damage are kept.
     """
-    fs, path = _open(source)
-    _, final = _open(target)
+    source_fs, path = _open(source)
+    fs, final = _open(target)
     temporary = f"{final}.{uuid.uuid4().hex}.tmp"
     offset = n = 0
     whole = True
-    raw = fs.open_input_stream(path, compression=None)  # or Arrow inflates by the suffix, and fails on a cut stream
+    raw = source_fs.open_input_stream(path, compression=None)  # or Arrow inflates by the suffix, and fails on a cut stream
     peek = raw.read(2)
     raw.close()
-    raw = fs.open_input_stream(path, compression=None)
+    raw = source_fs.open_input_stream(path, compression=None)
     stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), STEP) if peek == b"\x1f\x8b" else io.BufferedReader(raw, STEP)
     name = final.rsplit("/", 1)[-1]
     with fs.open_output_stream(temporary) as out, fs.open_output_stream(temporary + "i") as index:
         try:
             for head, headers, size in _records(stream):
                 squeeze, digest, left = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1(), size
-                # A record that fits one step is compressed before anything is written, so a cut one leaves no trace.
-                parts = [squeeze.compress(head)]
-                kept = sum(map(len, parts))
-                while left:
-                    block = stream.read(min(STEP, left))
-                    if not block:
-                        raise _Damaged
-                    digest.update(block)
-                    left -= len(block)
-                    parts.append(squeeze.compress(block))
-                    kept += len(parts[-1])
-                parts.append(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
-                length = sum(map(len, parts))
-                for p in parts:
-                    out.write(p)
+                # Nothing of a record is written before all of it is read, so a cut one leaves no trace.
+                record = _Record(fs, temporary + "r")
+                try:
+                    record.add(squeeze.compress(head))
+                    while left:
+                        block = stream.read(min(STEP, left))
+                        if not block:
+                            raise _Damaged
+                        digest.update(block)
+                        left -= len(block)
+                        record.add(squeeze.compress(block))
+                    record.add(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
+                    length = record.size
+                    record.move_to(out)
+                finally:
+                    record.drop()
                 row = {"file": name, "record_no": n, "warc_type": headers.get("warc-type"), "record_id": headers.get("warc-record-id"), "target_uri": headers.get("warc-target-uri"), "offset": offset, "length": length, "n_bytes": len(head) + size, "digest": "sha1:" + base64.b32encode(digest.digest()).decode()}
                 index.write((json.dumps(row, ensure_ascii=False) + "\n").encode())
                 offset += length
