@@ -1,4 +1,9 @@
-"""BPE encoding through a table of distinct words, and decoding through an id-to-piece join."""
+"""BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
+
+A block is a run of documents of one input partition of about ``BLOCK_WORDS`` words. It is written as its distinct words
+and, for every document, the places of its words among them. So the table of distinct words meets one row a word and
+block, not one a word of the text, and the ids come back to the same places.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +14,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import expire, fresh_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Words of a block, words that are looked at together, and pieces that a vocabulary may have to be sent to all workers.
+BLOCK_WORDS, SLICE_WORDS, MOST_PIECES = 1 << 22, 1 << 19, 1 << 22
 #: The byte-level BPE pattern for Java, in which \s means every Unicode space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,11 +34,23 @@ def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _encoder(known: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=known, special_tokens={})
+
+
 @cache
 def encoder(path: str = VOCABULARY):
-    import tiktoken
+    return _encoder(ranks(path))
+
 
-    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+def _sent(spark: SparkSession, vocabulary: str):
+    """The vocabulary, read once on the driver and sent to the workers; its size depends on no corpus and is checked."""
+    known = ranks(vocabulary)
+    if len(known) > MOST_PIECES:
+        raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces")
+    return spark.sparkContext.broadcast(known)
 
 
 def words_of(text: Column) -> Column:
@@ -41,13 +58,9 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
-
-
-def _slices(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` words."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)))
+def _slices(batch: pa.RecordBatch, most: int = SLICE_WORDS, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` elements of a list column."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(column)), 0)))
     at = 0
     while at < len(batch):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
@@ -55,155 +68,235 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBat
         at = to
 
 
-def distinct_words(split: DataFrame) -> DataFrame:
-    """(part, word): the distinct words of every input partition. Python sees Arrow arrays only; uniqueness is found in C++."""
+def _lists(ends: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), []
-        n = 0
-        for batch in batches:
-            for piece in _slices(batch):
-                seen.append(pc.unique(piece.column(1).flatten()))
-                n += len(seen[-1])
-                if len(seen) > 1 and n > 2 * max(len(seen[0]), 1 << 18):
-                    seen = [pc.unique(pa.chunked_array(seen))]
-                    n = len(seen[0])
-        if seen:
-            words = pc.unique(pa.chunked_array(seen))
-            for a in range(0, len(words), 1 << 16):
-                w = words.slice(a, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, np.int32)), w.cast(pa.string())], names=["part", "word"])
 
-    return split.mapInArrow(run, "part int, word string")
+def _one_list(values: np.ndarray | pa.Array) -> pa.ListArray:
+    return _lists(np.array([0, len(values)]), values)
 
 
-def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(word, parts, ids) from (word, parts): each distinct word is encoded once, on whichever worker holds it."""
+def write_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, docs, sizes, at, words), written and bucketed by ``block``: the ids of its rows, their numbers of words,
+    the places of all their words in ``words``, and the distinct words."""
+    spark = docs.sparkSession
+    split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, enc = ranks(vocabulary), encoder(vocabulary)
-        for batch in batches:
-            ids, ends = [], [0]
-            for w in batch.column(0).to_pylist():
-                one = known.get(w.encode())
-                ids.extend(enc.encode_ordinary(w) if one is None else (one,))
-                ends.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["word", "parts", "ids"])
+        first, made, n = TaskContext.get().partitionId() << 32, 0, 0
+        ids, sizes, coded = [], [], []
 
-    return words.mapInArrow(run, "word string, parts array<int>, ids array<int>")
+        def block() -> pa.RecordBatch:
+            both = pa.chunked_array(coded).unify_dictionaries()
+            at = np.concatenate([np.asarray(c.indices) for c in both.chunks]).astype(np.int32)
+            words = both.chunk(both.num_chunks - 1).dictionary.cast(pa.string())
+            columns = [pa.array([first + made], pa.int64()), _one_list(pa.concat_arrays(ids)), _one_list(np.concatenate(sizes)), _one_list(at), _one_list(words)]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "sizes", "at", "words"])
 
+        for batch in batches:
+            for piece in _slices(batch, min(SLICE_WORDS, block_words)):
+                ids.append(piece.column(0))
+                sizes.append(np.asarray(pc.list_value_length(piece.column(1))).astype(np.int32))
+                coded.append(piece.column(1).flatten().dictionary_encode())
+                n += len(coded[-1])
+                if n >= block_words:
+                    yield block()
+                    made, n, ids, sizes, coded = made + 1, 0, [], [], []
+        if ids:
+            yield block()
+
+    kind = split.schema["doc_id"].dataType.simpleString()
+    path = fresh_path(spark, "blocks")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    blocks = split.mapInArrow(run, f"block long, docs array<{kind}>, sizes array<int>, at array<int>, words array<string>")
+    blocks.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    expire(spark, path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
+def encode_words(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(block, places, sizes, ids) from the words of blocks: equal words come together and are encoded once.
+
+    A row holds what one task found for one block: places of words, their numbers of ids, and the ids, as packed int32.
+    """
+    sent = _sent(blocks.sparkSession, vocabulary)
+    each = blocks.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
+    # A word comes once from each block, so a frequent one has as many rows as there are blocks, and no more.
+    sorted_words = each.repartition("word").sortWithinPartitions("word")
 
-def _dictionary(root: str, part: int) -> tuple[pa.Array, pa.ListArray]:
-    fs, path = pafs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root)
-    folder = f"{path}/part={part}"
-    if fs.get_file_info(folder).type != pafs.FileType.Directory:
-        return pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
-    tables = [pq.read_table(x.path, columns=["word", "ids"], filesystem=fs, partitioning=None) for x in fs.get_file_info(pafs.FileSelector(folder)) if x.path.endswith(".parquet")]
-    both = pa.concat_tables(tables).combine_chunks()
-    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    word, ids = flat(both["word"]), flat(both["ids"])
-    word = word.chunk(0) if isinstance(word, pa.ChunkedArray) else word
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    return word.cast(pa.string()), ids.cast(pa.list_(pa.int32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        enc = _encoder(known)
+        last, last_ids = None, []
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            block, place, size = (np.concatenate([h[i] for h in held]) for i in range(3))
+            ids = np.concatenate([h[3] for h in held])
+            order = np.argsort(block, kind="stable")
+            start = np.cumsum(size) - size
+            take = size[order]
+            ends = np.cumsum(take)
+            ids = ids[np.repeat(start[order] - (ends - take), take) + np.arange(len(ids))]
+            block, place = block[order], place[order]
+            cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+            at = np.append(0, ends)[cuts]
+            for a in range(0, len(cuts) - 1, 1024):
+                some = range(a, min(a + 1024, len(cuts) - 1))
+                rows = [[x[lo:hi].astype("<i4").tobytes() for lo, hi in pieces] for x, pieces in ((place, [(cuts[i], cuts[i + 1]) for i in some]), (take, [(cuts[i], cuts[i + 1]) for i in some]), (ids, [(at[i], at[i + 1]) for i in some]))]
+                yield pa.RecordBatch.from_arrays([pa.array(block[cuts[some[0] : some[-1] + 1]]), *[pa.array(r, pa.binary()) for r in rows]], names=["block", "places", "sizes", "ids"])
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+        for batch in batches:
+            words = batch.column(0)
+            new = np.append(True, np.asarray(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)))) if len(words) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            ids, ends = [], [0]
+            for i, w in enumerate(words.take(pa.array(at)).to_pylist()):
+                if i or w != last:
+                    one = known.get(w.encode())
+                    last, last_ids = w, enc.encode_ordinary(w) if one is None else [one]
+                ids.extend(last_ids)
+                ends.append(len(ids))
+            size, flat = np.diff(ends), np.array(ids, np.int32)
+            of = np.cumsum(new) - 1
+            take = size[of]
+            stop = np.cumsum(take)
+            every = flat[np.repeat(np.array(ends)[of] - (stop - take), take) + np.arange(stop[-1] if len(stop) else 0)]
+            held.append((np.asarray(batch.column(1)), np.asarray(batch.column(2)), take.astype(np.int32), every))
+            n += len(words)
+            if n >= 1 << 20:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    return sorted_words.mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, block_words: int) -> DataFrame:
+    """(docs, sizes, at, found) of every block; ``found`` has what ``encode_words`` gives for it."""
+    blocks = write_blocks(docs, id_col, text_col, block_words)
+    found = encode_words(blocks, vocabulary).groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("found"))
+    # The blocks lie in the buckets of their table, so only the ids are exchanged.
+    return blocks.select("block", "docs", "sizes", "at").join(found, "block", "left").select("docs", "sizes", "at", "found")
+
+
+def _documents(block: tuple) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids of documents, ends of their lists, token ids) of a row of ``_encoded``, in slices."""
+    docs, sizes, at, found = block
+    unpack = lambda name: np.concatenate([np.frombuffer(x[name], "<i4") for x in found]) if found else np.zeros(0, np.int32)
+    place, size, flat = unpack("places"), unpack("sizes"), unpack("ids")
+    start, length = np.full(len(place), -1, np.int64), np.zeros(len(place), np.int64)
+    start[place], length[place] = np.cumsum(size) - size, size
+    if len(at) and (at.max() >= len(place) or (start < 0).any()):
+        raise ValueError("a block without all of its words")
+    ends = np.append(0, np.cumsum(sizes))
+    a = 0
+    while a < len(docs):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_WORDS, side="right")) - 1)
+        words = at[ends[a] : ends[b]]
+        n = length[words]
+        stop = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(start[words] - stop[:-1], n) + np.arange(stop[-1])]
+        yield docs.slice(a, b - a), stop[ends[a : b + 1] - ends[a]], ids
+        a = b
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(len(batch)):
+            docs, sizes, at, found = (c[i] for c in batch.columns)
+            yield docs.values, np.asarray(sizes.values), np.asarray(at.values), found.as_py() or []
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, ids): the token ids of every row's text.
 
-    1. Spark splits the texts into words; every input partition reports its distinct words.
-    2. A shuffle brings equal words together; each distinct word of the corpus is encoded once.
-    3. The encoded words are written by the partition that needs them, in the shared folder.
-    4. The texts are split again, and every position takes its word's ids from its own partition's table.
+    1. Spark splits the texts into words; blocks of rows are written as distinct words and their places.
+    2. A shuffle brings equal words of all blocks together; each distinct word of the corpus is encoded once.
+    3. The ids are joined back to the blocks, and by place to every word of every row.
 
-    So what is exchanged are distinct words, never texts or positions, and nothing is broadcast. If a partition is cut
-    otherwise on the second reading, words that its table lacks are encoded in place, with the same result.
+    Texts are never exchanged, and nothing is broadcast but the vocabulary.
 
     * A null or empty text has an empty list. Repeated rows are each encoded. An empty table gives no rows.
-    * Texts are cut at no length. Other columns are not used, whatever their names.
+    * Texts are cut at no length; a text of more words than a block is a block of its own. Other columns are not used,
+      whatever their names.
     """
-    spark = docs.sparkSession
-    split = _split(docs, id_col, text_col)
-    words = distinct_words(split).groupBy("word").agg(F.collect_list("part").alias("parts"))
-    root = fresh_path(spark, "words")
-    encode_words(words, vocabulary).select(F.explode("parts").alias("part"), "word", "ids").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(root)
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, ids = _dictionary(root, TaskContext.get().partitionId())
-        for batch in batches:
-            for piece in _slices(batch):
-                lists, flat = piece.column(1), piece.column(1).flatten().cast(pa.string())
-                at = pc.index_in(flat, word)
-                if at.null_count:
-                    new = pc.unique(flat.filter(pc.is_null(at)))
-                    enc = encoder(vocabulary)
-                    word = pa.concat_arrays([word, new])
-                    ids = pa.concat_arrays([ids, pa.array([enc.encode_ordinary(w) for w in new.to_pylist()], pa.list_(pa.int32()))])
-                    at = pc.index_in(flat, word)
-                start, flat_ids = np.asarray(ids.offsets), np.asarray(ids.values)
-                at = np.asarray(at)
-                size = start[at + 1] - start[at]
-                ends = np.append(0, np.cumsum(size))
-                take = np.repeat(start[at] - ends[:-1], size) + np.arange(ends[-1])
-                per_word = np.append(0, np.cumsum(np.asarray(pc.list_value_length(lists))))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends[per_word].astype(np.int32)), pa.array(flat_ids[take]))], names=["doc_id", "ids"])
-
-    return split.mapInArrow(run, f"doc_id {split.schema['doc_id'].dataType.simpleString()}, ids array<int>")
-
-
-def pieces(spark, vocabulary: str = VOCABULARY) -> DataFrame:
+        for block in _blocks(batches):
+            for ids, ends, flat in _documents(block):
+                yield pa.RecordBatch.from_arrays([ids, _lists(ends, flat)], names=["doc_id", "ids"])
+
+    return _encoded(docs, id_col, text_col, vocabulary, block_words).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, piece): the bytes of every token of the vocabulary."""
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks(vocabulary).items()], "id int, piece binary")
 
 
-@cache
-def _piece_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, length, bytes) of the pieces by id."""
-    known = ranks(vocabulary)
-    table = [b""] * (max(known.values()) + 1)
-    for b, i in known.items():
-        table[i] = b
-    lengths = np.array([len(b) for b in table])
-    return np.append(0, np.cumsum(lengths))[:-1], lengths, np.frombuffer(b"".join(table), dtype=np.uint8)
+class _Pieces:
+    """The table (id, piece) as the built side of a hash join."""
+
+    def __init__(self, table: pa.Table):
+        self.id = table.column("id").combine_chunks()
+        piece = table.column("piece").combine_chunks().cast(pa.large_binary())
+        self.start, self.raw = np.frombuffer(piece.buffers()[1], np.int64)[: len(piece) + 1], np.frombuffer(piece.buffers()[2], np.uint8)
 
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """The pieces of every list, joined by id, one after the other."""
+        at = pc.index_in(lists.flatten(), self.id)
+        if at.null_count:
+            raise ValueError("an id is outside of the vocabulary")
+        at = np.asarray(at)
+        size = self.start[at + 1] - self.start[at]
+        ends = np.append(0, np.cumsum(size))
+        data = self.raw[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cut = ends[np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0))))]
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])], pa.string(), mask=np.asarray(pc.is_null(lists)))
 
-def _texts(lists: pa.ListArray, vocabulary: str) -> pa.Array:
-    starts, lengths, raw = _piece_table(vocabulary)
-    ids = np.asarray(lists.flatten()).astype(np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths)):
-        raise ValueError("an id is outside of the vocabulary")
-    size = lengths[ids]
-    ends = np.append(0, np.cumsum(size))
-    data = raw[np.repeat(starts[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-    at = ends[np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0))))]
-    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string(), mask=np.asarray(pc.is_null(lists)))
+
+def _sent_pieces(spark: SparkSession, vocabulary: str):
+    table = pieces(spark, vocabulary).toArrow()
+    if len(table) > MOST_PIECES:
+        raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces")
+    return spark.sparkContext.broadcast(table)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, ids).
 
-    The id-to-piece join: each Arrow batch of ids is joined to the table of pieces by position, as ids are dense, so the
-    table (fixed by the vocabulary, whatever the corpus) is looked up without a shuffle. Bytes that are no UTF-8 become
-    U+FFFD. A null list gives a null text, an empty list an empty one; an id outside of the vocabulary raises an error.
+    The table of ``pieces`` is sent to all workers, as its size is that of the vocabulary, whatever the corpus, and ids
+    are joined to it by hash where they are. Bytes that are no UTF-8 become U+FFFD. A null list gives a null text, an
+    empty list an empty one; an id outside of the vocabulary raises an error.
     """
+    sent = _sent_pieces(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = _Pieces(sent.value)
         for batch in batches:
             for piece in _slices(batch):
-                yield pa.RecordBatch.from_arrays([piece.column(0), _texts(piece.column(1), vocabulary)], names=["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), join.texts(piece.column(1))], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): every text encoded, and decoded again from its ids."""
-
-    encoded = encode(docs, id_col, text_col, vocabulary)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids, text): every text encoded as in ``encode``, and decoded again from its ids as in ``decode``."""
+    sent = _sent_pieces(docs.sparkSession, vocabulary)
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in _slices(batch):
-                ids = piece.column(1)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pc.list_value_length(ids), ids, _texts(ids, vocabulary)], names=["doc_id", "n_tokens", "ids", "text"])
+        join = _Pieces(sent.value)
+        for block in _blocks(batches):
+            for docs_, ends, flat in _documents(block):
+                ids = _lists(ends, flat)
+                yield pa.RecordBatch.from_arrays([docs_, pa.array(np.diff(ends).astype(np.int32)), ids, join.texts(ids)], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens int, ids array<int>, text string")
+    return _encoded(docs, id_col, text_col, vocabulary, block_words).mapInArrow(run, f"doc_id {kind}, n_tokens int, ids array<int>, text string")
