@@ -13,6 +13,7 @@ the number of tables follows from the recall wanted at the threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
@@ -33,6 +34,7 @@ def code_bits(dim: int) -> int:
     return max(128, -(-2 * dim // 64) * 64)
 
 
+@cache
 def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
     """The first ``dim`` rows of a random orthogonal matrix of ``bits`` dimensions; the same on every worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
@@ -65,17 +67,18 @@ def plan(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tup
     return key, max(1, ceil(log(1 - recall) / log(1 - meet))) if meet < 1 else 1
 
 
+@cache
 def key_planes(dim: int, key_bits: int, tables: int) -> np.ndarray:
     """Independent normals of the planes whose sides are the bits of the keys, table by table; the same on every worker."""
     return np.random.default_rng(SEED + 1).standard_normal((dim, tables * key_bits)).astype(np.float32)
 
 
 def bucket_keys(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
-    """The bucket of each row in every table: rows x tables."""
+    """The bucket of each row in every table: rows x tables. Vectors of other dimensions have other buckets."""
     sides = (x @ planes > 0).reshape(len(x), tables, -1)
     salt = mix64(np.arange(1, sides.shape[2] + 1, dtype=np.uint64))
     with np.errstate(over="ignore"):
-        return np.stack([mix64((sides[:, t] * salt).sum(axis=1, dtype=np.uint64) + np.uint64(t)) for t in range(tables)], axis=1)
+        return np.stack([mix64((sides[:, t] * salt).sum(axis=1, dtype=np.uint64) + np.uint64(t + x.shape[1] * 1_000_003)) for t in range(tables)], axis=1)
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -84,36 +87,34 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
 
-def distinct_vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """(every row with the node of its vector, usable nodes, their dimension).
+def distinct_vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(every row with the node of its vector, usable nodes).
 
-    Equal vectors are one node, named by a hash of the vector. Usable are vectors of the most frequent dimension that are
-    finite and not zero.
+    Equal vectors are one node, named by a hash of the vector. Usable are vectors that are finite and not zero.
     """
     v = F.col(vec_col).cast("array<float>")
     node = F.when(v.isNull(), F.xxhash64(F.lit("null"), F.col(id_col).cast("long"))).otherwise(F.xxhash64(v, F.size(v)))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), node.alias("id"))
     fine = F.col("v").isNotNull() & F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e30) AND exists(v, x -> abs(x) > 1e-30)")
     nodes = stored(rows.where(fine).groupBy("id").agg(F.first("v").alias("v")), "vectors")
-    best = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = best["d"] if best else 1
-    return rows, nodes.where(F.size("v") == dim), dim
+    return rows, nodes
 
 
-def near_pairs(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall: float = RECALL, epsilon: float = EPSILON) -> DataFrame:
+def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, epsilon: float = EPSILON) -> DataFrame:
     """(a, b): pairs of ids of ``nodes`` (id, v) with a cosine of at least ``threshold``, a < b. Every row is a query.
 
-    Pairs that meet in several tables are judged once, in the first table where they meet.
+    Vectors are compared with those of their dimension. Pairs that meet in several tables are judged once, in the first
+    table where they meet. Of a large bucket, rows that are surely near to one of them are linked to it, not to each other.
     """
-    n = nodes.count()
-    key_bits, tables = plan(n, threshold, recall)
-    bits = code_bits(dim)
-    turn, planes = rotation(dim, bits), key_planes(dim, key_bits, tables)
+    plans = {r["d"]: plan(r["count"], threshold, recall) for r in nodes.groupBy(F.size("v").alias("d")).count().collect()}
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
+            width = np.asarray(batch.column(1).value_lengths())
+            for dim, at in ((d, at) for d in np.unique(width).tolist() for at in range(0, int((width == d).sum()), 4096)):
+                part = batch.take(pa.array(np.flatnonzero(width == dim)[at : at + 4096]))
+                key_bits, tables = plans[dim]
+                turn, planes = rotation(dim, code_bits(dim)), key_planes(dim, key_bits, tables)
                 x = _unit(part.column(1), dim)
                 z, signs, factor = encode(x, turn)
                 m = len(part)
@@ -121,12 +122,12 @@ def near_pairs(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall:
                 scale = np.abs(z).max(axis=1) / 127
                 query = np.round(z / scale[:, None]).astype(np.int8)  # rotated vector in 8 bits
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * tables, pa.int32()), pa.array(keys.view(np.int64).ravel())), pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary()), pa.array([r.tobytes() for r in query], pa.binary()), pa.array(factor.astype(np.float32)), pa.array(scale.astype(np.float32))],
-                    names=["id", "keys", "code", "query", "factor", "scale"],
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * tables, pa.int32()), pa.array(keys.view(np.int64).ravel())), pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary()), pa.array([r.tobytes() for r in query], pa.binary()), pa.array(factor.astype(np.float32)), pa.array(scale.astype(np.float32)), pa.array(np.full(m, dim, np.int32))],
+                    names=["id", "keys", "code", "query", "factor", "scale", "d"],
                 )
 
-    coded = stored(nodes.select("id", "v").mapInArrow(keyed, "id long, keys array<bigint>, code binary, query binary, factor float, scale float"), "codes")
-    met = coded.select("id", F.posexplode("keys").alias("t", "bucket"), "keys", "code", "query", "factor", "scale")
+    coded = stored(nodes.select("id", "v").mapInArrow(keyed, "id long, keys array<bigint>, code binary, query binary, factor float, scale float, d int"), "codes")
+    met = coded.select("id", F.posexplode("keys").alias("t", "bucket"), "keys", "code", "query", "factor", "scale", "d")
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     met = met.join(crowded, "bucket", "left_semi").repartition("bucket").sortWithinPartitions("bucket")
 
@@ -141,13 +142,18 @@ def near_pairs(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall:
             if b[0] == b[-1]:  # one bucket so far
                 continue
             cut = int(np.searchsorted(b, b[-1]))  # the last bucket may go on
-            yield from compare(table.slice(0, cut))
+            yield from by_dimension(table.slice(0, cut))
             held = table.slice(cut).to_batches()
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield from by_dimension(pa.Table.from_batches(held))
 
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Pairs of whole buckets, of which ``t`` has sorted rows."""
+    def by_dimension(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        d = np.asarray(t.column("d"))
+        for dim in np.unique(d).tolist():
+            yield from compare(t.filter(pa.array(d == dim)).combine_chunks(), code_bits(dim), plans[dim][1])
+
+    def compare(t: pa.Table, bits: int, tables: int) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole buckets, of which ``t`` has sorted rows of one dimension."""
         m = len(t)
         whole = {c: t.column(c).combine_chunks() for c in t.column_names}
         ids, b, at = np.asarray(whole["id"]), np.asarray(whole["bucket"]), np.asarray(whole["t"])
@@ -185,26 +191,41 @@ def near_pairs(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall:
                 dot = lambda i, j: np.einsum("ij,ij->i", np.where(signs[i], np.float32(1), np.float32(-1)), query[j].astype(np.float32)) * scale[j] / (sqrt(bits) * factor[i])
                 yield from open_pairs(dot(x, y), dot(y, x), x, y)
             lo = hi
-        # Large ones by blocks of products.
+        # Large ones by blocks of products, after rows that are near to a leader joined its group.
         for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-            for i in range(s, s + n, BLOCK):
-                I = np.arange(i, min(i + BLOCK, s + n))
+            group, free, poor = np.arange(s, s + n), np.arange(s, s + n), 0
+            while len(free) > SMALL and poor < 4:
+                lead = free[0]
+                one, off = estimate(signs[free], factor[free], (query[lead].astype(np.float32) * scale[lead])[None, :], epsilon)
+                near = (one[:, 0] - off[:, 0] - step[lead] / factor[free] >= threshold) & (free != lead)
+                x, free = free[near], free[1:][~near[1:]]
+                group[x - s] = lead
+                poor += len(x) < SMALL
+                p, q = np.minimum(ids[x], ids[lead]), np.maximum(ids[x], ids[lead])
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(np.ones(len(x), bool))], names=["a", "b", "sure"])
+            row = s + np.argsort(group, kind="stable")
+            group = group[row - s]
+            for i in range(0, n, BLOCK):
+                I, gi = row[i : i + BLOCK], group[i : i + BLOCK]
                 zi = query[I].astype(np.float32) * scale[I][:, None]
-                for j in range(i, s + n, BLOCK):
-                    J = np.arange(j, min(j + BLOCK, s + n))
+                for j in range(i, n, BLOCK):
+                    J, gj = row[j : j + BLOCK], group[j : j + BLOCK]
+                    if gi[0] == gj[-1]:
+                        continue
                     zj = zi if i == j else query[J].astype(np.float32) * scale[J][:, None]
                     one, _ = estimate(signs[I], factor[I], zj, epsilon)
                     two = estimate(signs[J], factor[J], zi, epsilon)[0].T
                     # A first, looser cut by the largest bounds, so that few pairs are spelt out.
                     reach = threshold - (bound[s : s + n].max() + step[s : s + n].max() / factor[s : s + n].min())
                     possible = (one >= reach) & (two >= reach)
+                    possible &= gi[:, None] != gj[None, :]
                     if i == j:
                         possible &= np.tri(len(I), k=-1, dtype=bool).T
                     u, v = np.nonzero(possible)
                     if len(u):
                         yield from open_pairs(one[u, v], two[u, v], I[u], J[v])
 
-    judged = stored(met.select("bucket", "id", "t", "keys", "code", "query", "factor", "scale").mapInArrow(judge, "a long, b long, sure boolean"), "estimated")
+    judged = stored(met.select("bucket", "id", "t", "keys", "code", "query", "factor", "scale", "d").mapInArrow(judge, "a long, b long, sure boolean"), "estimated")
     vectors = nodes.select("id", "v")
     open_ = judged.where(~F.col("sure")).join(vectors.withColumnsRenamed({"id": "a", "v": "va"}), "a").join(vectors.withColumnsRenamed({"id": "b", "v": "vb"}), "b")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
@@ -218,13 +239,13 @@ def near_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     A group is a connected component of the pairs with a cosine of at least ``threshold``.
 
     * Equal vectors are always in one group, whatever they are; null vectors only with rows of the same id.
-    * Vectors that are zero, not finite, with null elements, or not of the table's most frequent dimension have no
-      near-duplicates but equal ones.
+    * Vectors that are zero, not finite or with null elements have no near-duplicates but equal ones. Vectors of several
+      dimensions are each compared with those of their own.
     * Repeated rows are in one group and none but one of them is kept. Null ids come first, and a group of only null ids
       has a null group_id. An empty table gives no rows. Further columns are not used, whatever their names.
     """
-    rows, nodes, dim = distinct_vectors(table, id_col, vec_col)
-    roots = components(near_pairs(nodes, dim, threshold, recall, epsilon))
+    rows, nodes = distinct_vectors(table, id_col, vec_col)
+    roots = components(near_pairs(nodes, threshold, recall, epsilon))
     marked = rows.select("vec_id", "id").join(roots, "id", "left").select("vec_id", F.coalesce("root", "id").alias("root"))
     counted = marked.groupBy("root", "vec_id").agg(F.count(F.lit(1)).alias("n"))
     heads = marked.groupBy("root").agg(F.min(F.struct("vec_id")).alias("head"))
