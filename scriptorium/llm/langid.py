@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, slices, utf8_bytes, where_kept, words_in
@@ -147,17 +147,20 @@ def forward_backward(e: np.ndarray, first: np.ndarray, transition: np.ndarray, s
 
 
 def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> DataFrame | None:
-    """(lang, h, text): about ``2 * texts`` texts of each language, drawn by a hash of the text; None without any language.
-    ``fit`` uses the first ``texts`` of them by the hash."""
-    counts = docs.where(F.col(lang_col).isNotNull() & (F.trim(F.col(lang_col)) != "")).groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    top = counts.collect()
+    """(lang, h, text): at most ``texts`` different texts of each language, those of the least hashes of about twice as many
+    that are drawn by the hash; None without any language. Copies of a text are one."""
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    h = F.xxhash64(text, F.lit(_SEED))
+    named = docs.where(text.isNotNull() & (F.trim(lang) != "")).select(lang.alias("lang"), h.alias("h"), text.alias("text"))
+    top = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not top:
         return None
-    rate = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * texts / r["count"])))])
-    h = F.xxhash64(F.col(text_col).cast("string"), F.lit(_SEED))
-    draw = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
-    lang = F.col(lang_col).cast("string")
-    return docs.where(F.col(text_col).isNotNull() & (draw < F.coalesce(rate[lang], F.lit(0.0)))).select(lang.alias("lang"), h.alias("h"), F.col(text_col).cast("string").alias("text"))
+    rate = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * texts / max(r["n"], 1))))])
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    # Copies are dropped before they are exchanged, so a text that fills a third of the table is a row a task.
+    once = named.where(draw < F.coalesce(rate[F.col("lang")], F.lit(0.0))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("r", first).where(F.col("r") <= texts).drop("r")
 
 
 def fit(sample: dict[str, list[str]], chains: int = CHAINS, epochs: int = EPOCHS, seed: int = _SEED) -> Model:
@@ -241,7 +244,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts
         for batch in batches:
             for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found.setdefault(lang, []).append((h, text))
-        model = fit({k: [t for _, t in sorted(set(v))[:texts]] for k, v in found.items()}, max(CHAINS, CHAINS_EACH * len(found)))
+        model = fit({k: [t for _, t in sorted(v)] for k, v in found.items()}, max(CHAINS, CHAINS_EACH * len(found)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
