@@ -233,11 +233,11 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     lo, hi = 1, 1 + max(rare, 1)
     while True:
         onward = ranked.where(F.col("r") == lo).select("w", F.col("head").alias("next"))
-        left = stored(left.drop("until").transform(rest).join(onward, "w").where("next < until").drop("next"), "open-windows")
+        left = stored(left.drop("until").transform(rest).join(onward, "w").where("next < until").drop("next"), "open-windows", left)
         if left.isEmpty():
             break
         pairs = left.join(ranked.where((F.col("r") >= lo) & (F.col("r") < hi)), "w").where("head < until").select("ga", "g").distinct()
-        gone = stored(gone.unionByName(_aligned(pairs, groups, min_words)).groupBy("g", "place").agg(F.min("a").alias("a")), "aligned")
+        gone = stored(gone.unionByName(_aligned(pairs, groups, min_words)).groupBy("g", "place").agg(F.min("a").alias("a")), "aligned", gone)
         lo, hi = hi, 8 * hi
     return whole.select("k", "g").join(gone, "g").where("a < k").select("k.doc", "k.body", "place", F.col("a.doc").alias("earlier"))
 
@@ -248,15 +248,12 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, rare: int, min_words: int)
     doc, body = _key(id_col, text_col)
     joined = docs.join(gone, doc.eqNullSafe(F.col("__doc")) & (body == F.col("__body")), "left")
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    # Lines without a word keep their place in the text but have no number.
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
-    drop = F.col("__gone.place")
-
-    def step(s: Column, x: Column) -> Column:
-        full = F.regexp_count(x, F.lit(WORD)) > 0
-        return F.struct(F.when(full, s["at"] + 1).otherwise(s["at"]).alias("at"), F.when(full & F.array_contains(drop, s["at"]), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
-
-    text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.aggregate(lines, state, step, lambda s: s["kept"]), "\n"))
+    # Lines without a word keep their place in the text but have no number. Each array is bound once, so the cost is linear.
+    once = lambda made, use: F.element_at(F.transform(F.array(made), use), 1)
+    numbered = lambda x: F.filter(F.transform(x, lambda y, i: F.when(F.regexp_count(y, F.lit(WORD)) > 0, i)), lambda i: i.isNotNull())
+    dropped = lambda x: once(numbered(x), lambda full: F.transform(F.col("__gone.place"), lambda p: F.element_at(full, p + 1)))
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), dropped(x)), lambda i: F.element_at(x, i + 1))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(once(lines, lambda x: F.array_join(left(x), "\n")))
     return joined, text, F.col("__gone").isNull() | (F.regexp_count(text, F.lit(WORD)) > 0)
 
 
