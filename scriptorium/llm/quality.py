@@ -91,7 +91,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         out[r["lang"]] = {"classes": np.array(r[1:], dtype=np.float64), "words": [], "counts": [], "total": 0}
     words = stored(rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").count(), "words")
     totals = words.groupBy("lang").agg(F.sum("count").alias("total"))
-    for r in words.join(F.broadcast(totals), "lang").where(F.col("count") >= F.col("total") * min_share).orderBy("lang", F.desc("count"), "word").collect():  # one row a language on the broadcast side
+    for r in words.join(totals, "lang").where(F.col("count") >= F.col("total") * min_share).orderBy("lang", F.desc("count"), "word").collect():
         o = out[r["lang"]]
         o["words"].append(r["word"])
         o["counts"].append(r["count"])
@@ -166,24 +166,26 @@ def score(docs: DataFrame, refs: dict[str, dict], id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, char_js double, word_js double, n_words long, kept boolean")
 
 
-def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", good: DataFrame | None = None, **limits: float) -> DataFrame:
     """(doc_id, n_words, char_js, word_js, kept) of every document; distances are rounded to 6 places.
 
     A document is rejected if it has at least ``min_chars`` characters and its character classes are farther than
     ``max_char_js + char_slack / sqrt(characters)`` from those of its language, or at least ``min_words`` words and its
     common words are farther than ``max_word_js + word_slack / sqrt(words)``. Shorter ones are not judged by that rule,
-    as their histograms are mostly noise.
+    as their histograms are mostly noise. The references are counted over all of ``good``, a table with the same columns
+    of texts that are known to be fine; without one over ``docs`` themselves, so that the bulk of a language judges its rest.
 
+    * A language that ``good`` lacks has nothing to be compared with: distances are 0 and all is kept.
     * A null language is a language of its own (the empty string). A null or empty text has distances 0 and is kept.
     * Repeated rows are scored each and count each in the references. An empty table gives no rows.
     """
-    scored = score(docs, references(docs, text_col, lang_col), id_col, text_col, lang_col, **limits)
+    scored = score(docs, references(docs if good is None else good, text_col, lang_col), id_col, text_col, lang_col, **limits)
     return scored.select("doc_id", "n_words", F.round("char_js", 6).alias("char_js"), F.round("word_js", 6).alias("word_js"), "kept")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", good: DataFrame | None = None, **limits: float) -> DataFrame:
     """The rows of ``docs`` that ``divergence`` keeps, as they are. Each is judged where it is, without a join."""
-    refs, bounds, made = references(docs, text_col, lang_col), _limits(limits), []
+    refs, bounds, made = references(docs if good is None else good, text_col, lang_col), _limits(limits), []
 
     def decide(batch: pa.RecordBatch) -> np.ndarray:
         if not made:
