@@ -25,28 +25,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, word_hashes
+from .common import mix64, stored, utf8_bytes, words_in
 
 MAX_BITS, MAX_PAIR_BITS = 10, 20
-LEAST_LETTERS, LEAST_WORDS = 5, 12
+#: Letters of a long word, and its weight against 1 for a shorter one, which mostly is a function word.
+LONG_LETTERS, LONG_WEIGHT = 5, 8
 
 
-def _signature(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The 64-bit SimHash of each row's distinct hashes; 0 for a row without any."""
+def _signature(hashes: np.ndarray, rows: np.ndarray, n: int, long: np.ndarray | None = None) -> np.ndarray:
+    """The 64-bit SimHash of each row's distinct hashes, of which ``long`` ones weigh more; 0 for a row without any."""
     out = np.zeros(n, dtype=np.uint64)
     if not len(hashes):
         return out
-    key = (rows.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))
+    key = (rows.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(21)) << np.uint64(1)
+    if long is not None:
+        key |= long.astype(np.uint64)
     key.sort()
     key = key[np.append(True, key[1:] != key[:-1])]
     row = (key >> np.uint64(44)).astype(np.int64)
     with np.errstate(over="ignore"):
         h = mix64(key & np.uint64((1 << 44) - 1))
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    size = np.diff(np.append(first, len(row)))
+    weight = np.where(key & np.uint64(1), LONG_WEIGHT, 1).astype(np.int32)
+    size = np.add.reduceat(weight, first)
     bits = np.zeros(len(first), dtype=np.uint64)
     for b in range(64):
-        ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32), first)
+        ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32) * weight, first)
         bits |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
     out[row[first]] = bits
     return out
@@ -55,8 +59,7 @@ def _signature(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word signature, word-pair signature, number of words) of each text.
 
-    Words shorter than ``LEAST_LETTERS`` bytes are left out of the first signature, as they are mostly function words,
-    unless a text then has fewer than ``LEAST_WORDS``.
+    In the first signature words of at least ``LONG_LETTERS`` letters have the weight ``LONG_WEIGHT``, shorter ones 1.
     """
     n = len(texts)
     words, pairs, count = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
@@ -71,12 +74,11 @@ def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if edges[-1] < n:
         edges.append(n)
     for a, b in zip(edges, edges[1:]):
-        h, rows, length = word_hashes(pc.utf8_lower(texts.slice(a, b - a)))
+        raw, offsets = utf8_bytes(pc.utf8_lower(texts.slice(a, b - a)))
+        h, rows, starts, ends = words_in(raw, offsets)
         seen = np.bincount(rows, minlength=b - a)
-        long = length >= LEAST_LETTERS
-        few = np.bincount(rows[long], minlength=b - a) < LEAST_WORDS
-        use = long | few[rows]
-        words[a:b] = _signature(h[use], rows[use], b - a)
+        letters = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        words[a:b] = _signature(h, rows, b - a, letters[ends] - letters[starts] >= LONG_LETTERS)
         same = rows[1:] == rows[:-1]
         with np.errstate(over="ignore"):
             two = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[same] if len(h) else h
@@ -229,9 +231,11 @@ def _masks(width: int, t: int) -> list[int]:
 def near_signatures(sigs: DataFrame, max_bits: int = MAX_BITS, max_pair_bits: int = MAX_PAIR_BITS) -> DataFrame:
     """(a, b): pairs of ids of ``sigs`` (sig, pair) that are near copies, each once. Every row is a query.
 
-    An id is ``node_id`` of both signatures, so that it is computed from a met pair and not carried by the probes.
+    Probes carry the first signature only. The second one, by which ids are named and pairs judged, is joined to those
+    that met.
     """
-    groups, thresholds = plan(sigs, max_bits)
+    once = stored(sigs.select("sig").distinct(), "word-signatures")
+    groups, thresholds = plan(once, max_bits)
     left, right = [], []
     for i, (g, t) in enumerate(zip(groups, thresholds)):
         if t >= 0:
@@ -244,18 +248,19 @@ def near_signatures(sigs: DataFrame, max_bits: int = MAX_BITS, max_pair_bits: in
         for i, v, masks in side:
             coded = v + F.lit(i << 16)
             values = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: coded.bitwiseXOR(m))  # noqa: B023
-            rows.append(sigs.select(F.explode(values).alias("v"), F.col("sig").alias(f"{name}_sig"), F.col("pair").alias(f"{name}_pair")))
+            rows.append(once.select(F.explode(values).alias("v"), F.col("sig").alias(name)))
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
         return out
 
-    met = probes(left, "a").join(probes(right, "b"), "v").where(
-        ((F.col("a_sig") < F.col("b_sig")) | (F.col("a_sig") == F.col("b_sig")) & (F.col("a_pair") < F.col("b_pair")))
-        & (F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= max_bits)
-        & (F.bit_count(F.col("a_pair").bitwiseXOR(F.col("b_pair"))) <= max_pair_bits)
-    )
-    return met.select(node_id("a_sig", "a_pair").alias("a"), node_id("b_sig", "b_pair").alias("b")).distinct()
+    met = probes(left, "a_sig").join(probes(right, "b_sig"), "v").where((F.col("a_sig") < F.col("b_sig")) & (F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= max_bits)).select("a_sig", "b_sig").distinct()
+    one, two = (sigs.select(F.col("sig").alias(f"{x}_sig"), F.col("pair").alias(f"{x}_pair")) for x in "ab")
+    far = F.bit_count(F.col("a_pair").bitwiseXOR(F.col("b_pair"))) > max_pair_bits
+    other = met.join(one, "a_sig").join(two, "b_sig").where(~far).select("a_sig", "a_pair", "b_sig", "b_pair")
+    # Texts of the same words in another order.
+    same = one.join(two, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_pair") < F.col("b_pair"))).where(~far).select("a_sig", "a_pair", "b_sig", "b_pair")
+    return other.unionByName(same).select(node_id("a_sig", "a_pair").alias("a"), node_id("b_sig", "b_pair").alias("b"))
 
 
 def node_id(sig: str, pair: str, blank=None):
@@ -276,7 +281,7 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select("u", "v", "m")
-        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges", edges)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == tuple(now):
             break
