@@ -76,9 +76,23 @@ def _one_list(values: np.ndarray | pa.Array) -> pa.ListArray:
     return _lists(np.array([0, len(values)]), values)
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes as the greatest needs: that width, then all their first bytes, all their second ones
+    and so on, which compress better apart."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
+def _unpack(packed: bytes | memoryview) -> np.ndarray:
+    width = packed[0]
+    out = np.zeros(((len(packed) - 1) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(block, docs, sizes, at, words), written and bucketed by ``block``: the ids of its rows, their numbers of words,
-    the places of all their words in ``words``, and the distinct words."""
+    the packed places of all their words in ``words``, and the distinct words, most frequent first."""
     spark = docs.sparkSession
     split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
 
@@ -88,9 +102,13 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
 
         def block() -> pa.RecordBatch:
             both = pa.chunked_array(coded).unify_dictionaries()
-            at = np.concatenate([np.asarray(c.indices) for c in both.chunks]).astype(np.int32)
+            at = np.concatenate([np.asarray(c.indices) for c in both.chunks])
             words = both.chunk(both.num_chunks - 1).dictionary.cast(pa.string())
-            columns = [pa.array([first + made], pa.int64()), _one_list(pa.concat_arrays(ids)), _one_list(np.concatenate(sizes)), _one_list(at), _one_list(words)]
+            order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            words, at = words.take(pa.array(order)), rank[at]
+            columns = [pa.array([first + made], pa.int64()), _one_list(pa.concat_arrays(ids)), _one_list(np.concatenate(sizes)), pa.array([_pack(at)], pa.binary()), _one_list(words)]
             return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "sizes", "at", "words"])
 
         for batch in batches:
@@ -109,7 +127,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
     path = fresh_path(spark, "blocks")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-    blocks = split.mapInArrow(run, f"block long, docs array<{kind}>, sizes array<int>, at array<int>, words array<string>")
+    blocks = split.mapInArrow(run, f"block long, docs array<{kind}>, sizes array<int>, at binary, words array<string>")
     blocks.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     expire(spark, path)
     out = spark.table(name)
@@ -120,7 +138,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
 def encode_words(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(block, places, sizes, ids) from the words of blocks: equal words come together and are encoded once.
 
-    A row holds what one task found for one block: places of words, their numbers of ids, and the ids, as packed int32.
+    A row holds what one task found for one block, packed: steps from place to place, their numbers of ids, and the ids.
     """
     sent = _sent(blocks.sparkSession, vocabulary)
     each = blocks.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
@@ -137,7 +155,7 @@ def encode_words(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             block, place, size = (np.concatenate([h[i] for h in held]) for i in range(3))
             ids = np.concatenate([h[3] for h in held])
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((place, block))
             start = np.cumsum(size) - size
             take = size[order]
             ends = np.cumsum(take)
@@ -147,8 +165,9 @@ def encode_words(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             at = np.append(0, ends)[cuts]
             for a in range(0, len(cuts) - 1, 1024):
                 some = range(a, min(a + 1024, len(cuts) - 1))
-                rows = [[x[lo:hi].astype("<i4").tobytes() for lo, hi in pieces] for x, pieces in ((place, [(cuts[i], cuts[i + 1]) for i in some]), (take, [(cuts[i], cuts[i + 1]) for i in some]), (ids, [(at[i], at[i + 1]) for i in some]))]
-                yield pa.RecordBatch.from_arrays([pa.array(block[cuts[some[0] : some[-1] + 1]]), *[pa.array(r, pa.binary()) for r in rows]], names=["block", "places", "sizes", "ids"])
+                steps = [_pack(np.diff(place[cuts[i] : cuts[i + 1]], prepend=0)) for i in some]
+                packed = [steps, [_pack(take[cuts[i] : cuts[i + 1]]) for i in some], [_pack(ids[at[i] : at[i + 1]]) for i in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(block[cuts[some[0] : some[-1] + 1]]), *[pa.array(x, pa.binary()) for x in packed]], names=["block", "places", "sizes", "ids"])
 
         for batch in batches:
             words = batch.column(0)
@@ -188,8 +207,8 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, block
 def _documents(block: tuple) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids of documents, ends of their lists, token ids) of a row of ``_encoded``, in slices."""
     docs, sizes, at, found = block
-    unpack = lambda name: np.concatenate([np.frombuffer(x[name], "<i4") for x in found]) if found else np.zeros(0, np.int32)
-    place, size, flat = unpack("places"), unpack("sizes"), unpack("ids")
+    unpack = lambda name, f=lambda x: x: np.concatenate([f(_unpack(x[name])) for x in found]) if found else np.zeros(0, np.int64)
+    place, size, flat = unpack("places", np.cumsum), unpack("sizes"), unpack("ids").astype(np.int32)
     start, length = np.full(len(place), -1, np.int64), np.zeros(len(place), np.int64)
     start[place], length[place] = np.cumsum(size) - size, size
     if len(at) and (at.max() >= len(place) or (start < 0).any()):
@@ -210,7 +229,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(len(batch)):
             docs, sizes, at, found = (c[i] for c in batch.columns)
-            yield docs.values, np.asarray(sizes.values), np.asarray(at.values), found.as_py() or []
+            yield docs.values, np.asarray(sizes.values), _unpack(at.as_buffer()), found.as_py() or []
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:

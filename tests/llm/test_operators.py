@@ -417,7 +417,8 @@ def test_bpe_blocks(spark):
     df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
     blocks = bpe.write_blocks(df, "doc_id", "text", block_words=400).collect()
     assert len(blocks) > 8 and len({b["block"] for b in blocks}) == len(blocks) and all(len(set(b["words"])) == len(b["words"]) for b in blocks)
-    made = {d: "".join(b["words"][i] for i in b["at"][sum(b["sizes"][:j]) : sum(b["sizes"][: j + 1])]) for b in blocks for j, d in enumerate(b["docs"])}
+    assert bpe._unpack(bpe._pack(np.array([0, 5, 70_000, 255]))).tolist() == [0, 5, 70_000, 255] and len(bpe._unpack(bpe._pack(np.zeros(0, int)))) == 0
+    made = {d: "".join(b["words"][i] for i in bpe._unpack(b["at"])[sum(b["sizes"][:j]) : sum(b["sizes"][: j + 1])]) for b in blocks for j, d in enumerate(b["docs"])}
     assert made == {f"d{i}": t for i, t in enumerate(texts)}
     enc = bpe.encoder()
     small = {r["doc_id"]: r["ids"] for r in bpe.encode(df, block_words=400).collect()}
