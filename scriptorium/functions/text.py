@@ -197,7 +197,10 @@ def strip_xml(text: Cell) -> Column:
 def normalize_contractions(line: Cell, lang: str = "en", reverse: bool = False, path: str | None = None) -> Column:
     """Contractions to full forms, or back with ``reverse``; the apostrophe may stand apart, case is ignored."""
     pairs = [(b, a) if reverse else (a, b) for a, b in contractions(lang, path)]
-    return regex_substitution(line, [(rf"\b{java_quote(a).replace(chr(92) + chr(39), chr(39)).replace(chr(39), ' ?' + chr(39) + ' ?')}\b", java_replacement(b.replace("'", " '"))) for a, b in pairs], ignore_case=True)
+    found = [java_quote(a).replace(chr(92) + chr(39), chr(39)).replace(chr(39), " ?" + chr(39) + " ?") for a, _ in pairs]
+    changed = regex_substitution(line, [(rf"\b{a}\b", java_replacement(b.replace("'", " '"))) for a, (_, b) in zip(found, pairs)], ignore_case=True)
+    # One look for any of them; few lines then need the passes.
+    return F.when(F.regexp_like(col(line), F.lit(rf"(?iuU)\b(?:{'|'.join(found)})\b")), changed).otherwise(col(line)) if pairs else col(line)
 
 
 def split_numbers(line: Cell) -> Column:

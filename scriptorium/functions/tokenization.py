@@ -28,7 +28,8 @@ def simple_tokenize(line: Cell, punctuation: str = PUNCTUATION, marker: str = FI
     behind = "|".join(f"(?<!{java_quote(c)}){java_quote(c)}(?=[^ {every}])" for c in punctuation)
     front = "|".join(f"(?<=[^ {java_quote(c)}]){java_quote(c)}" for c in punctuation)
     m = java_replacement(marker)
-    return F.regexp_replace(F.regexp_replace(col(line), f"({behind})", f"$1{m} "), f"({front})", f" {m}$1")
+    here = f"(?=[{every}])"  # the alternatives are tried at marks only
+    return F.regexp_replace(F.regexp_replace(col(line), f"{here}({behind})", f"$1{m} "), f"{here}({front})", f" {m}$1")
 
 
 def join_markers(line: Cell, marker: str = FIVEDOT) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,26 +15,40 @@ from ..functions.tokenization import RuleTokenizer, tokenize
 from .truecase import truecase
 
 N = 6
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 STATS = "hyp array<bigint>, ref array<bigint>, hit array<bigint>"
 
 
-def ngram_stats(hyp: str, refs: Sequence[str], n: int = N) -> tuple[list[int], list[int], list[int]]:
+class Grams:
+    """The distinct character n-grams of a text without spaces, as sorted hashes that end with n, and their counts."""
+
+    def __init__(self, text: str, n: int = N):
+        code = np.frombuffer(text.replace(" ", "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        self.totals = np.maximum(len(code) - np.arange(n), 0)
+        every, h = [], np.zeros(len(code), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(1, n + 1):
+                h = h[: self.totals[k - 1]] * _STEP + code[k - 1 :]
+                mixed = (h ^ (h >> np.uint64(31))) * _MIX
+                every.append((mixed ^ (mixed >> np.uint64(29))) & ~np.uint64(15) | np.uint64(k))
+        self.hashes, self.counts = np.unique(np.concatenate(every), return_counts=True)
+
+    def common(self, other: Grams) -> np.ndarray:
+        """Clipped common counts for every n."""
+        _, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        hit = np.minimum(self.counts[i], other.counts[j])
+        return np.bincount((self.hashes[i] & np.uint64(15)).astype(np.int64), weights=hit, minlength=len(self.totals) + 1)[1:].astype(np.int64)
+
+
+def ngram_stats(hyp: str, refs: Sequence[str | Grams], n: int = N) -> tuple[list[int], list[int], list[int]]:
     """Character n-gram totals of the hypothesis and of the best reference for each n, and their common count; spaces don't count."""
-    h = hyp.replace(" ", "")
-    out: tuple[list[int], list[int], list[int]] = ([], [], [])
-    for k in range(1, n + 1):
-        mine = Counter(h[i : i + k] for i in range(len(h) - k + 1))
-        best = (-1.0, 0, 0)
-        for r in refs:
-            r = r.replace(" ", "")
-            theirs = Counter(r[i : i + k] for i in range(len(r) - k + 1))
-            hit, total = sum((mine & theirs).values()), max(len(r) - k + 1, 0)
-            f = 2 * hit / (sum(mine.values()) + total) if total or mine else 0.0
-            best = max(best, (f, total, hit))
-        out[0].append(sum(mine.values()))
-        out[1].append(best[1])
-        out[2].append(best[2])
-    return out
+    mine = Grams(hyp, n)
+    best = [(-1.0, 0, 0)] * n
+    for r in refs:
+        theirs = r if isinstance(r, Grams) else Grams(r, n)
+        for k, (hit, total, own) in enumerate(zip(mine.common(theirs).tolist(), theirs.totals.tolist(), mine.totals.tolist())):
+            best[k] = max(best[k], (2 * hit / (own + total) if own + total else 0.0, total, hit))
+    return mine.totals.tolist(), [b[1] for b in best], [b[2] for b in best]
 
 
 def chrf(hyp: np.ndarray, ref: np.ndarray, hit: np.ndarray, beta: float) -> float:
@@ -74,13 +87,16 @@ def evaluate_chrf(rows: DataFrame, hyp: str = "hyp", refs: str = "refs", betas:
     return one.withColumn("beta", F.explode(F.array(*[F.lit(float(x)) for x in betas]))).select("beta", score.alias("chrf"), "precision", "recall")
 
 
-def evaluate_bleu(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """Corpus BLEU-4 of tokenised text against one reference: clipped n-gram counts by joins, brevity penalty.
+def evaluate_bleu(rows: DataFrame, hyp: str = "hyp", ref: str | Sequence[str] = "ref") -> DataFrame:
+    """Corpus BLEU-4 of tokenised text against one or several references: clipped n-gram counts by joins, brevity penalty.
 
-    A segment is named by a hash of its texts; equal segments are one with a weight, so that nothing depends on the
-    order of rows.
+    An n-gram is clipped at the most that one reference has of it. The length that counts is that of the reference which
+    is nearest to the output, the shorter of equally near ones. A segment is named by a hash of its texts; equal segments
+    are one with a weight, so that nothing depends on the order of rows.
     """
-    cut = rows.groupBy(hyp, ref).agg(F.count(F.lit(1)).alias("w")).select(F.xxhash64(hyp, ref).alias("id"), "w", tokens(hyp).alias("h"), tokens(ref).alias("r"))
+    refs = [ref] if isinstance(ref, str) else list(ref)
+    once = rows.select(hyp, *refs).groupBy(hyp, *refs).agg(F.count(F.lit(1)).alias("w"))
+    cut = once.select(F.xxhash64(hyp, *refs).alias("id"), "w", tokens(hyp).alias("h"), *[tokens(r).alias(f"r{i}") for i, r in enumerate(refs)])
 
     def grams(c: str, n: int) -> Column:
         starts = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -90,10 +106,16 @@ def evaluate_bleu(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFr
         every = F.concat(*[grams(c, n) for n in range(1, 5)])
         return cut.select("id", "w", F.explode(every).alias("x")).groupBy("id", "x.n", "x.g").agg(F.sum("w").alias(c))
 
-    both = count("h").join(count("r"), ["id", "n", "g"], "left")
+    theirs = count("r0").withColumnRenamed("r0", "r")
+    for i in range(1, len(refs)):
+        theirs = theirs.unionByName(count(f"r{i}").withColumnRenamed(f"r{i}", "r"))
+    if len(refs) > 1:
+        theirs = theirs.groupBy("id", "n", "g").agg(F.max("r").alias("r"))
+    both = count("h").join(theirs, ["id", "n", "g"], "left")
     per_n = both.groupBy("n").agg(F.sum("h").alias("total"), F.sum(F.least("h", F.coalesce("r", F.lit(0)))).alias("hit"))
     precision = per_n.agg(F.when((F.count(F.lit(1)) == 4) & (F.min("hit") > 0), F.exp(F.sum(F.log(F.col("hit") / F.col("total"))) / 4)).otherwise(0.0).alias("p"))
-    size = cut.agg(F.sum(F.size("h") * F.col("w")).alias("c"), F.sum(F.size("r") * F.col("w")).alias("r"))
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.size(f"r{i}") - F.size("h")).alias("d"), F.size(f"r{i}").alias("n")) for i in range(len(refs))]))["n"]
+    size = cut.agg(F.sum(F.size("h") * F.col("w")).alias("c"), F.sum(nearest * F.col("w")).alias("r"))
     penalty = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "c")))
     return precision.crossJoin(size).select((100 * F.col("p") * F.coalesce(penalty, F.lit(0.0))).alias("bleu"))
 
@@ -147,7 +169,20 @@ def analyze_names(rows: DataFrame) -> DataFrame:
 
 
 def analyze_chrf(rows: DataFrame) -> DataFrame:
-    out = rows.withColumns({f"{c}_chrF{b}": chrf_score(F.col(c), F.col("refs"), float(b)) for c in ("bl", "sys") for b in (1, 2)})
+    """Adds chrF1 and chrF2 of both outputs and their differences. A segment's references are cut into n-grams once."""
+    names = [f"{c}_chrF{b}" for c in ("bl", "sys") for b in (1, 2)]
+
+    def run(bl: pd.Series, sys: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, r in zip(bl, sys, refs):
+            known = None if r is None else [Grams(x) for x in r if x is not None]
+            stats = [None if x is None or known is None else [np.array(y) for y in ngram_stats(x, known)] for x in (a, b)]
+            out.append([None if s is None else chrf(*s, beta) for s in stats for beta in (1.0, 2.0)])
+        return pd.DataFrame(out, columns=names, dtype="float64")
+
+    run.__annotations__ = {"bl": pd.Series, "sys": pd.Series, "refs": pd.Series, "return": pd.DataFrame}
+    scored = rows.withColumn("__s", F.pandas_udf(run, ", ".join(f"{n} double" for n in names))("bl", "sys", "refs"))
+    out = scored.select(*rows.columns, *[F.col(f"__s.{n}").alias(n) for n in names])
     return out.withColumns({f"delta_chrF{b}": F.col(f"sys_chrF{b}") - F.col(f"bl_chrF{b}") for b in (1, 2)})
 
 

@@ -24,18 +24,25 @@ def _restarts(t: Column) -> Column:
     return F.regexp_like(t, F.lit(_RESTART))
 
 
+def _with_start(words: Column) -> Column:
+    """Array of (word, start): whether the token is up to the first word of its sentence.
+
+    Tokens are coded by a letter each, and one pattern marks all of a start: at the beginning, behind a restart, or behind
+    another token without a word.
+    """
+    code = F.array_join(F.transform(words, lambda t: F.when(_restarts(t), "R").when(_has_word(t), "W").otherwise("-")), "")
+    marked = F.regexp_replace(code, r"(?:^|(?<=R)|\G(?<=-))[-RW]", "s")
+    return F.zip_with(words, F.split(marked, ""), lambda t, m: F.struct(t.alias("word"), (m == "s").alias("start")))
+
+
 def countable_tokens(line: Cell, marker: str | None = None) -> Column:
     """Tokens that say something about case: not those up to the first word of a sentence."""
     t = tokens(line)
     if marker:
         t = F.transform(t, lambda x: strip_marker(x, marker))
-    start = F.struct(F.lit(False).alias("seen"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        seen = F.when(s["seen"], ~_restarts(x)).otherwise(_has_word(x))
-        return F.struct(seen.alias("seen"), F.when(s["seen"], F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(t, start, step, lambda s: s["out"])
+    # Both lambdas' arrays are bound once.
+    told = F.element_at(F.transform(F.array(t), _with_start), 1)
+    return F.transform(F.filter(told, lambda x: x["word"].isNotNull() & ~x["start"]), lambda x: x["word"])
 
 
 def train_truecaser(lines: DataFrame, order: Sequence[str], column: str = "line", sure_threshold: float = 0.6, min_count: int = 2, marker: str | None = None) -> DataFrame:
@@ -54,42 +61,45 @@ def truecase(lines: DataFrame, model: DataFrame, keys: Sequence[str], column: st
     """(keys, column) with the best casing of sure words at the start of sentences, or everywhere in lines that have no
     cased word or more than the threshold's share of them.
 
-    The model is joined on the lower-cased tokens, whatever its size; the line is put together again by its key.
+    Only tokens that may change are joined to the model, whatever its size: the starts of sentences, and all of such
+    lines. Each distinct one of a line is joined once, and the line is put together again by its key.
     """
     bare = (lambda t: strip_marker(t, marker)) if marker else (lambda t: t)
-    raw = tokens(column)
-    start = F.struct(F.lit(False).alias("seen"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        seen = F.when(s["seen"], ~_restarts(x)).otherwise(_has_word(x))
-        return F.struct(seen.alias("seen"), F.concat(s["out"], F.array(s["seen"])).alias("out"))
-
-    plain = F.transform(raw, bare)
-    cased = F.size(F.filter(plain, lambda t: t != F.lower(t)))
-    words = F.size(F.filter(plain, _has_word))
-    shouting = (cased == 0) | (F.try_divide(cased, words) > title_threshold)
-    table = lines.select(*keys, raw.alias("raw"), F.aggregate(plain, start, step, lambda s: s["out"]).alias("seen"), F.coalesce(shouting, F.lit(True)).alias("all"))
-    each = table.select(*keys, "all", F.posexplode_outer(F.arrays_zip("raw", "seen")).alias("at", "x")).select(*keys, "all", "at", F.col("x.raw").alias("raw"), F.col("x.seen").alias("seen"))
-    each = each.withColumn("token", bare(F.col("raw"))).withColumn("word", F.lower("token"))
+    plain = lambda raw: F.transform(raw, bare) if marker else raw
+    cased = lambda t: F.size(F.filter(t, lambda x: x != F.lower(x)))
+    words = lambda t: F.size(F.filter(t, _has_word))
+    shouting = lambda t: F.coalesce((cased(t) == 0) | (F.try_divide(cased(t), words(t)) > title_threshold), F.lit(True))
+
+    def read(raw: Column) -> Column:
+        told = _with_start(plain(raw))
+        return F.struct(raw.alias("raw"), told.alias("told"), shouting(plain(raw)).alias("all"))
+
+    table = lines.select(*keys, F.element_at(F.transform(F.array(tokens(column)), read), 1).alias("__l"))
+    asked = F.array_distinct(F.transform(F.filter("__l.told", lambda x: x["word"].isNotNull() & (x["start"] | F.col("__l.all"))), lambda x: F.lower(x["word"])))
+    # The line goes with the first of its words.
+    each = table.select(*keys, "__l", F.posexplode_outer(asked).alias("__i", "word")).withColumn("__l", F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__l")))
     joined = each.join(model.select("word", "best", "sure"), "word", "left")
-    new = F.when(F.col("sure") & (F.col("all") | ~F.col("seen")), F.col("best"))
-    if lower_unseen_first:
-        new = new.when(F.col("best").isNull() & ~F.col("seen"), F.col("word"))
-    new = new.otherwise(F.col("token"))
-    if marker:
+    known = F.map_from_entries(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("word", F.struct("best", "sure")))))
+    whole = joined.groupBy(*keys).agg(F.first("__l", ignorenulls=True).alias("__l"), known.alias("__known"))
+
+    def one(raw: Column, x: Column) -> Column:
+        entry = F.element_at("__known", F.lower(x["word"]))
+        new = F.when((x["start"] | F.col("__l.all")) & entry["sure"], entry["best"])
+        if lower_unseen_first:
+            new = new.when(x["start"] & entry.isNull(), F.lower(x["word"]))
+        new = new.otherwise(x["word"])
+        if not marker:
+            return new
         edge = lambda has: F.when(has, F.lit(marker)).otherwise(F.lit(""))
-        new = F.concat(edge(F.startswith("raw", F.lit(marker))), new, edge(F.endswith("raw", F.lit(marker))))
-    return joined.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("at", new.alias("w"))))), lambda x: x["w"]), " ").alias(column))
+        return F.concat(edge(F.startswith(raw, F.lit(marker))), new, edge(F.endswith(raw, F.lit(marker))))
+
+    told = F.filter("__l.told", lambda x: x["word"].isNotNull())
+    return whole.select(*keys, F.coalesce(F.array_join(F.zip_with("__l.raw", told, one), " "), F.lit("")).alias(column))
 
 
 def detruecase(line: Cell) -> Column:
     """Upper-cases the first letter of the first word of every sentence."""
-    start = F.struct(F.lit(False).alias("seen"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        first = ~s["seen"] & _has_word(x)
-        up = F.when(first, F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))).otherwise(x)
-        seen = F.when(s["seen"], ~_restarts(x)).otherwise(_has_word(x))
-        return F.struct(seen.alias("seen"), F.concat(s["out"], F.array(up)).alias("out"))
-
-    return F.aggregate(tokens(col(line)), start, step, lambda s: F.array_join(s["out"], " "))
+    upper = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
+    told = F.element_at(F.transform(F.array(tokens(col(line))), _with_start), 1)
+    out = F.transform(told, lambda x: F.when(x["start"] & _has_word(x["word"]), upper(x["word"])).otherwise(x["word"]))
+    return F.array_join(out, " ")
