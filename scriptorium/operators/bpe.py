@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
+from functools import lru_cache, total_ordering
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,27 @@ def merge_word(symbols: tuple[str, ...], pair: tuple[str, str]) -> tuple[str, ..
     return tuple(out)
 
 
+@total_ordering
+class _Greatest:
+    """A pair in a heap that gives the greatest of equally frequent pairs first."""
+
+    __slots__ = ("pair",)
+
+    def __init__(self, pair: tuple[str, str]):
+        self.pair = pair
+
+    def __eq__(self, other: object) -> bool:
+        return self.pair == other.pair
+
+    def __lt__(self, other: _Greatest) -> bool:
+        return self.pair > other.pair
+
+
 def learn_merges(vocabulary: Iterable[tuple[str, int]], symbols: int = 10_000, min_frequency: int = 2) -> list[tuple[str, str]]:
     """The merges in order: the most frequent pair each time, of equal ones the greatest, until none is frequent enough.
 
     Every merge depends on the one before, so this is a loop over the distinct words, with counts of pairs kept up to
-    date for the words that change.
+    date for the words that change, and a heap of pairs in which outdated counts are passed over.
     """
     words = [(tuple(w) + (END,), n) for w, n in vocabulary if w]
     stats: dict[tuple[str, str], int] = defaultdict(int)
@@ -49,32 +66,47 @@ def learn_merges(vocabulary: Iterable[tuple[str, int]], symbols: int = 10_000, m
         for p in zip(w, w[1:]):
             stats[p] += n
             where[p].add(i)
+    heap = [(-n, _Greatest(p)) for p, n in stats.items()]
+    heapq.heapify(heap)
     merges: list[tuple[str, str]] = []
-    while len(merges) < symbols and stats:
-        best = max(stats, key=lambda p: (stats[p], p))
-        if stats[best] < min_frequency:
+    while len(merges) < symbols and heap:
+        n, top = heapq.heappop(heap)
+        best = top.pair
+        if stats.get(best) != -n:
+            continue
+        if -n < min_frequency:
             break
         merges.append(best)
-        for i in list(where.pop(best)):
+        changed: set[tuple[str, str]] = set()
+        for i in where.pop(best):
             old, n = words[i]
             new = merge_word(old, best)
             if new == old:
                 continue
             for p in zip(old, old[1:]):
                 stats[p] -= n
+                changed.add(p)
             for p in zip(new, new[1:]):
                 stats[p] += n
+                changed.add(p)
                 where[p].add(i)
             words[i] = (new, n)
         stats.pop(best, None)
-        for p in [p for p, n in stats.items() if n <= 0]:
-            del stats[p]
-            where.pop(p, None)
+        for p in changed - {best}:
+            if stats[p] > 0:
+                heapq.heappush(heap, (-stats[p], _Greatest(p)))
+            else:
+                del stats[p]
+                where.pop(p, None)
     return merges
 
 
-def learn_bpe(counts: DataFrame, symbols: int = 10_000, min_frequency: int = 2, min_count: int = 2) -> list[tuple[str, str]]:
-    """``learn_merges`` of a count table (word, count) of words with at least ``min_count`` uses, which reaches the driver."""
+def learn_bpe(counts: DataFrame, symbols: int = 10_000, min_frequency: int = 2, min_count: int = 1) -> list[tuple[str, str]]:
+    """``learn_merges`` of a count table (word, count), of which words with at least ``min_count`` uses reach the driver.
+
+    The loop is sequential by definition. All words count unless ``min_count`` says otherwise, as it should for a corpus
+    whose distinct words are more than the driver holds.
+    """
     rows = counts.where(F.col("count") >= min_count).orderBy(F.desc("count"), "word").toLocalIterator()
     return learn_merges(((r["word"], r["count"]) for r in rows), symbols, min_frequency)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..corpus import tokens
+from ..corpus import tokens, with_position
 from ..functions.text import chars
 
 
@@ -49,7 +49,7 @@ def combine_counts(tables: Sequence[DataFrame], balance: bool = False, threshold
         sums = rows.groupBy("src").agg(F.sum("count").alias("total"))
         largest = sums.agg(F.max("total").alias("largest"))
         scale = sums.crossJoin(largest).select("src", (F.col("largest") / F.col("total")).alias("scale"))  # a row a table
-        kept = kept.join(F.broadcast(scale), "src").withColumn("count", F.when(F.col("scale") == 1, F.col("count")).otherwise((F.col("count") * F.col("scale")).cast("long")))  # as many rows as input tables
+        kept = kept.join(scale, "src").withColumn("count", F.when(F.col("scale") == 1, F.col("count")).otherwise((F.col("count") * F.col("scale")).cast("long")))  # as many rows as input tables
     return kept.groupBy("word").agg(F.sum("count").alias("count"))
 
 
@@ -92,15 +92,15 @@ def segment_counts(counts: DataFrame, segmentation: DataFrame) -> DataFrame:
 def tf_idf(lines: DataFrame, doc_col: str = "doc_id", column: str = "line", order: Sequence[str] | None = None) -> DataFrame:
     """(word, tf, df, weight) over the corpus: ln(1 + tf) * ln(documents / (1 + df)).
 
-    With ``order`` a document is a run of rows with equal ids in that order, so an id that comes back counts again.
+    With ``order`` a document is a run of rows with equal ids in that order, so an id that comes back counts again. A run
+    is named by the id and its first place less the number of earlier rows of the id, so no task sees all rows.
     """
     rows = lines
     doc = F.col(doc_col)
     if order:
-        w = Window.orderBy(*order)
-        change = F.coalesce(~doc.eqNullSafe(F.lag(doc).over(w)), F.lit(True)) | (F.row_number().over(w) == 1)
-        rows = rows.withColumn("__run", F.sum(change.cast("int")).over(w))
-        doc = F.col("__run")
+        rows = with_position(lines, list(order), "__at")
+        rows = rows.withColumn("__run", F.col("__at") - F.row_number().over(Window.partitionBy(doc).orderBy("__at")))
+        doc = F.struct(doc, "__run")
     per_doc = rows.select(doc.alias("d"), F.explode(tokens(column)).alias("word")).groupBy("word", "d").agg(F.count(F.lit(1)).alias("n"))
     counts = per_doc.groupBy("word").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
     total = rows.agg(F.count_distinct(doc).alias("__docs"))
@@ -108,7 +108,7 @@ def tf_idf(lines: DataFrame, doc_col: str = "doc_id", column: str = "line", orde
 
 
 def word_pairs(rows: DataFrame, order: Sequence[str], alignment: str = "alignment", src: str = "src", trg: str = "trg", min_freq: int = 2, at_most: int | None = None, marker: str | None = None) -> DataFrame:
-    """(src, trg, count, rank) of aligned words, ``alignment`` being ``i-j`` pairs, most frequent first, ties by first use.
+    """(src, trg, count) of aligned words, ``alignment`` being ``i-j`` pairs, most frequent first, ties by first use.
 
     ``at_most`` keeps so many pairs of each word, on either side, counted down the ranked list.
     """

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..corpus import tokens
 from ..functions.text import FIVEDOT, java_quote, latin_letters, truncate_words
+from .counts import word_pairs
 
 
 def last_of(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
@@ -134,5 +135,16 @@ def lexical_match_score(rows: DataFrame, pairs: DataFrame, keys: Sequence[str],
     return rows.select(*keys).join(found, list(keys), "left")
 
 
+def train_lexical_match(rows: DataFrame, keys: Sequence[str], align: Callable[[DataFrame], DataFrame], src: str = "src", trg: str = "trg", truncate: Callable[[str], Column] = truncate_words, marker: str | None = FIVEDOT, min_freq: int = 2, at_most: int | None = None) -> DataFrame:
+    """(src, trg, count): the word pairs for ``lexical_match_score``, learned from parallel lines.
+
+    Words are truncated as the score does it; ``align`` adds the column ``alignment`` of ``i-j`` links to the truncated
+    lines (keys, src, trg), e.g. by aligners in both directions and their symmetrisation (``plans.recipe.program``);
+    pairs of linked words are counted, boundary markers aside.
+    """
+    cut = rows.select(*keys, truncate(src).alias(src), truncate(trg).alias(trg))
+    return word_pairs(align(cut), keys, src=src, trg=trg, min_freq=min_freq, at_most=at_most, marker=marker)
+
+
 def levenshtein(left: str, right: str) -> Column:
     return F.levenshtein(F.col(left), F.col(right))

@@ -12,8 +12,9 @@ from ..functions.text import FIVEDOT, Cell, java_quote
 
 
 def draw(seed: int, *parts: Column) -> Column:
-    """A number in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1): the first 13 hexadecimal digits of the MD5 of the seed and the parts, with ``-`` between them."""
+    text = F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def drop_tokens(line: Cell, keys: Sequence[str], probability: float = 0.1, skip_line: float = 0.0, seed: int = 1) -> Column:

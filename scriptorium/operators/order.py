@@ -72,8 +72,8 @@ def concatenate(dfs: Sequence[DataFrame]) -> DataFrame:
 
 
 def shuffle(df: DataFrame, order: Order, seed: int = 1) -> DataFrame:
-    """A uniform shuffle that depends on the seed and the keys only; the new place is ``position``."""
-    keyed = df.withColumn("__draw", F.xxhash64(F.lit(seed), *order))
+    """A uniform shuffle, by the MD5 of the seed and the keys with ``-`` between them; the new place is ``position``."""
+    keyed = df.withColumn("__draw", F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in order])))
     return with_position(keyed, ["__draw", *order]).drop("__draw")
 
 
@@ -95,6 +95,16 @@ def split_dataset(df: DataFrame, order: Order, dev_size: int = 0, test_size: int
     return {"dev": mixed.where(at < dev_size), "test": mixed.where((at >= dev_size) & (at < first)), "train": mixed.where((at >= first) & end)}
 
 
+def split_dataset_para(dfs: Sequence[DataFrame], order: Order, dev_size: int = 0, test_size: int = 0, train_size: int | None = None, seed: int = 1) -> list[dict[str, DataFrame]]:
+    """``split_dataset`` of parallel tables with the same keys: a row goes to the same split and place in all of them.
+
+    A key that one of the tables lacks is an error, as in ``safe_zip``.
+    """
+    packed = [d.select(*order, F.struct(*d.columns).alias("line")) for d in dfs]
+    split = split_dataset(safe_zip(packed, list(order)), order, dev_size, test_size, train_size, seed)
+    return [{part: rows.select(f"c{i}.*", "position") for part, rows in split.items()} for i in range(len(dfs))]
+
+
 def sort_rows(df: DataFrame, key: Column, order: Order, reverse: bool = False) -> DataFrame:
     """A stable sort: ties stay in the old order, with ``reverse`` too. The new place is ``position``."""
     kind = df.select(key.alias("k")).schema["k"].dataType.simpleString()

@@ -95,5 +95,7 @@ def profile_table(lines: DataFrame, group: Sequence[str], column: str = "line")
     headings = ["case", *PATTERNS, "hyphens", "periods", "columns"]
     cells = profile(lines, group, column).withColumn("cell", summary_cell(F.col("label"), F.col("count"), F.col("share")))
     wide = cells.groupBy(*group).pivot("heading", headings).agg(F.first("cell")).na.fill("-", headings)
-    sizes = pattern_counts(lines, group, column).select(*group, F.col("line_count"), F.concat_ws("/", F.lpad(F.col("max_tokens").cast("string"), 2, " "), F.col("max_chars").cast("string")).alias("sizes"))
+    widest = F.col("max_tokens").cast("string")
+    padded = F.when(F.length(widest) < 2, F.lpad(widest, 2, " ")).otherwise(widest)
+    sizes = pattern_counts(lines, group, column).select(*group, F.col("line_count"), F.concat_ws("/", padded, F.col("max_chars").cast("string")).alias("sizes"))
     return sizes.join(wide, list(group))
