@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from .corpus import lines_of, tokens, with_position
 from .functions import filters as P
 from .functions import text as X
+from .functions.languages import contractions
 from .functions import tokenization as K
 from .operators import analysis, blocks, bpe, counts, dedup, lookup, morph, noise, order, pipes, profile, sgm, tabular, truecase
+from .plans import recipe
+from .sources import files
+from .storage import expire, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +79,82 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # --- cells: name, function, SQL over ``line`` -------------------------------------------------------------------------
 
 
+WORDLIKE = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _by_char(case: str, source: str = L_SQL) -> str:
+    """A line anew from its characters: ``case`` has the character c, its place i from 1, and all of them, cs."""
+    cs = f"(SELECT doc_id, line_no, line, list_filter(string_split(line, ''), lambda y: y <> '') AS cs FROM {source})"
+    return f"SELECT doc_id, line_no, coalesce(array_to_string(list_transform(cs, lambda c, i: {case}), ''), '') AS line FROM {cs}"
+
+
+def _punctuation_sql() -> str:
+    out = "line"
+    for _ in range(2):  # neighbours share a letter
+        out = f"regexp_replace({out}, '({WORDLIKE})[‘’]({WORDLIKE})', '\\1''\\2', 'g')"
+    for some in ("-'\"", "/_%‰"):
+        pairs = {c: to for to, group in X._PUNCTUATION.items() if to in some for c in group}
+        out = f"translate({out}, {quoted(''.join(pairs))}, {quoted(''.join(pairs.values()))})"
+        if some[0] == "-":
+            out = f"replace({out}, {quoted(chr(39) * 2)}, {quoted(chr(34))})"
+    return out
+
+
+def _map_chars_sql() -> str:
+    spared = "".join(c if c.isalnum() or ord(c) > 127 or c in " _\t" else "\\" + c for c in X._SPARED)
+    kept = r"\p{Ll}\p{Lo}\p{Lt}\p{Lu}\p{Nd}\p{Sc}\p{Sm}" + spared.replace("'", "''")
+    return f"regexp_replace(regexp_replace(line, '\\p{{Zs}}', ' ', 'g'), '[^{kept}]', '', 'g')"
+
+
+def _contraction_patterns(reverse: bool) -> list[tuple[str, str]]:
+    pairs = [(b, a) if reverse else (a, b) for a, b in contractions("en")]
+    return [(a.replace("'", " ?' ?"), b) for a, b in pairs]
+
+
+def _contractions_sql(reverse: bool) -> str:
+    out = "line"
+    for a, b in _contraction_patterns(reverse):
+        out = f"regexp_replace({out}, {quoted(f'(?i){chr(92)}b{a}{chr(92)}b')}, {quoted(b.replace(chr(39), ' ' + chr(39)))}, 'g')"
+    return out
+
+
+def _simple_tokenize_sql(last: str = "line") -> str:
+    marks = quoted(K.PUNCTUATION)
+    one = _by_char(f"CASE WHEN contains({marks}, c) AND coalesce(cs[i - 1], '') <> c AND cs[i + 1] IS NOT NULL AND NOT contains({marks} || ' ', cs[i + 1]) THEN c || '⁙ ' ELSE c END")
+    two = _by_char(f"CASE WHEN contains({marks}, c) AND i > 1 AND cs[i - 1] NOT IN (' ', c) THEN ' ⁙' || c ELSE c END", f"({one})")
+    return f"SELECT doc_id, line_no, {last} AS line FROM ({two})"
+
+
+_LETTERED = "'⸫' || t[1] || coalesce(' ' || nullif(array_to_string(list_transform(range(2, length(t)), lambda k: '⸬' || t[k]), ' '), ''), '') || ' ⸭' || t[length(t)]"
+_SPLIT_NUMBER = "array_to_string(list_transform(range(1, length(t) + 1), lambda k: CASE WHEN k > 1 AND (length(t) - k + 1) % 3 = 0 THEN ' ⁙' ELSE '' END || t[k]), '')"
+_APART = r"NOT regexp_matches(coalesce(cs[i {0} 1], 'x'), '[\s\p{{Z}}{1}]')"
+_EACH = f"(SELECT doc_id, line_no, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT doc_id, line_no, {TOK} AS ts FROM {L_SQL}))"
+#: Tokens with w: has a word character; first: no token before it in its sentence has one.
+_EVENTS = f"(SELECT *, coalesce(sum(r::INT) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT *, regexp_matches(t, '{WORDLIKE}') AS w, regexp_matches(t, '^[.!?:]$') AS r FROM {_EACH}))"
+_STARTS = f"(SELECT *, coalesce(sum(w::INT) OVER (PARTITION BY doc_id, line_no, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS first FROM {_EVENTS})"
+
+
+def _joined(source: str, word: str, where: str = "true", otherwise: str = "''", order: str = "i") -> str:
+    """Lines of the words of ``source`` in order; ``otherwise`` for lines without any."""
+    return f"SELECT l.doc_id, l.line_no, coalesce(m.line, {otherwise}) AS line FROM {L_SQL} l LEFT JOIN (SELECT doc_id, line_no, string_agg({word}, ' ' ORDER BY {order}) AS line FROM {source} WHERE {where} GROUP BY 1, 2) m USING (doc_id, line_no)"
+
+
+def _draw_sql(i: str) -> str:
+    return f"(('0x' || substring(md5(concat_ws('-', '1', doc_id, line_no, {i})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+_SPACED = f"(SELECT doc_id, line_no, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT doc_id, line_no, string_split(trim(line), ' ') AS ts FROM {L_SQL}))"
+
+
+def _dirty(line: Column) -> Column:
+    """Entities and a ligature put into a line."""
+    return F.replace(F.replace(line, F.lit(" and "), F.lit(" &amp; ")), F.lit("fi"), F.lit("ﬁ"))
+
+
 def _notes_sql() -> str:
     out = "line"
     for note in X.SPEAKER_NOTES:
@@ -84,13 +164,13 @@ def _notes_sql() -> str:
 
 CELLS: list[tuple[str, Callable[[Column], Column], str | None]] = [
     ("denormalize_punctuation", X.denormalize_punctuation, "translate(line, '\"''', '”’')"),
-    ("normalize_punctuation", X.normalize_punctuation, None),
-    ("map_chars", X.map_chars, None),
-    ("clean", X.clean, None),
-    ("letterize_names", X.letterize_names, None),
-    ("normalize_contractions", X.normalize_contractions, None),
-    ("normalize_contractions_reverse", lambda c: X.normalize_contractions(c, reverse=True), None),
-    ("normalize_long_sounds", X.normalize_long_sounds, None),
+    ("normalize_punctuation", X.normalize_punctuation, _punctuation_sql()),
+    ("map_chars", X.map_chars, _map_chars_sql()),
+    ("clean", lambda c: X.clean(_dirty(c)), "replace(line, ' and ', ' & ')"),
+    ("letterize_names", X.letterize_names, f"coalesce(array_to_string(list_transform({TOK}, lambda t: CASE WHEN NOT contains(t, '⁙') AND length(t) > 1 AND regexp_matches(t, '^[\\p{{Lu}}\\p{{Nd}}]') THEN {_LETTERED} ELSE t END), ' '), '')"),
+    ("normalize_contractions", X.normalize_contractions, _contractions_sql(False)),
+    ("normalize_contractions_reverse", lambda c: X.normalize_contractions(c, reverse=True), _contractions_sql(True)),
+    ("normalize_long_sounds", X.normalize_long_sounds, _by_char("CASE WHEN i > 3 AND c = cs[i - 1] AND c = cs[i - 2] AND c = cs[i - 3] THEN '' ELSE c END")),
     ("split_numbers", X.split_numbers, r"regexp_replace(line, '(\d)([-/,.])(\d)', '\1@@ \2@@ \3', 'g')"),
     ("prefix", lambda c: X.prefix(c, "<s> ", " </s>"), "'<s> ' || line || ' </s>'"),
     ("truncate_words", X.truncate_words, f"array_to_string(list_transform({TOK}, lambda y: y[1:5]), ' ')"),
@@ -104,29 +184,30 @@ CELLS: list[tuple[str, Callable[[Column], Column], str | None]] = [
     ("identity", X.identity, "line"),
     ("regex_substitution", lambda c: X.regex_substitution(c, [("[aeiou]+", "_"), ("th_", "<$0>")]), r"regexp_replace(regexp_replace(line, '[aeiou]+', '_', 'g'), '(th_)', '<\1>', 'g')"),
     ("regex_dispatch", lambda c: F.coalesce(X.regex_dispatch(c, [("([A-Z])(.*)", lambda x, g: F.concat(g(2), g(1))), ("[0-9]", lambda x, g: F.lit("number"))]), F.lit("<dropped>")), r"CASE WHEN regexp_matches(line, '^[A-Z]') THEN regexp_extract(line, '^([A-Z])(.*)', 2) || regexp_extract(line, '^([A-Z])', 1) WHEN regexp_matches(line, '^[0-9]') THEN 'number' ELSE '<dropped>' END"),
-    ("simple_tokenize", K.simple_tokenize, None),
-    ("simple_tokenize_round_trip", lambda c: K.simple_detokenize(K.simple_tokenize(c)), None),
+    ("simple_tokenize", K.simple_tokenize, _simple_tokenize_sql()),
+    ("simple_tokenize_round_trip", lambda c: K.simple_detokenize(K.simple_tokenize(c)), _simple_tokenize_sql("replace(replace(replace(line, '⁙ ', ''), ' ⁙', ''), '⁙', '')")),
     ("simple_detokenize", lambda c: K.simple_detokenize(F.replace(c, F.lit(", "), F.lit(" ⁙, "))), "replace(replace(replace(replace(line, ', ', ' ⁙, '), '⁙ ', ''), ' ⁙', ''), '⁙', '')"),
     ("joiner_tokenize", K.joiner_tokenize, None),
     ("joiner_detokenize", lambda c: K.joiner_detokenize(F.replace(c, F.lit("."), F.lit(" ⁙."))), "replace(replace(replace(replace(line, '.', ' ⁙.'), '⁙ ', ''), ' ⁙', ''), '⁙', '')"),
     ("tokenize_en", lambda c: K.tokenize(c, "en"), None),
     ("tokenize_fi", lambda c: K.tokenize(c, "fi"), None),
     ("detokenize", lambda c: K.detokenize(c, "en"), None),
-    ("split_long_numbers", K.split_long_numbers, None),
-    ("split_hyphens", K.split_hyphens, None),
-    ("split_hyphens_strictly", K.split_hyphens_strictly, None),
-    ("split_all_hyphens", K.split_all_hyphens, None),
+    ("split_long_numbers", K.split_long_numbers, f"coalesce(array_to_string(list_transform({TOK}, lambda t: CASE WHEN regexp_matches(t, '^▁?[0-9]+$') AND length(replace(t, '▁', '')) > 4 THEN {_SPLIT_NUMBER} ELSE t END), ' '), '')"),
+    ("split_hyphens", K.split_hyphens, _by_char(f"CASE WHEN c = '-' AND {_APART.format('-', '-')} AND {_APART.format('+', chr(92) + 'p{Nd}-')} THEN ' - ' ELSE c END")),
+    ("split_hyphens_strictly", K.split_hyphens_strictly, _by_char("CASE WHEN c = '-' AND i > 4 AND regexp_matches(array_to_string(cs[i - 4:i - 1], ''), '^[A-Za-z]{4}$') AND regexp_matches(array_to_string(cs[i + 1:i + 4], ''), '^[A-Za-z]{4}$') THEN ' - ' ELSE c END")),
+    ("split_all_hyphens", K.split_all_hyphens, _by_char(f"CASE WHEN c = '-' AND {_APART.format('-', '')} AND {_APART.format('+', '')} THEN ' - ' ELSE c END")),
     ("split_decimal", K.split_decimal, r"regexp_replace(line, '([0-9])([.,])([0-9])', '\1 \2 \3', 'g')"),
     ("char_segmentation", K.char_segmentation, "array_to_string(list_filter(string_split(replace(line, ' ', '⁘'), ''), lambda y: y <> ''), ' ')"),
-    ("detruecase", truecase.detruecase, None),
-    ("drop_tokens", lambda c: noise.drop_tokens(c, KEY), None),
-    ("perturb_order", lambda c: noise.perturb_order(c, KEY), None),
-    ("perturb_words", lambda c: noise.perturb_words(c, KEY), None),
+    ("detruecase", truecase.detruecase, _joined(_STARTS, "CASE WHEN first AND w THEN upper(t[1]) || t[2:] ELSE t END")),
+    ("drop_tokens", lambda c: noise.drop_tokens(c, KEY), _joined(_EACH, "t", f"{_draw_sql('i - 1')} >= 0.1", "l.line")),
+    ("perturb_order", lambda c: noise.perturb_order(c, KEY), _joined(_EACH, "t", order=f"i - 1 + 3 * {_draw_sql('i - 1')}, t")),
+    ("perturb_words", lambda c: noise.perturb_words(c, KEY), _joined(_SPACED, "t", order=f"i - 1 + 3 * {_draw_sql('i - 1')}, t")),
 ]
 
 
 def _add_cell(name: str, f: Callable[[Column], Column], sql: str | None) -> None:
-    query(name, f"SELECT doc_id, line_no, {sql} AS line FROM {L_SQL}" if sql else None)(lambda s, d: L(s, d).select(*KEY, f(F.col("line")).alias("line")))
+    whole = sql if not sql or sql.startswith("SELECT") else f"SELECT doc_id, line_no, {sql} AS line FROM {L_SQL}"
+    query(name, whole)(lambda s, d: L(s, d).select(*KEY, f(F.col("line")).alias("line")))
 
 
 for _name, _f, _sql in CELLS:
@@ -156,9 +237,7 @@ FILTERS: list[tuple[str, Callable[[Column], Column], str | None]] = [
     ("filter_any_url", P.any_url, "regexp_matches(line, '(?i)https?://[^ ]')"),
     ("filter_ellipsis", P.ellipsis, "contains(line, '...')"),
     ("filter_accent_noise", P.accent_noise, f"length(replace(line, ' ', '')) >= 6 AND length(replace(line, ' ', '')) - length(translate(replace(line, ' ', ''), '{P.ACCENT_NOISE}', '')) > 0.4 * length(replace(line, ' ', ''))"),
-    ("filter_contractions", P.has_contraction, None),
     ("filter_news_crawl_urls", P.news_crawl_urls, r"regexp_matches(line, 'http://www\.iltasanomat\.fi')"),
-    ("filter_unclean", P.unclean, None),
 ]
 
 
@@ -170,6 +249,20 @@ for _name, _f, _sql in FILTERS:
     _add_filter(_name, _f, _sql)
 
 
+_SHORT = f"replace(line, 'the ', 'don''t ')"
+_ANY_SHORT = quoted("(?i)" + "|".join(rf"\b{a}\b" for a, _ in _contraction_patterns(False)))
+
+
+@query("filter_contractions", f"SELECT doc_id, line_no, {_SHORT} AS line FROM {L_SQL} WHERE NOT regexp_matches({_SHORT}, {_ANY_SHORT})")
+def _(s, d):
+    return P.apply(L(s, d).withColumn("line", F.replace("line", F.lit("the "), F.lit("don't "))), P.has_contraction("line"))[0]
+
+
+@query("filter_unclean", f"SELECT doc_id, line_no, line FROM {L_SQL} WHERE NOT (contains(line, ' and ') OR contains(line, 'fi'))")
+def _(s, d):
+    return P.apply(L(s, d).withColumn("line", _dirty(F.col("line"))), P.unclean("line"))[0]
+
+
 query("filter_only_names", f"SELECT word, count FROM {COUNTS_SQL} WHERE length(word) > 1 AND regexp_matches(word, '^[\\p{{Lu}}\\p{{Nd}}]')")(lambda s, d: counts.filter_counts(counts.count_tokens(L(s, d)), P.only_names))
 
 
@@ -195,9 +288,9 @@ for _name, (_f, _sql) in PARALLEL.items():
     _add_parallel(_name, _f, _sql)
 
 
-@query("untranslated_contractions")
+@query("untranslated_contractions", f"SELECT * FROM (SELECT conv_id, turn, c0, {_SHORT.replace('line', 'c1')} AS c1 FROM {PAIRS_SQL}) WHERE NOT regexp_matches(c1, {_ANY_SHORT})")
 def _(s, d):
-    return P.apply(pairs(s, d), P.untranslated_contraction("c0", "c1"))[0]
+    return P.apply(pairs(s, d).withColumn("c1", F.replace("c1", F.lit("the "), F.lit("don't "))), P.untranslated_contraction("c0", "c1"))[0]
 
 
 @query("per_column", f"SELECT conv_id, turn, lower(c0) AS c0, c1 FROM {PAIRS_SQL}")
@@ -230,7 +323,10 @@ def _(s, d):
     return pipes.split_newlines(table(s, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
 
 
-@query("strip_xml")
+@query("strip_xml", """WITH c AS (SELECT page_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS ch FROM (SELECT page_id, string_split(html, '') AS cs FROM pages)),
+ s AS (SELECT *, CASE ch WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END AS d FROM c), t AS (SELECT *, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS n FROM s),
+ u AS (SELECT *, n - least(min(n) OVER (PARTITION BY page_id ORDER BY i), 0) AS depth FROM t)
+ SELECT page_id, regexp_replace(coalesce(string_agg(ch, '' ORDER BY i) FILTER (WHERE depth = 0 AND d = 0 OR ch = chr(10)), ''), ' +', ' ', 'g') AS html FROM u GROUP BY page_id""")
 def _(s, d):
     return table(s, d, "pages").select("page_id", X.strip_xml("html").alias("html"))
 
@@ -268,13 +364,16 @@ query("reverse_counts", f"SELECT word, count FROM {COUNTS_SQL}")(lambda s, d: co
 query("combine_wordlists", f"SELECT word FROM {COUNTS_SQL} UNION SELECT unnest({T_SQL.format('text')}) FROM benchmark")(lambda s, d: counts.combine_wordlists([counts.count_tokens(L(s, d)), counts.count_tokens(benchmark(s, d))]))
 
 
-def _by_language(s: SparkSession, d: str, lang: str) -> DataFrame:
-    return counts.count_tokens(lines_of(table(s, d, "documents").where(F.col("lang") == lang)))
+def _by_language(s: SparkSession, d: str) -> list[DataFrame]:
+    """A count table of each language of the corpus."""
+    t = table(s, d, "documents")
+    langs = [r["lang"] for r in t.select("lang").distinct().orderBy("lang").collect()]
+    return [counts.count_tokens(lines_of(t.where(F.col("lang").eqNullSafe(x)))) for x in langs]
 
 
-_LANG_COUNTS = f"(SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({T_SQL.format('text')}) AS word FROM documents WHERE lang IN ('en', 'fr')) GROUP BY lang, word)"
-query("combine_counts", f"SELECT word, CAST(sum(n) AS BIGINT) AS count FROM {_LANG_COUNTS} WHERE n >= 2 GROUP BY word")(lambda s, d: counts.combine_counts([_by_language(s, d, "en"), _by_language(s, d, "fr")], threshold=2))
-query("combine_counts_balance", f"WITH c AS (SELECT * FROM {_LANG_COUNTS}), t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang), m AS (SELECT max(total) AS m FROM t) SELECT word, CAST(sum(CASE WHEN total = m THEN n ELSE trunc(n * (m::DOUBLE / total)) END) AS BIGINT) AS count FROM c JOIN t USING (lang), m GROUP BY word")(lambda s, d: counts.combine_counts([_by_language(s, d, "en"), _by_language(s, d, "fr")], balance=True))
+_LANG_COUNTS = f"(SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({T_SQL.format('text')}) AS word FROM documents) GROUP BY lang, word)"
+query("combine_counts", f"SELECT word, CAST(sum(n) AS BIGINT) AS count FROM {_LANG_COUNTS} WHERE n >= 2 GROUP BY word")(lambda s, d: counts.combine_counts(_by_language(s, d), threshold=2))
+query("combine_counts_balance", f"WITH c AS (SELECT * FROM {_LANG_COUNTS}), t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang), m AS (SELECT max(total) AS m FROM t) SELECT word, CAST(sum(CASE WHEN total = m THEN n ELSE trunc(n * (m::DOUBLE / total)) END) AS BIGINT) AS count FROM c JOIN t USING (lang), m GROUP BY word")(lambda s, d: counts.combine_counts(_by_language(s, d), balance=True))
 
 
 @query("segment_counts", f"SELECT part AS word, CAST(sum(count) AS BIGINT) AS count FROM (SELECT unnest(CASE WHEN length(word) > 6 THEN [word[1:3], word[4:]] ELSE [word] END) AS part, count FROM {COUNTS_SQL}) GROUP BY part")
@@ -328,20 +427,30 @@ query("reversed_rows", "SELECT doc_id, lang, n_chars, row_number() OVER (ORDER B
 query("line_numbers", f"SELECT doc_id, line_no, (row_number() OVER (ORDER BY doc_id, line_no) + 9) || ' ' || line AS line FROM {L_SQL}")(lambda s, d: order.line_numbers(L(s, d), KEY, 10))
 query("line_count", f"SELECT count(*) AS n FROM {L_SQL}")(lambda s, d: L(s, d).agg(F.count(F.lit(1)).alias("n")))
 query("concatenate", f"SELECT doc_id, line_no, line, 0 AS file_idx FROM {L_SQL} UNION ALL SELECT doc_id, line_no, line, 1 FROM {B_SQL}")(lambda s, d: order.concatenate([L(s, d), benchmark(s, d)]))
-query("shuffle")(lambda s, d: order.shuffle(docs(s, d), D))
+_MIXED = "(SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY md5('1-' || doc_id), doc_id) - 1 AS position FROM documents)"
+query("shuffle", f"SELECT * FROM {_MIXED}")(lambda s, d: order.shuffle(docs(s, d), D))
+
+
+def _parts_of(split: dict[str, DataFrame]) -> DataFrame:
+    dev, test, train = (rows.withColumn("part", F.lit(name)) for name, rows in split.items())
+    return dev.unionByName(test).unionByName(train)
+
+
+_PART = "CASE WHEN position < 50 THEN 'dev' WHEN position < 80 THEN 'test' ELSE 'train' END AS part"
+query("split_dataset", f"SELECT *, {_PART} FROM {_MIXED}")(lambda s, d: _parts_of(order.split_dataset(docs(s, d), D, 50, 30)))
 
 
-@query("split_dataset", "SELECT CAST(50 AS BIGINT) AS dev, CAST(30 AS BIGINT) AS test, count(*) - 80 AS train FROM documents")
+@query("split_dataset_para", f"SELECT *, {_PART}, 0 AS side FROM {_MIXED} UNION ALL SELECT doc_id, upper(lang), -n_chars, position, {_PART}, 1 FROM {_MIXED}")
 def _(s, d):
-    parts = order.split_dataset(docs(s, d), D, 50, 30)
-    return parts["dev"].agg(F.count("*").alias("dev")).crossJoin(parts["test"].agg(F.count("*").alias("test"))).crossJoin(parts["train"].agg(F.count("*").alias("train")))
+    one, two = order.split_dataset_para([docs(s, d), docs(s, d).select("doc_id", F.upper("lang").alias("lang"), (-F.col("n_chars")).alias("n_chars"))], D, 50, 30)
+    return _parts_of(one).withColumn("side", F.lit(0)).unionByName(_parts_of(two).withColumn("side", F.lit(1)))
 
 
-@query("de_round_robin", """WITH u AS (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS i, CASE lang WHEN 'en' THEN 2 ELSE 1 END AS m, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS f FROM documents WHERE lang IN ('en', 'fr'))
+@query("de_round_robin", """WITH u AS (SELECT doc_id, lang, (row_number() OVER (PARTITION BY f ORDER BY doc_id) - 1) AS i, 2 - f AS m, f FROM (SELECT *, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS f FROM documents))
  SELECT doc_id, lang, row_number() OVER (ORDER BY i // m, f, i % m) - 1 AS position FROM u""")
 def _(s, d):
     x = docs(s, d).drop("n_chars")
-    return order.de_round_robin([x.where("lang = 'en'"), x.where("lang = 'fr'")], D, [2, 1])
+    return order.de_round_robin([x.where("lang = 'en'"), x.where("NOT lang <=> 'en'")], D, [2, 1])
 
 
 @query("safe_zip", f"SELECT doc_id, line_no, line AS c0, lower(line) AS c1 FROM {L_SQL}")
@@ -392,7 +501,6 @@ def _lexicon(s: SparkSession, d: str) -> DataFrame:
 
 
 _KNOWN = f"(SELECT DISTINCT unnest({T_SQL.format('text')}) AS word FROM benchmark)"
-_EACH = f"(SELECT doc_id, line_no, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT doc_id, line_no, {TOK} AS ts FROM {L_SQL}))"
 
 
 def _again(word: str, known: str = _KNOWN) -> str:
@@ -534,12 +642,18 @@ def _(s, d):
 # --- truecasing, sub-words --------------------------------------------------------------------------------------------
 
 
-@query("train_truecaser")
+_MODEL_SQL = f"""SELECT word, t AS best, n / total > 0.6 AS sure FROM (SELECT lower(t) AS word, t, n, sum(n) OVER (PARTITION BY lower(t)) AS total, row_number() OVER (PARTITION BY lower(t) ORDER BY n DESC, seen) AS rank
+ FROM (SELECT t, count(*) AS n, min(struct_pack(d := doc_id, l := line_no, i := i)) AS seen FROM {_STARTS} WHERE NOT first GROUP BY t)) WHERE rank = 1 AND total >= 2"""
+_CASED = "sum((t <> lower(t))::INT)"
+_WHOLE = f"(SELECT doc_id, line_no, coalesce({_CASED} = 0 OR {_CASED} / nullif(sum(w::INT), 0) > 0.5, true) AS every FROM {_STARTS} GROUP BY 1, 2)"
+
+
+@query("train_truecaser", _MODEL_SQL)
 def _(s, d):
     return truecase.train_truecaser(L(s, d), KEY)
 
 
-@query("truecase")
+@query("truecase", _joined(f"(SELECT s.*, every, best, sure FROM {_STARTS} s JOIN {_WHOLE} USING (doc_id, line_no) LEFT JOIN ({_MODEL_SQL}) m ON m.word = lower(s.t))", "CASE WHEN sure AND (every OR first) THEN best ELSE t END"))
 def _(s, d):
     return truecase.truecase(L(s, d), truecase.train_truecaser(L(s, d), KEY), KEY)
 
@@ -551,13 +665,13 @@ def _(s, d):
 
 @query("learn_bpe")
 def _(s, d):
-    merges = bpe.learn_bpe(counts.count_tokens(benchmark(s, d)), 300)
+    merges = bpe.learn_bpe(counts.count_tokens(L(s, d)))
     return s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank long, left string, right string")
 
 
 @query("apply_bpe")
 def _(s, d):
-    merges = bpe.learn_bpe(counts.count_tokens(benchmark(s, d)), 300)
+    merges = bpe.learn_bpe(counts.count_tokens(L(s, d)))
     return L(s, d).select(*KEY, bpe.apply_bpe("line", merges).alias("line"))
 
 
@@ -610,9 +724,50 @@ def _(s, d):
     return analysis.retruecase(segments(s, d), model, model)
 
 
-query("analyze_chrf")(lambda s, d: analysis.analyze_chrf(segments(s, d)).drop("refs"))
-query("evaluate_chrf")(lambda s, d: analysis.evaluate_chrf(segments(s, d), "sys", "refs", (1.0, 2.0)))
-query("evaluate_bleu")(lambda s, d: analysis.evaluate_bleu(pairs(s, d), "c0", "c1"))
+#: (docid, segid, k, n, hyp, ref, hit): of both outputs, the n-gram totals, and those of the better reference for each n.
+_CHRF = f"""x AS (SELECT docid, segid, k, replace(x, ' ', '') AS x FROM (SELECT conv_id AS docid, turn AS segid, unnest(['bl', 'sys', 'r0', 'r1']) AS k, unnest([c1, lower(c1), c1, c0 || '!']) AS x FROM {PAIRS_SQL})),
+ t AS (SELECT docid, segid, k, n, greatest(length(x) - n + 1, 0) AS total, x FROM x, range(1, 7) r(n)),
+ g AS (SELECT docid, segid, k, n, x[i:i + n - 1] AS gram, count(*) AS c FROM (SELECT *, unnest(range(1, total + 1)) AS i FROM t) GROUP BY ALL),
+ h AS (SELECT a.docid, a.segid, a.k, b.k AS r, a.n, sum(least(a.c, b.c)) AS hit FROM g a JOIN g b USING (docid, segid, n, gram) WHERE a.k IN ('bl', 'sys') AND b.k IN ('r0', 'r1') GROUP BY ALL),
+ f AS (SELECT a.docid, a.segid, a.k, a.n, a.total AS hyp, b.total AS ref, coalesce(h.hit, 0) AS hit, CASE WHEN a.total + b.total > 0 THEN 2 * coalesce(h.hit, 0) / (a.total + b.total) ELSE 0 END AS f
+  FROM t a JOIN t b USING (docid, segid, n) LEFT JOIN h ON h.docid = a.docid AND h.segid = a.segid AND h.k = a.k AND h.r = b.k AND h.n = a.n WHERE a.k IN ('bl', 'sys') AND b.k IN ('r0', 'r1')),
+ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY docid, segid, k, n ORDER BY f DESC, ref DESC, hit DESC) AS rank FROM f) WHERE rank = 1)"""
+_PR = "SELECT docid, segid, k, avg(CASE WHEN hyp > 0 THEN hit / hyp ELSE 0 END) AS p, avg(CASE WHEN ref > 0 THEN hit / ref ELSE 0 END) AS r FROM s WHERE hyp > 0 OR ref > 0 GROUP BY ALL"
+_F = "CASE WHEN p + r > 0 THEN (1 + {0}) * p * r / ({0} * p + r) ELSE 0 END"
+_BOTH = ", ".join(f"coalesce(max(f{b}) FILTER (WHERE k = '{k}'), 0) AS {k}{b}" for k in ("bl", "sys") for b in (1, 2))
+_NAMES = ", ".join([f"round({k}{b}, 6) AS {k}_chrF{b}" for k in ("bl", "sys") for b in (1, 2)] + [f"round(sys{b} - bl{b}, 6) AS delta_chrF{b}" for b in (1, 2)])
+
+
+@query("analyze_chrf", f"WITH {_CHRF}, q AS ({_PR}), w AS (SELECT docid, segid, k, {_F.format(1)} AS f1, {_F.format(4)} AS f2 FROM q), z AS (SELECT docid, segid, {_BOTH} FROM w GROUP BY ALL) SELECT docid, segid, {_NAMES} FROM (SELECT conv_id AS docid, turn AS segid, 0 AS o FROM {PAIRS_SQL}) JOIN z USING (docid, segid)")
+def _(s, d):
+    out = analysis.analyze_chrf(segments(s, d))
+    return out.select("docid", "segid", *[F.round(c, 6).alias(c) for c in out.columns if "chrF" in c])
+
+
+@query("evaluate_chrf", f"WITH {_CHRF}, m AS (SELECT n, sum(hyp) AS hyp, sum(ref) AS ref, sum(hit) AS hit FROM s WHERE k = 'sys' GROUP BY n), q AS (SELECT sum(CASE WHEN hyp > 0 THEN hit / hyp ELSE 0 END) / 6 AS p, sum(CASE WHEN ref > 0 THEN hit / ref ELSE 0 END) / 6 AS r FROM m) SELECT beta, round((1 + beta * beta) * p * r / (beta * beta * p + r), 6) AS chrf, round(p, 6) AS precision, round(r, 6) AS recall FROM q, (SELECT unnest([1.0::DOUBLE, 2.0]) AS beta)")
+def _(s, d):
+    return analysis.evaluate_chrf(segments(s, d), "sys", "refs", (1.0, 2.0)).select("beta", *[F.round(c, 6).alias(c) for c in ("chrf", "precision", "recall")])
+
+
+def _bleu_sql(refs: dict[str, str]) -> str:
+    grams = lambda c: f"SELECT id, n, array_to_string({c}[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT id, {c}, n, unnest(range(1, len({c}) - n + 2)) AS i FROM e, range(1, 5) r(n)) GROUP BY ALL"
+    cut = ", ".join(f"{T_SQL.format(x)} AS {c}" for c, x in refs.items())
+    every = " UNION ALL ".join(grams(c) for c in refs)
+    near = "list_min([" + ", ".join(f"struct_pack(d := abs(len({c}) - len(h)), n := len({c}))" for c in refs) + "])"
+    return f"""WITH e AS (SELECT row_number() OVER () AS id, {T_SQL.format('c0')} AS h, {cut} FROM {PAIRS_SQL}), hg AS ({grams('h')}), rg AS (SELECT id, n, g, max(c) AS c FROM ({every}) GROUP BY ALL),
+ s AS (SELECT hg.n, sum(hg.c) AS total, sum(least(hg.c, coalesce(rg.c, 0))) AS hit FROM hg LEFT JOIN rg USING (id, n, g) GROUP BY hg.n),
+ z AS (SELECT sum(len(h)) AS c, sum({near}.n) AS r FROM e)
+ SELECT round(100 * CASE WHEN count(*) = 4 AND min(hit) > 0 THEN exp(sum(ln(CASE WHEN hit > 0 THEN hit / total END)) / 4) ELSE 0 END * any_value(CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END), 6) AS bleu FROM s, z"""
+
+
+@query("evaluate_bleu", _bleu_sql({"r0": "lower(c0) || ' ' || c1"}))
+def _(s, d):
+    return analysis.evaluate_bleu(pairs(s, d).withColumn("r", F.concat_ws(" ", F.lower("c0"), "c1")), "c0", "r").select(F.round("bleu", 6).alias("bleu"))
+
+
+@query("evaluate_multi_bleu", _bleu_sql({"r0": "c1", "r1": "lower(c0) || ' ' || c1"}))
+def _(s, d):
+    return analysis.evaluate_bleu(pairs(s, d).withColumn("r", F.concat_ws(" ", F.lower("c0"), "c1")), "c0", ["c1", "r"]).select(F.round("bleu", 6).alias("bleu"))
 
 
 def _measures(s: SparkSession, d: str) -> DataFrame:
@@ -629,13 +784,114 @@ def _source_lines(s: SparkSession, d: str) -> DataFrame:
     return lines_of(table(s, d, "documents").select("source", "text"), "source")
 
 
-query("corpus_profile")(lambda s, d: profile.profile(_source_lines(s, d), ["source"]))
 _HITS = "len(regexp_extract_all(line, '{}'))"
-query("profile_table")(lambda s, d: profile.profile_table(_source_lines(s, d), ["source"]))
-query("profile_patterns", f"SELECT source, count(*) AS line_count, max(len({TOK})) AS max_tokens, max(length(line)) AS max_chars, CAST(sum({_HITS.format('<[^>]*>')}) AS BIGINT) AS xml_tag, CAST(sum({_HITS.format('[&<](?:unk|UNK)[;>]')}) AS BIGINT) AS unk_unk, CAST(sum({_HITS.format('&quot;|&apos;|&#124;')}) AS BIGINT) AS escaping_escaped FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source")(lambda s, d: profile.pattern_counts(_source_lines(s, d), ["source"]).select("source", "line_count", "max_tokens", "max_chars", "xml_tag", "unk_unk", "escaping_escaped"))
-query("profile_labels", r"""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), x AS (
- SELECT source, 'case' AS heading, CASE WHEN regexp_matches(line, '^\p{Lu}') THEN 'U' WHEN regexp_matches(line, '^\p{Ll}') THEN 'L' WHEN regexp_matches(line, '^\p{Nd}') THEN 'N' ELSE '?' END AS label FROM l
+#: Patterns that look around in the engine, for RE2.
+_AROUND = {"boundary": {"comp": (r"\S@ ",), "plus": (r" \+\S", r"\+ \S"), "5dot": (r" ⁙\S", r"⁙ \S"), "none": (f"{WORDLIKE} {WORDLIKE}",)}}
+
+
+def _hits_sql(heading: str, label: str, patterns: tuple[str, ...]) -> str:
+    if (heading, label) == ("numbers", "raw"):
+        return r"len(list_filter(string_split_regex(line, '\s')[2:-2], lambda y: regexp_matches(y, '^[0-9]+$')))"
+    return " + ".join(_HITS.format(p.replace("'", "''")) for p in _AROUND.get(heading, {}).get(label, patterns))
+
+
+_LABELS = r"""SELECT source, 'case' AS heading, CASE WHEN regexp_matches(line, '^\p{Lu}') THEN 'U' WHEN regexp_matches(line, '^\p{Ll}') THEN 'L' WHEN regexp_matches(line, '^\p{Nd}') THEN 'N' ELSE '?' END AS label FROM l
  UNION ALL SELECT source, 'columns', CASE WHEN contains(line, chr(31)) THEN len(string_split(line, chr(31))) || 'u' WHEN contains(line, chr(9)) THEN len(string_split(line, chr(9))) || 't' WHEN contains(line, '|||') THEN len(string_split(line, '|||')) || 'p' ELSE 'no' END FROM l
  UNION ALL SELECT source, 'hyphens', regexp_replace(h[1] || h[3], '\s', ' ', 'g') FROM (SELECT source, unnest(regexp_extract_all(line, '.-.')) AS h FROM l)
- UNION ALL SELECT source, 'periods', regexp_replace(h[1], '\s', ' ', 'g') FROM (SELECT source, unnest(regexp_extract_all(line, '.\.')) AS h FROM l))
+ UNION ALL SELECT source, 'periods', regexp_replace(h[1], '\s', ' ', 'g') FROM (SELECT source, unnest(regexp_extract_all(line, '.\.')) AS h FROM l)"""
+_FLAT = ", ".join(f"struct_pack(heading := '{h}', label := '{lab}', n := {_hits_sql(h, lab, ps)})" for h, labels in profile.PATTERNS.items() for lab, ps in labels.items())
+_PROFILE = f"""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), x AS ({_LABELS}),
+ p AS (SELECT source, x.heading AS heading, x.label AS label, sum(x.n) AS count FROM (SELECT source, unnest([{_FLAT}]) AS x FROM l) GROUP BY ALL),
+ c AS (SELECT source, heading, label, count(*) AS count FROM x GROUP BY ALL UNION ALL SELECT * FROM p),
+ r AS (SELECT *, sum(count) OVER (PARTITION BY source, heading) AS total, row_number() OVER (PARTITION BY source, heading ORDER BY count DESC, label) AS rank FROM c),
+ best AS (SELECT source, heading, label, CAST(count AS BIGINT) AS count, count / total AS share FROM r WHERE rank = 1 AND total > 0)"""
+query("corpus_profile", f"{_PROFILE} SELECT source, heading, label, count, round(share, 6) AS share FROM best")(lambda s, d: profile.profile(_source_lines(s, d), ["source"]).withColumn("share", F.round("share", 6)))
+_CELL = "label || ' ' || CASE WHEN count < 10 THEN count::VARCHAR WHEN count < 100 THEN 'd' WHEN count < 1000 THEN 'h' WHEN count < 10000 THEN 'k' ELSE '!' END || ' ' || CASE WHEN floor(share * 100) = 100 THEN 'all' ELSE lpad(CAST(floor(share * 100) AS BIGINT)::VARCHAR, 2, ' ') || '%' END"
+_WIDE = ", ".join(f"coalesce(max({_CELL}) FILTER (WHERE heading = '{h}'), '-') AS {h}" for h in ("case", *profile.PATTERNS, "hyphens", "periods", "columns")).replace("AS case", 'AS "case"')
+query("profile_table", f"{_PROFILE}, z AS (SELECT source, count(*) AS line_count, lpad(max(len({TOK}))::VARCHAR, greatest(2, length(max(len({TOK}))::VARCHAR))::INT, ' ') || '/' || max(length(line)) AS sizes FROM l GROUP BY source), w AS (SELECT source, {_WIDE} FROM best GROUP BY source) SELECT * FROM z JOIN w USING (source)")(lambda s, d: profile.profile_table(_source_lines(s, d), ["source"]))
+query("profile_patterns", f"SELECT source, count(*) AS line_count, max(len({TOK})) AS max_tokens, max(length(line)) AS max_chars, CAST(sum({_HITS.format('<[^>]*>')}) AS BIGINT) AS xml_tag, CAST(sum({_HITS.format('[&<](?:unk|UNK)[;>]')}) AS BIGINT) AS unk_unk, CAST(sum({_HITS.format('&quot;|&apos;|&#124;')}) AS BIGINT) AS escaping_escaped FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source")(lambda s, d: profile.pattern_counts(_source_lines(s, d), ["source"]).select("source", "line_count", "max_tokens", "max_chars", "xml_tag", "unk_unk", "escaping_escaped"))
+query("profile_labels", f"""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), x AS ({_LABELS})
  SELECT source, heading, label, count(*) AS count FROM x GROUP BY ALL""")(lambda s, d: profile.label_counts(_source_lines(s, d), ["source"]))
+
+
+# --- files and recipes ------------------------------------------------------------------------------------------------
+
+
+_BENCHMARK_LINES = "(SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)"
+
+
+def _written(s: SparkSession, df: DataFrame, suffix: str = "") -> str:
+    """A line file of the shared folder, which goes with the application."""
+    path = fresh_path(s, "lines") + suffix
+    files.write_lines(df, path, KEY)
+    expire(s, path)
+    return path
+
+
+for _name, _suffix in (("read_lines", ""), ("read_lines_gzip", ".gz"), ("read_lines_bzip2", ".bz2")):
+    query(_name, f"SELECT line FROM {L_SQL}")(lambda s, d, suffix=_suffix: files.read_lines(s, _written(s, L(s, d), suffix)).select("line"))
+
+query("concatenate_files", f"SELECT 0 AS file_idx, line FROM {L_SQL} UNION ALL SELECT 1, line FROM {_BENCHMARK_LINES}")(lambda s, d: files.concatenate_files(s, [_written(s, L(s, d), ".gz"), _written(s, benchmark(s, d))]).select("file_idx", "line"))
+query("external_linecount", f"SELECT count(*) AS n FROM {L_SQL}")(lambda s, d: s.range(1).select(F.lit(files.line_count(s, _written(s, L(s, d)))).cast("long").alias("n")))
+
+
+@query("copy_file", f"SELECT line FROM {_BENCHMARK_LINES}")
+def _(s, d):
+    source = _written(s, benchmark(s, d), ".gz")
+    target = source.replace(".gz", "-copy.gz")
+    files.copy(s, source, target)
+    expire(s, target)
+    return files.read_lines(s, target).select("line")
+
+
+@query("reencode", f"SELECT doc_id, line_no, regexp_replace(line, '[^\\x00-\\xff]', '?', 'g') AS line FROM {L_SQL}")
+def _(s, d):
+    return L(s, d).select(*KEY, files.reencode(F.encode("line", "ISO-8859-1"), "iso-8859-1").alias("line"))
+
+
+@query("loop_files", f"SELECT doc_id AS file, line FROM {L_SQL} WHERE doc_id % 3 = 2")
+def _(s, d):
+    """Numbered files, of which the one with the greatest number is read."""
+    template = fresh_path(s, "loop") + ".{_loop_index}"
+    for i in range(3):
+        path = files.loop_path(template, i)
+        files.write_lines(L(s, d).where(F.col("doc_id") % 3 == i).withColumn("line", F.concat_ws("\t", "doc_id", "line")), path, KEY)
+        expire(s, path)
+    last = files.highest(s, template)
+    cut = F.split("line", "\t", 2)
+    return files.read_lines(s, files.loop_path(template, last)).select(cut[0].cast("long").alias("file"), cut[1].alias("line"))
+
+
+@query("indirect_file", f"SELECT line FROM {_BENCHMARK_LINES}")
+def _(s, d):
+    named = _written(s, benchmark(s, d))
+    pointer = _written(s, s.range(1).select(F.lit(0).alias("doc_id"), F.lit(0).alias("line_no"), F.lit(named).alias("line")))
+    return files.read_lines(s, files.indirect(s, pointer)).select("line")
+
+
+def _recipe(s: SparkSession, d: str) -> tuple[recipe.Recipe, recipe.Target]:
+    r = recipe.Recipe(s)
+    corpus = r.add_input("corpus", "lines", df=L(s, d))
+    path = fresh_path(s, "recipe")
+    (low,) = r.add_step([corpus], [r.add_output("corpus", "lower", path)], lambda x: x.withColumn("line", X.lowercase("line")))
+    (counted,) = r.add_step([low], [r.add_output("corpus", "counts", wanted=True)], counts.count_tokens)
+    return r, counted
+
+
+query("recipe_make", f"SELECT lower(word) AS word, CAST(sum(count) AS BIGINT) AS count FROM {COUNTS_SQL} GROUP BY 1")(lambda s, d: (lambda r: r[0].make()[r[1]])(_recipe(s, d)))
+query("recipe_status", "SELECT * FROM (VALUES ('available', 'corpus:lower', 'corpus:lines'), ('waiting', 'corpus:counts', 'corpus:lower')) t(status, outputs, inputs)")(lambda s, d: s.createDataFrame([(x.status, *x.outputs, *x.inputs) for x in _recipe(s, d)[0].status()], "status string, outputs string, inputs string"))
+query("pipe_through_program", f"SELECT doc_id, line_no, translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS line FROM {L_SQL}")(lambda s, d: recipe.pipe_lines(L(s, d), "tr a-z A-Z"))
+query("choose_model", "SELECT arg_min(lang, (score, lang)) AS model, min(score) AS score FROM (SELECT lang, avg(n_chars) AS score FROM documents GROUP BY lang)")(lambda s, d: recipe.choose_model(table(s, d, "documents").groupBy(F.col("lang").alias("model")).agg(F.avg("n_chars").alias("score"))))
+
+
+@query("train_lexical_match", f"""WITH p AS (SELECT list_transform({T_SQL.format('c0')}, lambda y: y[1:5]) AS a, list_transform({T_SQL.format('c1')}, lambda y: y[1:5]) AS b FROM {PAIRS_SQL}), e AS (SELECT a, b, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM p)
+ SELECT a[i] AS src, b[i] AS trg, count(*) AS count FROM e GROUP BY 1, 2 HAVING count(*) >= 2""")
+def _(s, d):
+    """With an aligner that links words at the same place."""
+
+    def align(rows: DataFrame) -> DataFrame:
+        n = F.least(F.size(tokens("c0")), F.size(tokens("c1")))
+        links = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws("-", i.cast("string"), i.cast("string"))), " ")
+        return rows.withColumn("alignment", F.when(n > 0, links).otherwise(""))
+
+    return lookup.train_lexical_match(pairs(s, d), ["conv_id", "turn"], align, "c0", "c1")

@@ -11,15 +11,18 @@ import configparser
 import datetime
 import itertools
 import json
-import os
+import queue
 import re
 import shlex
 import subprocess
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import exists, is_file, matching, modified
+
 
 class NotDone(Exception):
     """A step can't run: an input is missing, or a person has to do it."""
@@ -59,7 +62,7 @@ class JobStatus:
 
 class Recipe:
     def __init__(self, spark: SparkSession | None = None, config: configparser.ConfigParser | None = None):
-        self.spark, self.config = spark, config
+        self.spark, self.config = spark or SparkSession.getActiveSession(), config
         self.steps: dict[Target, Step | None] = {}
         self.wanted: list[Target] = []
         self._made: dict[Target, DataFrame] = {}
@@ -119,25 +122,28 @@ class Recipe:
         return order
 
     def _done(self, t: Target) -> bool:
-        return bool(t.path) and (os.path.exists(os.path.join(t.path, "_SUCCESS")) or os.path.isfile(t.path))
+        return bool(t.path) and (exists(self.spark, t.path.rstrip("/") + "/_SUCCESS") or is_file(self.spark, t.path))
+
+    def _there(self, t: Target) -> bool:
+        return bool(t.path) and exists(self.spark, t.path)
 
     def status(self, outputs: Sequence[Target] | None = None) -> list[JobStatus]:
         """done, available (all inputs are there) or waiting, for every step and input that the outputs need."""
         out, planned = [], self.plan(outputs)
         pending = {t for s in planned for t in s.outputs}
         for s in planned:
-            ready = all(i not in pending and (self.steps[i] is not None or i in self._made or i.path and os.path.exists(i.path)) for i in s.inputs)
+            ready = all(i not in pending and (self.steps[i] is not None or i in self._made or self._there(i)) for i in s.inputs)
             out.append(JobStatus("available" if ready else "waiting", [str(t) for t in s.outputs], [str(i) for i in s.inputs]))
         return out + [JobStatus("done", [str(t)]) for t in (outputs if outputs is not None else self.wanted) if t not in pending]
 
     def check(self, outputs: Sequence[Target] | None = None) -> list[Target]:
         """Inputs that are not there."""
         need = {i for s in self.plan(outputs) for i in s.inputs if self.steps.get(i) is None and i not in self._made}
-        return sorted((t for t in need if not t.path or not os.path.exists(t.path)), key=str)
+        return sorted((t for t in need if not self._there(t)), key=str)
 
     def time_inversions(self) -> list[tuple[Target, Target]]:
         """(input, output) where the written input is newer than the output."""
-        when = lambda t: os.path.getmtime(t.path) if t.path and os.path.exists(t.path) else None
+        when = lambda t: modified(self.spark, t.path) if t.path else None
         pairs = [(i, o) for s in {id(s): s for s in self.steps.values() if s}.values() for i in s.inputs for o in s.outputs]
         return [(i, o) for i, o in pairs if when(i) and when(o) and when(i) > when(o)]
 
@@ -149,7 +155,7 @@ class Recipe:
             return self._made[t]
         step = self.steps.get(t)
         if step is None or self._done(t):
-            if not t.path or not os.path.exists(t.path):
+            if not self._there(t):
                 raise NotDone(f"missing: {t}")
             self._made[t] = self._load(t)
             return self._made[t]
@@ -165,7 +171,7 @@ class Recipe:
     def _load(self, t: Target) -> DataFrame:
         from ..sources.files import read_lines
 
-        parquet = os.path.isdir(t.path) and any(n.endswith(".parquet") for n in os.listdir(t.path)) or t.path.endswith(".parquet")
+        parquet = t.path.endswith(".parquet") or bool(matching(self.spark, t.path.rstrip("/") + "/*.parquet"))
         return self.spark.read.parquet(t.path) if parquet else read_lines(self.spark, t.path)
 
     def make(self, outputs: Sequence[Target] | None = None, log: ExperimentLog | None = None) -> dict[Target, DataFrame]:
@@ -244,7 +250,7 @@ class ExternalStep:
 
 
 def pipe_lines(df: DataFrame, command: str, column: str = "line") -> DataFrame:
-    """Streams each partition through a program that gives a line for a line."""
+    """Streams each partition through one run of a program that gives a line for a line."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -253,14 +259,34 @@ def pipe_lines(df: DataFrame, command: str, column: str = "line") -> DataFrame:
     schema = df.select(*others, column).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [x or "" for x in batch.column(len(others)).to_pylist()]
-            if any("\n" in x for x in text):
-                raise ValueError("a line has a newline")
-            done = subprocess.run(command, shell=True, input="".join(x + "\n" for x in text), capture_output=True, text=True, check=True).stdout.splitlines()
-            if len(done) != len(text):
-                raise ValueError(f"{len(done)} lines for {len(text)}")
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], pa.array(done, pa.string())], names=[*others, column])
+        program = subprocess.Popen(command, shell=True, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        # A program may hold lines back, so batches go in by a thread of their own, a bounded number ahead.
+        sent: queue.Queue = queue.Queue(64)
+
+        def feed() -> None:
+            try:
+                for batch in batches:
+                    text = [x or "" for x in batch.column(len(others)).to_pylist()]
+                    if any("\n" in x for x in text):
+                        raise ValueError("a line has a newline")
+                    sent.put(batch)
+                    program.stdin.write("".join(x + "\n" for x in text).encode())
+                program.stdin.close()
+                sent.put(None)
+            except Exception as e:  # given to the reader, which raises it
+                program.kill()
+                sent.put(e)
+
+        threading.Thread(target=feed, daemon=True).start()
+        while (batch := sent.get()) is not None:
+            if isinstance(batch, Exception):
+                raise batch
+            done = [program.stdout.readline() for _ in range(len(batch))]
+            if not all(x.endswith(b"\n") for x in done):
+                raise ValueError(f"{command}: fewer lines out than in")
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], pa.array([x[:-1].decode() for x in done], pa.string())], names=[*others, column])
+        if program.stdout.read() or program.wait():
+            raise ValueError(f"{command}: more lines out than in, or exit {program.returncode}")
 
     return df.select(*others, column).mapInArrow(run, schema)
 
@@ -269,7 +295,8 @@ def _external(template: str, inputs: str, outputs: str) -> ExternalStep:
     return ExternalStep(template, inputs.split(), outputs.split())
 
 
-#: Programs of a translation workflow. They are only called, and have to be installed.
+#: Programs of a translation workflow. They are only called, and have to be installed. ``{command}`` is a site's own program,
+#: which the configuration names: see ``program``.
 PROGRAMS: dict[str, ExternalStep] = {
     "moses_tokenize": _external("tokenizer.perl {argstr} < {inp} > {out}", "inp", "out"),
     "train_morfessor": _external("morfessor-train {argstr} -s {model} -x {lexicon} --save-parameters {params} {inp}", "inp", "model params lexicon"),
@@ -284,19 +311,31 @@ PROGRAMS: dict[str, ExternalStep] = {
     "word2vec_cluster": _external("word2vec -train {inp} -output {out} {argstr}", "inp", "out"),
     "fast_align": _external("fast_align {argstr} -i {inp} > {out}", "inp", "out"),
     "symmetrize": _external("atools {argstr} -i {fwd} -j {rev} > {out}", "fwd rev", "out"),
-    "train_lmclean": _external("lmclean-train {argstr} {train} {dev} {model}", "train dev", "model"),
-    "eval_lmclean": _external("lmclean-eval {argstr} {model} {test} > {scores}", "model test", "scores"),
-    "score_lmclean": _external("lmclean-score {argstr} {model} {test} > {scores}", "model test", "scores"),
-    "nmt_vocabularies": _external("nmt-vocab {argstr} {src} {trg} > {vocab}", "src trg", "vocab"),
-    "nmt_prepare": _external("nmt-prepare {argstr} {src} {trg} {vocab} {shards}", "src trg vocab", "shards"),
-    "nmt_train": _external("nmt-train {argstr} {shards} {model}", "shards", "model"),
-    "nmt_train_short": _external("nmt-train {argstr} --from {prev} {shards} {model}", "shards prev", "model"),
-    "nmt_translate": _external("nmt-translate {argstr} {model} < {inp} > {out}", "model inp", "out"),
-    "nmt_translate_latent": _external("nmt-translate {argstr} {model} --latent {latent} < {inp} > {out}", "model inp", "out latent"),
-    "nmt_translate_ensemble": _external("nmt-translate {argstr} {models} < {inp} > {out}", "models inp", "out"),
+    "train_lmclean": _external("{command} {argstr} {train} {dev} {model}", "train dev", "model"),
+    "eval_lmclean": _external("{command} {argstr} {model} {test} > {scores}", "model test", "scores"),
+    "score_lmclean": _external("{command} {argstr} {model} {test} > {scores}", "model test", "scores"),
+    "nmt_vocabularies": _external("{command} {argstr} {src} {trg} > {vocab}", "src trg", "vocab"),
+    "nmt_prepare": _external("{command} {argstr} {src} {trg} {vocab} {shards}", "src trg vocab", "shards"),
+    "nmt_train": _external("{command} {argstr} {shards} {model}", "shards", "model"),
+    "nmt_train_short": _external("{command} {argstr} --from {prev} {shards} {model}", "shards prev", "model"),
+    "nmt_translate": _external("{command} {argstr} {model} < {inp} > {out}", "model inp", "out"),
+    "nmt_translate_latent": _external("{command} {argstr} {model} --latent {latent} < {inp} > {out}", "model inp", "out latent"),
+    "nmt_translate_ensemble": _external("{command} {argstr} {models} < {inp} > {out}", "models inp", "out"),
 }
 
 
+def program(name: str, config: configparser.ConfigParser | None = None) -> ExternalStep:
+    """The step of a program. Section ``programs`` of the configuration may have another template for it, or ``name.command``,
+    which is needed where the template has a ``{command}``."""
+    known, section = PROGRAMS[name], config["programs"] if config is not None and config.has_section("programs") else {}
+    template = section.get(name, known.template)
+    if "{command}" in template:
+        if f"{name}.command" not in section:
+            raise ValueError(f"set {name}.command in section programs of the configuration")
+        template = template.replace("{command}", section[f"{name}.command"])
+    return ExternalStep(template, known.inputs, known.outputs, known.autolog)
+
+
 # --- configuration, grids, log ----------------------------------------------------------------------------------------
 
 

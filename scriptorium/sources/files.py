@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import lzma
-import os
 import re
 from collections.abc import Iterator, Sequence
 
@@ -12,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..corpus import with_position
 from ..operators.order import concatenate
+from ..storage import copy_bytes, matching
 
 CODECS = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz"}
 
@@ -33,18 +33,24 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
 
 
 def decode_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Whole files through Python's codecs: for xz, and for charsets other than UTF-8. Invalid bytes are dropped."""
+    """Whole files through Python's codecs: for xz, and for charsets other than UTF-8. Invalid bytes are dropped.
+
+    ``line_no`` is the number of the file, in the order of paths, times 2**33, and the number of the line: 0, 1, ... for
+    one file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
+            for name, content, file in zip(pdf["path"], pdf["content"], pdf["file"]):
                 raw = lzma.decompress(content) if name.endswith(".xz") else content
                 text = bytes(raw).decode(encoding, "ignore").replace("\r\n", "\n").replace("\r", "\n")
                 lines = text.split("\n")
                 lines = lines[:-1] if lines[-1] == "" else lines
-                yield pd.DataFrame({"line_no": range(len(lines)), "line": lines})
+                yield pd.DataFrame({"line_no": range(file << 33, (file << 33) + len(lines)), "line": lines})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "line_no long, line string")
+    found = spark.read.format("binaryFile").load(path)
+    numbered = with_position(found.select("path"), ["path"], "file")
+    return found.select("path", "content").join(numbered, "path").mapInPandas(run, "line_no long, line string")
 
 
 def reencode(raw: str, from_encoding: str):
@@ -68,8 +74,8 @@ def write_lines(df: DataFrame, path: str, order: Sequence[str] = (), column: str
 
 
 def copy(spark: SparkSession, source: str, target: str) -> None:
-    """Copies a line file; an existing target is left alone."""
-    spark.read.text(source).write.mode("ignore").text(target)
+    """Copies a file or folder byte for byte; an existing target is left alone."""
+    copy_bytes(spark, source, target)
 
 
 def concatenate_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -85,27 +91,30 @@ def loop_path(template: str, index: int) -> str:
     return template.replace("{_loop_index}", str(index))
 
 
-def highest(template: str, wildcard: str = "{_loop_index}") -> int | None:
-    """The greatest number that the path template has on disk."""
+def highest(spark: SparkSession, template: str, wildcard: str = "{_loop_index}") -> int | None:
+    """The greatest number for which the path template has a file, in any file system."""
     before, after = template.split(wildcard, 1)
-    pattern = re.compile(re.escape(before) + r"(\d+)" + re.escape(after) + "$")
-    found = [int(m[1]) for p in glob.glob(glob.escape(before) + "*" + glob.escape(after)) if (m := pattern.match(p))]
+    bare = lambda path: re.sub(r"^\w+:/+", "/", path)  # noqa: E731  a scheme may be written with one or three slashes
+    pattern = re.compile(re.escape(bare(before)) + r"(\d+)" + re.escape(after) + "$")
+    quote = lambda part: re.sub(r"([][{}*?\\])", r"\\\1", part)
+    found = [int(m[1]) for p in matching(spark, quote(before) + "*" + quote(after)) if (m := pattern.match(bare(p)))]
     return max(found, default=None)
 
 
-def only_match(pattern: str) -> str:
+def only_match(spark: SparkSession, pattern: str) -> str:
     """The one path that a wildcard matches."""
-    found = glob.glob(pattern)
+    found = matching(spark, pattern)
     if len(found) != 1:
         raise ValueError(f"{pattern} matches {len(found)} files")
     return found[0]
 
 
-def indirect(path: str) -> str:
+def indirect(spark: SparkSession, path: str) -> str:
     """The path that the first line of a file names."""
-    with open(path, encoding="utf-8") as f:
-        return f.readline().strip()
+    first = spark.read.text(path).first()
+    return first["value"].strip() if first else ""
 
 
-def is_empty_folder(path: str) -> bool:
-    return not any(not name.startswith(".") for name in os.listdir(path))
+def is_empty_folder(spark: SparkSession, path: str) -> bool:
+    """Nothing but hidden files is in the folder."""
+    return not any(not p.rsplit("/", 1)[-1].startswith(".") for p in matching(spark, path.rstrip("/") + "/*"))

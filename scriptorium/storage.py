@@ -60,3 +60,35 @@ def stored(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> Data
         fs, where = _on_file_system(spark, instead_of._stored_at)
         fs.delete(where, True)
     return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whichever file system the path names."""
+    fs, where = _on_file_system(spark, path)
+    return fs.exists(where)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, where = _on_file_system(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isFile()
+
+
+def modified(spark: SparkSession, path: str) -> int | None:
+    """Milliseconds since 1970 of the last change; null if there is nothing."""
+    fs, where = _on_file_system(spark, path)
+    return fs.getFileStatus(where).getModificationTime() if fs.exists(where) else None
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern with wildcards matches, as the pattern writes them: with a scheme only if it has one."""
+    fs, where = _on_file_system(spark, pattern)
+    found = [str(x.getPath().toString()) for x in fs.globStatus(where) or []]
+    return sorted(found if "://" in pattern or pattern.startswith("file:") else [str(spark._jvm.java.net.URI(p).getPath()) for p in found])
+
+
+def copy_bytes(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a file or folder as it is, between file systems too; a target that exists is left alone."""
+    fs, a = _on_file_system(spark, source)
+    to, b = _on_file_system(spark, target)
+    if not to.exists(b):
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, spark._jsc.hadoopConfiguration())

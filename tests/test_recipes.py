@@ -26,11 +26,22 @@ def test_files(spark, tmp_path):
     assert files.line_count(spark, str(tmp_path / "out.gz")) == 3
     for i in (1, 12, 3):
         (tmp_path / f"m.{i}").write_text("")
-    assert files.highest(str(tmp_path / "m.{_loop_index}")) == 12 and files.highest(str(tmp_path / "n.{_loop_index}")) is None
+    assert files.highest(spark, str(tmp_path / "m.{_loop_index}")) == 12 and files.highest(spark, str(tmp_path / "n.{_loop_index}")) is None
     (tmp_path / "link").write_text("target\n")
-    assert files.indirect(str(tmp_path / "link")) == "target"
+    assert files.indirect(spark, str(tmp_path / "link")) == "target"
     with pytest.raises(ValueError):
-        files.only_match(str(tmp_path / "m.*"))
+        files.only_match(spark, str(tmp_path / "m.*"))
+    assert files.only_match(spark, str(tmp_path / "li*")) == str(tmp_path / "link")
+    (tmp_path / "two").mkdir()
+    assert files.is_empty_folder(spark, str(tmp_path / "two"))
+    for n in "ab":
+        (tmp_path / "two" / n).write_bytes(f"{n}ä\r\n{n}\n".encode("iso-8859-15"))
+    assert not files.is_empty_folder(spark, str(tmp_path / "two"))
+    several = files.read_lines(spark, str(tmp_path / "two"), encoding="iso-8859-15").orderBy("line_no").collect()
+    assert [r["line"] for r in several] == ["aä", "a", "bä", "b"] and len({r["line_no"] for r in several}) == 4
+    files.copy(spark, str(tmp_path / "latin"), str(tmp_path / "latin2"))
+    files.copy(spark, str(tmp_path / "a.txt"), str(tmp_path / "latin2"))
+    assert (tmp_path / "latin2").read_bytes() == (tmp_path / "latin").read_bytes()
 
 
 def test_recipe(spark, tmp_path, lines):
@@ -78,6 +89,17 @@ def test_external(spark, tmp_path, lines):
     with pytest.raises(RuntimeError):
         R.run_command("false")
     assert [x["line"] for x in R.pipe_lines(lines("ab"), "tr a-z A-Z").orderBy("line_no").collect()] == ["A", "B"]
+    many = spark.range(30_000, numPartitions=1).selectExpr("id", "concat('x', id) AS line")
+    numbered = R.pipe_lines(many, "cat -n").orderBy("id").collect()  # one run for all batches of a partition
+    assert [r["line"].split() for r in numbered[:: 29_999]] == [["1", "x0"], ["30000", "x29999"]]
+    with pytest.raises(Exception, match="fewer lines"):
+        R.pipe_lines(many, "head -n 5").collect()
+    with pytest.raises(ValueError, match="nmt_train.command"):
+        R.program("nmt_train")
+    (tmp_path / "p.ini").write_text("[programs]\nnmt_train.command = my-train\nfast_align = align {inp} > {out}\n")
+    conf = R.read_config(str(tmp_path / "p.ini"))
+    assert R.program("nmt_train", conf).command({"shards": "s", "model": "m"}, "-x") == "my-train -x s m"
+    assert R.program("fast_align", conf).command({"inp": "a", "out": "b"}) == "align a > b"
     scores = spark.createDataFrame([("m1", 2.0), ("m2", 1.0)], "model string, score double")
     assert tuple(R.choose_model(scores).first()) == ("m2", 1.0)
 
