@@ -233,6 +233,15 @@ def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
     return judged.where("sure").select("a", "b").unionByName(open_.where(cosine >= threshold).select("a", "b"))
 
 
+#: All pairs, exactly. The search finds a pair with a probability (``RECALL``), but all of those of well-parted groups.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+c AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT n.b, c.root FROM c JOIN n ON n.a = c.id)
+SELECT id AS vec_id, min(root) AS group_id, id = min(root) AS kept FROM c GROUP BY id
+"""
+
+
 def near_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, epsilon: float = EPSILON) -> DataFrame:
     """(vec_id, group_id, kept): the group of near-duplicates of every row; group_id is its least id, whose row is kept.
 

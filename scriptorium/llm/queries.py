@@ -62,4 +62,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (op1_histogram_sort, op2_harmonic_packing, op3_simhash_near_dedup, op4_warc_normalise, op5_prefix_target, op6_distribution_divergence, op7_bpe_round_trip, op8_code_switch_language, op9_patience_line_dedup, op10_embedding_near_dedup)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op2_harmonic_packing": packing.SQL, "op5_prefix_target": chat.SQL, "op6_distribution_divergence": quality.SQL}
+SQL: dict[str, str] = {"op2_harmonic_packing": packing.SQL, "op5_prefix_target": chat.SQL, "op6_distribution_divergence": quality.SQL, "op10_embedding_near_dedup": embeddings.SQL}

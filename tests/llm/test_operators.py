@@ -808,13 +808,17 @@ def test_sql_against_duckdb(spark, tmp_path):
     turns = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["", None, "hé", "x\ny"])) for c in range(20) for t in range(4)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(turns, TURNS).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    base = np.random.default_rng(18).standard_normal((60, 32))
+    vectors = [(i, (base[i % 20 if i % 3 else i] + 0.001 * (i % 5)).tolist()) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     for name, sql in queries.SQL.items():
         a = queries.QUERIES[name](spark, str(tmp_path))
         b = con.execute(f"SELECT {', '.join(a.columns)} FROM ({sql})").fetchall()
         assert rows(a, *a.columns) == sorted(b, key=repr), name
+    assert con.execute(f"SELECT count(*) FROM ({queries.SQL['op10_embedding_near_dedup']}) WHERE NOT kept").fetchone()[0] > 20
 
 
 def test_shared_folder_is_the_session_s(spark):
