@@ -65,6 +65,7 @@ class Recipe:
         self.spark, self.config = spark or SparkSession.getActiveSession(), config
         self.steps: dict[Target, Step | None] = {}
         self.wanted: list[Target] = []
+        self.force = False  # make outputs again that are there
         self._made: dict[Target, DataFrame] = {}
 
     def add_input(self, section: str, key: str, path: str | None = None, df: DataFrame | None = None) -> Target:
@@ -122,7 +123,7 @@ class Recipe:
         return order
 
     def _done(self, t: Target) -> bool:
-        return bool(t.path) and (exists(self.spark, t.path.rstrip("/") + "/_SUCCESS") or is_file(self.spark, t.path))
+        return not self.force and bool(t.path) and (exists(self.spark, t.path.rstrip("/") + "/_SUCCESS") or is_file(self.spark, t.path))
 
     def _there(self, t: Target) -> bool:
         return bool(t.path) and exists(self.spark, t.path)
@@ -412,8 +413,10 @@ class Platform:
     master: str = "local[*]"
     dry_run: bool = False
 
-    def submit_command(self, script: str, conf: str, target: Target, overrides: Mapping[str, str] | None = None) -> list[str]:
-        extra = ["--overrides", format_overrides(overrides)] if overrides else []
+    def submit_command(self, script: str, conf: str, target: Target, overrides: Mapping[str, str] | None = None, patches: Sequence[str] = (), force: bool = False) -> list[str]:
+        """The command of one output, to which all that changes the plan is passed on."""
+        extra = [x for p in patches for x in ("--patch-conf", p)] + ["--force"] * force
+        extra += ["--overrides", format_overrides(overrides)] if overrides else []
         return ["spark-submit", "--master", self.master, script, conf, "--make", str(target), *extra]
 
     def schedule(self, recipe: Recipe, script: str, conf: str, outputs: Sequence[Target] | None = None, overrides: Mapping[str, str] | None = None) -> list[list[str]]:
@@ -430,6 +433,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("conf")
     p.add_argument("outputs", nargs="*", help="section:key; all wanted outputs if none is named")
     p.add_argument("--make", help="build one output")
+    p.add_argument("--force", action="store_true", help="build outputs again that are there")
+    p.add_argument("--patch-conf", action="append", default=[], help="a further configuration, which wins over conf")
     p.add_argument("--check", action="store_true", help="report missing inputs")
     p.add_argument("--status", action="store_true")
     p.add_argument("--mtimes", action="store_true", help="report outputs older than their inputs")
@@ -449,7 +454,8 @@ def main(build: Callable[[SparkSession, configparser.ConfigParser], Recipe], spa
             points = [{**args.overrides, **g} for g in grid(json.load(f))]
     said: list[str] = []
     for overrides in points:
-        recipe = build(spark, read_config(args.conf, overrides=overrides))
+        recipe = build(spark, read_config(args.conf, *args.patch_conf, overrides=overrides))
+        recipe.force = args.force
         names = [args.make] if args.make else args.outputs
         outputs = [recipe.use_output(*re.split(":", n, maxsplit=1)) for n in names] or None
         if args.check:

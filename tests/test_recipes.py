@@ -57,6 +57,9 @@ def test_recipe(spark, tmp_path, lines):
     r.make([low], log)
     assert [x["event"] for x in log.read(spark).orderBy("time").collect()] == ["started", "finished"]
     assert r.plan([low]) == []
+    r.force = True
+    assert [s.outputs[0].key for s in R.Recipe.plan(r, [up])] == [] and not r._done(low)  # built ones are not built again
+    r.force = False
     with pytest.raises(ValueError, match="twice"):
         r.add_step([inp], [low], lambda x: x)
     a, b = R.Target("c", "a"), R.Target("c", "b")
@@ -115,6 +118,9 @@ def test_command_line(spark, tmp_path, lines):
 
     assert R.main(build, spark, [str(tmp_path / "c.ini"), "--status"]) == ["available out:y"]
     assert R.main(build, spark, [str(tmp_path / "c.ini"), "out:y"]) == ["made out:y"]
+    (tmp_path / "d.ini").write_text("[exp]\nn = 0\n")
+    assert R.main(build, spark, [str(tmp_path / "c.ini"), "--patch-conf", str(tmp_path / "d.ini"), "--force", "--status"]) == ["available out:y"]
+    assert R.Platform().submit_command("r.py", "c.ini", R.Target("a", "b"), patches=["d.ini"], force=True)[-3:] == ["--patch-conf", "d.ini", "--force"]
     assert R.Platform(dry_run=True).schedule(build(spark, R.read_config(str(tmp_path / "c.ini"))), "r.py", "c.ini")[0][-2:] == ["--make", "out:y"]
 
 
