@@ -180,6 +180,26 @@ def pairs_within(histogram: np.ndarray) -> np.ndarray:
     return np.cumsum(np.maximum(at, 0)) / 2
 
 
+def pair_counts(sigs: DataFrame, named: dict[int, list[int]]) -> dict[int, np.ndarray]:
+    """``pairs_within`` of each named group of bits. Histograms stay in the workers; a group has at most 17 numbers for the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        histograms: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, v, n = (np.asarray(batch.column(c)) for c in range(3))
+            for k in np.unique(part).tolist():
+                own = part == k
+                histograms.setdefault(k, np.zeros(1 << len(named[k])))[v[own]] = n[own]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(histograms), pa.int32()), pa.array([pairs_within(h).tolist() for h in histograms.values()], pa.list_(pa.float64()))], names=["part", "pairs"]
+        )
+
+    coded = sigs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), part_value(g).alias("v")) for k, g in named.items()])).alias("x"))
+    counted = coded.groupBy("x.part", "x.v").agg(F.count(F.lit(1)).alias("n")).repartition("part")
+    got = {r["part"]: np.array(r["pairs"]) for r in counted.mapInArrow(run, "part int, pairs array<double>").collect()}
+    return {k: got.get(k, np.zeros(len(g) + 1)) for k, g in named.items()}
+
+
 def _probes(width: int, t: int) -> int:
     """Rows that a signature sends for one part: all values within half of the threshold, on either side."""
     return 0 if t < 0 else sum(comb(width, i) for i in range(t // 2 + 1)) + sum(comb(width, i) for i in range(t - t // 2 + 1))
@@ -206,17 +226,9 @@ def plan(sigs: DataFrame, max_bits: int = MAX_BITS, parts: tuple[int, ...] = (4,
     """The bit groups and thresholds of least estimated cost. Parts have at most 16 bits, so a histogram is bounded."""
     rows, both = bit_counts(sigs)
     options = {m: group_bits(rows, both, m) for m in parts}
-    coded = sigs.select(F.explode(F.array(*[F.struct(F.lit(m * 100 + i).alias("part"), part_value(g).alias("v")) for m in parts for i, g in enumerate(options[m])])).alias("x"))
-    got = coded.groupBy("x.part", "x.v").count().toPandas()
-    found = []
-    for m in parts:
-        counts = []
-        for i, g in enumerate(options[m]):
-            own = got[got["part"] == m * 100 + i]
-            h = np.zeros(1 << len(g))
-            h[own["v"].to_numpy()] = own["count"].to_numpy()
-            counts.append(pairs_within(h))
-        found.append((allocate(counts, rows, max_bits), m))
+    named = {m * 100 + i: g for m in parts for i, g in enumerate(options[m])}
+    within = pair_counts(sigs, named)
+    found = [(allocate([within[m * 100 + i] for i in range(m)], rows, max_bits), m) for m in parts]
     (_, thresholds), m = min(found)
     return options[m], thresholds
 

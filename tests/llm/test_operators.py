@@ -240,6 +240,35 @@ def test_pigeonhole_plan():
         assert round(within[t]) == sum(int(a ^ b).bit_count() <= t for a, b in itertools.combinations(v.tolist(), 2))
 
 
+def test_pair_counts_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    sigs = rng.integers(-(1 << 63), 1 << 63, 150)
+    sigs[1::3] = sigs[::3] ^ 5  # near ones
+    named = {7: [0, 2, 40], 9: list(range(48, 64))}
+    got = simhash.pair_counts(spark.createDataFrame([(int(s),) for s in sigs], "sig long"), named)
+    for k, bits in named.items():
+        apart = [sum((int(a) ^ int(b)) >> i & 1 for i in bits) for j, a in enumerate(sigs) for b in sigs[:j]]
+        assert got[k] == pytest.approx([sum(d <= t for d in apart) for t in range(len(bits) + 1)])
+    none = simhash.pair_counts(spark.createDataFrame([], "sig long"), named)
+    assert {k: v.tolist() for k, v in none.items()} == {7: [0] * 4, 9: [0] * 17}
+
+
+def test_plan_sends_no_histograms_to_the_driver(spark, monkeypatch):
+    sigs = spark.range(5000).select(F.xxhash64("id").alias("sig"))
+    sent = []
+    for name in ("collect", "toPandas"):
+
+        def counted(self, *a, was=getattr(type(sigs), name), **k):
+            out = was(self, *a, **k)
+            sent.append(len(out))
+            return out
+
+        monkeypatch.setattr(type(sigs), name, counted)
+    groups, thresholds = simhash.plan(sigs)
+    assert sorted(b for g in groups for b in g) == list(range(64)) and sum(thresholds) == simhash.MAX_BITS - len(groups) + 1
+    assert sent and sum(sent) <= 4097 + 4 + 5 + 6 + 8
+
+
 def test_simhash_cases(nasty, nothing):
     kept = simhash.drop_near_copies(nasty)
     assert kept.columns == nasty.columns
