@@ -17,6 +17,15 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def sizable(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join by sorted exchange, whatever its expected size.
+
+    Spark sizes a table by its compressed files and takes an exploded array or the rows of a Python function for as many
+    as their sources, so a table that grows with the corpus may be sent through the driver though it doesn't fit there.
+    """
+    return df.hint("merge")
+
+
 def slices(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes together, so that arrays over them stay small; a row is never cut."""
     ends, at = np.cumsum(sizes), 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored
+from .common import mix64, sizable, stored
 from .simhash import components
 
 THRESHOLD, RECALL, EPSILON, SEED = 0.95, 0.98, 3.0, 7
@@ -129,7 +129,7 @@ def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
     coded = stored(nodes.select("id", "v").mapInArrow(keyed, "id long, keys array<bigint>, code binary, query binary, factor float, scale float, d int"), "codes")
     met = coded.select("id", F.posexplode("keys").alias("t", "bucket"), "keys", "code", "query", "factor", "scale", "d")
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = met.join(crowded, "bucket", "left_semi").repartition("bucket").sortWithinPartitions("bucket")
+    met = met.join(sizable(crowded), "bucket", "left_semi").repartition("bucket").sortWithinPartitions("bucket")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -227,7 +227,7 @@ def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
 
     judged = stored(met.select("bucket", "id", "t", "keys", "code", "query", "factor", "scale", "d").mapInArrow(judge, "a long, b long, sure boolean"), "estimated")
     vectors = nodes.select("id", "v")
-    open_ = judged.where(~F.col("sure")).join(vectors.withColumnsRenamed({"id": "a", "v": "va"}), "a").join(vectors.withColumnsRenamed({"id": "b", "v": "vb"}), "b")
+    open_ = judged.where(~F.col("sure")).join(sizable(vectors.withColumnsRenamed({"id": "a", "v": "va"})), "a").join(sizable(vectors.withColumnsRenamed({"id": "b", "v": "vb"})), "b")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     cosine = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va"))) / F.sqrt(dot(F.col("vb"), F.col("vb")))
     return judged.where("sure").select("a", "b").unionByName(open_.where(cosine >= threshold).select("a", "b"))
@@ -255,9 +255,9 @@ def near_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     """
     rows, nodes = distinct_vectors(table, id_col, vec_col)
     roots = components(near_pairs(nodes, threshold, recall, epsilon))
-    marked = rows.select("vec_id", "id").join(roots, "id", "left").select("vec_id", F.coalesce("root", "id").alias("root"))
+    marked = rows.select("vec_id", "id").join(sizable(roots), "id", "left").select("vec_id", F.coalesce("root", "id").alias("root"))
     counted = marked.groupBy("root", "vec_id").agg(F.count(F.lit(1)).alias("n"))
     heads = marked.groupBy("root").agg(F.min(F.struct("vec_id")).alias("head"))
-    joined = counted.join(heads, "root")
+    joined = counted.join(sizable(heads), "root")
     each = joined.select("vec_id", F.col("head.vec_id").alias("group_id"), F.posexplode(F.expr("array_repeat(1, CAST(n AS INT))")).alias("i", "x"))
     return each.select("vec_id", "group_id", (F.col("vec_id").eqNullSafe(F.col("group_id")) & (F.col("i") == 0)).alias("kept"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import sizable, stored, text_or_empty
 
 RARE, MIN_BLOCK_WORDS = 8, 6
 WORD = r"[^ \t\n\r\f]+"
@@ -166,9 +166,9 @@ def _lists(batch: pa.RecordBatch, c: int) -> Callable[[int], list[int]]:
 
 def _aligned(pairs: DataFrame, groups: DataFrame, min_words: int) -> DataFrame:
     """(g, place, a): what each pair (ga, g) of groups deletes from the second; a is the first document of ``ga``."""
-    left = pairs.join(groups.select(F.col("g").alias("ga"), F.col("head").alias("a"), F.col("p").alias("pa"), F.col("h").alias("ha"), F.col("more").alias("ma")), "ga")
+    left = pairs.join(sizable(groups.select(F.col("g").alias("ga"), F.col("head").alias("a"), F.col("p").alias("pa"), F.col("h").alias("ha"), F.col("more").alias("ma"))), "ga")
     # The second column of lists is joined on the later document, so that its pairs lie together.
-    both = left.join(groups.select("g", F.col("p").alias("pb"), F.col("h").alias("hb"), F.col("w").alias("wb"), F.col("more").alias("mb")), "g")
+    both = left.join(sizable(groups.select("g", F.col("p").alias("pb"), F.col("h").alias("hb"), F.col("w").alias("wb"), F.col("more").alias("mb"))), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     lines = lines_of(docs, id_col, text_col).select(me.alias("k"), "place", "h", "words", "n").distinct()
     spread = lines.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("h")
     # Lines that only one document has can't be aligned and are dropped before anything else is moved.
-    whole = lines.join(spread, "h").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "h", "words"))).alias("x"), F.first("n").alias("n"))
+    whole = lines.join(sizable(spread), "h").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "h", "words"))).alias("x"), F.first("n").alias("n"))
     whole = whole.select("k", F.col("x.place").alias("p"), F.col("x.h").alias("h"), F.col("x.words").alias("w"), (F.element_at("x.place", -1) + 1 < F.col("n")).alias("more"))
     whole = stored(whole.withColumn("g", F.xxhash64("p", "h", "more")), "line-lists")
     groups = stored(whole.groupBy("g").agg(F.min("k").alias("head"), F.max("k").alias("last"), *[F.first(c).alias(c) for c in ("p", "h", "w", "more")]), "line-groups")
@@ -214,39 +214,39 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "w", "s", "e"])
 
     heads = groups.select("g", "head", "last")
-    cuts = groups.select("g", "p", "h", "w").mapInArrow(cut, "g long, w long, s int, e int").join(heads, "g")
+    cuts = groups.select("g", "p", "h", "w").mapInArrow(cut, "g long, w long, s int, e int").join(sizable(heads), "g")
     first = cuts.groupBy("w").agg(F.min(F.struct("head", "g")).alias("f"), F.max("last").alias("l")).where("f.head < l").select("w", "f")
     # Windows of which no earlier document has a copy take no part.
-    uses = stored(cuts.join(first, "w").where("f.head < last"), "line-windows")
+    uses = stored(cuts.join(sizable(first), "w").where("f.head < last"), "line-windows")
     gone = stored(_aligned(uses.select(F.col("f.g").alias("ga"), "g").distinct(), groups, min_words), "aligned")
 
     def rest(of: DataFrame) -> DataFrame:
         """Windows of ``of``, and up to which document a line of theirs may still be deleted or have an earlier source."""
-        each = of.withColumn("place", F.explode(F.sequence("s", "e"))).join(gone, ["g", "place"], "left")
+        each = of.withColumn("place", F.explode(F.sequence("s", "e"))).join(sizable(gone), ["g", "place"], "left")
         until = F.when(F.count("a") < F.count(F.lit(1)), F.first("last")).otherwise(F.least(F.first("last"), F.max("a")))
         return each.groupBy("w", "g", "s", "e").agg(F.first("last").alias("last"), F.first("t").alias("t"), until.alias("until")).where("t < until")
 
     # Windows that lost all lines to the first document that has them are done.
     left = stored(rest(uses.select("w", "g", "s", "e", "last", F.col("f.head").alias("t"))), "open-windows")
-    others = uses.where("f.head < head").select("w", F.col("g").alias("ga"), "head").join(left.select("w").distinct(), "w", "left_semi").distinct()
+    others = uses.where("f.head < head").select("w", F.col("g").alias("ga"), "head").join(sizable(left.select("w").distinct()), "w", "left_semi").distinct()
     ranked = stored(others.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("head", "ga"))), "window-documents")
     lo, hi = 1, 1 + max(rare, 1)
     while True:
         onward = ranked.where(F.col("r") == lo).select("w", F.col("head").alias("next"))
-        left = stored(left.drop("until").transform(rest).join(onward, "w").where("next < until").drop("next"), "open-windows", left)
+        left = stored(left.drop("until").transform(rest).join(sizable(onward), "w").where("next < until").drop("next"), "open-windows", left)
         if left.isEmpty():
             break
-        pairs = left.join(ranked.where((F.col("r") >= lo) & (F.col("r") < hi)), "w").where("head < until").select("ga", "g").distinct()
+        pairs = left.join(sizable(ranked.where((F.col("r") >= lo) & (F.col("r") < hi))), "w").where("head < until").select("ga", "g").distinct()
         gone = stored(gone.unionByName(_aligned(pairs, groups, min_words)).groupBy("g", "place").agg(F.min("a").alias("a")), "aligned", gone)
         lo, hi = hi, 8 * hi
-    return whole.select("k", "g").join(gone, "g").where("a < k").select("k.doc", "k.body", "place", F.col("a.doc").alias("earlier"))
+    return whole.select("k", "g").join(sizable(gone), "g").where("a < k").select("k.doc", "k.body", "place", F.col("a.doc").alias("earlier"))
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, rare: int, min_words: int) -> tuple[DataFrame, Column, Column]:
     """``docs`` with the deleted places of each row, the text without them, and whether anything is left."""
     gone = deletions(docs, id_col, text_col, rare, min_words).groupBy("doc", "body").agg(F.array_sort(F.collect_list(F.struct("place", "earlier"))).alias("__gone")).withColumnsRenamed({"doc": "__doc", "body": "__body"})
     doc, body = _key(id_col, text_col)
-    joined = docs.join(gone, doc.eqNullSafe(F.col("__doc")) & (body == F.col("__body")), "left")
+    joined = docs.join(sizable(gone), doc.eqNullSafe(F.col("__doc")) & (body == F.col("__body")), "left")
     lines = F.split(text_or_empty(text_col), "\n", -1)
     # Lines without a word keep their place in the text but have no number. Each array is bound once, so the cost is linear.
     once = lambda made, use: F.element_at(F.transform(F.array(made), use), 1)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, utf8_bytes, words_in
+from .common import mix64, sizable, stored, utf8_bytes, words_in
 
 MAX_BITS, MAX_PAIR_BITS = 10, 20
 #: Letters of a long word, and its weight against 1 for a shorter one, which mostly is a function word.
@@ -266,12 +266,12 @@ def near_signatures(sigs: DataFrame, max_bits: int = MAX_BITS, max_pair_bits: in
             out = out.unionByName(r)
         return out
 
-    met = probes(left, "a_sig").join(probes(right, "b_sig"), "v").where((F.col("a_sig") < F.col("b_sig")) & (F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= max_bits)).select("a_sig", "b_sig").distinct()
+    met = probes(left, "a_sig").join(sizable(probes(right, "b_sig")), "v").where((F.col("a_sig") < F.col("b_sig")) & (F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= max_bits)).select("a_sig", "b_sig").distinct()
     one, two = (sigs.select(F.col("sig").alias(f"{x}_sig"), F.col("pair").alias(f"{x}_pair")) for x in "ab")
     far = F.bit_count(F.col("a_pair").bitwiseXOR(F.col("b_pair"))) > max_pair_bits
-    other = met.join(one, "a_sig").join(two, "b_sig").where(~far).select("a_sig", "a_pair", "b_sig", "b_pair")
+    other = met.join(sizable(one), "a_sig").join(sizable(two), "b_sig").where(~far).select("a_sig", "a_pair", "b_sig", "b_pair")
     # Texts of the same words in another order.
-    same = one.join(two, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_pair") < F.col("b_pair"))).where(~far).select("a_sig", "a_pair", "b_sig", "b_pair")
+    same = one.join(sizable(two), (F.col("a_sig") == F.col("b_sig")) & (F.col("a_pair") < F.col("b_pair"))).where(~far).select("a_sig", "a_pair", "b_sig", "b_pair")
     return other.unionByName(same).select(node_id("a_sig", "a_pair").alias("a"), node_id("b_sig", "b_pair").alias("b"))
 
 
@@ -290,9 +290,9 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(sizable(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select("u", "v", "m")
+        small = large.join(sizable(lower), "u").select("u", "v", "m")
         edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges", edges)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == tuple(now):
@@ -315,10 +315,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = node_id("sig", "pair", F.when(F.col("n_words") == 0, F.col("body")).otherwise(F.lit(0)))
     nodes = stored(each.select(node.alias("id"), "sig", "pair", "n_words").groupBy("id").agg(F.min("sig").alias("sig"), F.min("pair").alias("pair"), F.max("n_words").alias("n_words")), "nodes")
     roots = components(near_signatures(nodes.where("n_words > 0"), max_bits, max_pair_bits))
-    marked = each.withColumn("id", node).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    marked = each.withColumn("id", node).join(sizable(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = F.struct(F.col("doc"), F.col("body"))
     heads = marked.groupBy("root").agg(F.min(first).alias("head"))
-    out = marked.join(heads, "root")
+    out = marked.join(sizable(heads), "root")
     return out.select("doc", "body", F.col("head.doc").alias("group_id"), "n_rows", (first == F.col("head")).alias("kept"))
 
 
@@ -329,7 +329,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     body = F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit("")))
-    found = rows.join(kept, F.col(id_at).cast("long").eqNullSafe(F.col("kept_doc")) & (body == F.col("kept_body")))
+    found = rows.join(sizable(kept), F.col(id_at).cast("long").eqNullSafe(F.col("kept_doc")) & (body == F.col("kept_body")))
     once = found.where("n_rows = 1").select(rows.columns)
     again = found.where("n_rows > 1").dropDuplicates(["kept_doc", "kept_body"]).select(rows.columns)
     return once.unionByName(again).toDF(*docs.columns)

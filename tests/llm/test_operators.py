@@ -269,6 +269,15 @@ def test_plan_sends_no_histograms_to_the_driver(spark, monkeypatch):
     assert sent and sum(sent) <= 4097 + 4 + 5 + 6 + 8
 
 
+def test_growing_tables_are_not_broadcast(spark):
+    """Probes are many for each signature, but Spark takes them for as many as the signatures."""
+    docs = spark.createDataFrame([(i, f"some words and number {i}\nfour more words and {i % 3} of each") for i in range(40)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    sigs = simhash.signature_table(docs).select("sig", "pair")
+    for made in (simhash.near_signatures(sigs), simhash.near_groups(docs), simhash.drop_near_copies(docs), linededup.align(docs), linededup.deletions(docs), embeddings.near_groups(vectors)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_cases(nasty, nothing):
     kept = simhash.drop_near_copies(nasty)
     assert kept.columns == nasty.columns
