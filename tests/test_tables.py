@@ -38,6 +38,33 @@ def test_positions_in_ranges(spark):
     assert corpus.with_position(df.limit(0), ["id"]).count() == 0
 
 
+def test_merges_against_recounting(spark, monkeypatch):
+    vocabulary = [("aaaa", 3), ("aaaaa", 2), ("abab", 4), ("babaa", 4), ("cabab", 1), ("éa", 2), ("b", 9)]
+    words, merges = {tuple(w) + (bpe.END,): n for w, n in vocabulary}, []
+    while True:
+        found = {}
+        for w, n in words.items():
+            for p in zip(w, w[1:]):
+                found[p] = found.get(p, 0) + n
+        if not found or max(found.values()) < 2:
+            break
+        merges.append(max(found, key=lambda p: (found[p], p)))
+        words = {bpe.merge_word(w, merges[-1]): n for w, n in words.items()}
+    for held in (1, 5, 1 << 24):
+        learner = bpe.Learner(held=held)
+        learner.add(*zip(*vocabulary))
+        assert learner.learn() == merges
+    counted = spark.createDataFrame(vocabulary, "word string, count long")
+    monkeypatch.setattr(type(counted), "toLocalIterator", lambda *_: pytest.fail("words on the driver"))
+    assert bpe.learn_bpe(counted) == merges
+
+
+def test_merges_are_not_hashed_for_every_text(lines):
+    segment = bpe._segmenter(bpe._Named("ab", [("a", "b")]), "@@")  # a list has no hash
+    assert segment("abc b") == "ab@@ c b" and bpe._segmenter(bpe._Named("ab", []), "@@") is segment
+    assert texts(lines(["abc"]).select("line_no", bpe.apply_bpe("line", [("a", "b")]).alias("line"))) == ["ab@@ c"]
+
+
 def test_stored_tables_replace_each_other(spark):
     one = stored(spark.range(5).toDF("x"), "t")
     two = stored(one.selectExpr("x + 1 AS x"), "t", one)
