@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..functions.tokenization import RuleTokenizer, tokenize
 from .truecase import truecase
 
 N = 6
+#: Rows of a batch that are looked at together.
+SLICE_ROWS = 1 << 10
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 STATS = "hyp array<bigint>, ref array<bigint>, hit array<bigint>"
 
@@ -87,37 +92,56 @@ def evaluate_chrf(rows: DataFrame, hyp: str = "hyp", refs: str = "refs", betas:
     return one.withColumn("beta", F.explode(F.array(*[F.lit(float(x)) for x in betas]))).select("beta", score.alias("chrf"), "precision", "recall")
 
 
+def word_gram_hits(hyp: pa.ListArray, refs: Sequence[pa.ListArray], n: int = 4) -> tuple[list[int], list[int]]:
+    """For every size up to n, the n-grams of all rows' outputs, and those of them that a reference has, clipped in each
+    row at the most that one reference has of it."""
+    lists = [hyp, *refs]
+    flat = [x.flatten() for x in lists]
+    words = pa.concat_arrays(flat).dictionary_encode()
+    word, size, total, hit = np.asarray(words.indices).astype(np.int64), len(words.dictionary) + 1, [], []
+    lengths = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)) for x in lists]
+    cut = np.cumsum([len(x) for x in flat])
+    # An n-gram of a row is a number: that of the row and the n-gram without its last word, then that word.
+    gram = np.concatenate([np.repeat(np.arange(len(x)), x) for x in lengths]).astype(np.int64)
+    left = np.concatenate([np.repeat(np.cumsum(x), x) - np.arange(x.sum()) for x in lengths])  # words from here to the end of the row
+    side = np.repeat(np.arange(len(lists)), np.diff(cut, prepend=0))
+    at = np.arange(len(word))
+    for k in range(n):
+        here = left > k
+        at, gram, left, side = at[here], gram[here], left[here], side[here]
+        known, gram = np.unique(gram * size + word[at + k], return_inverse=True)
+        counts = [np.bincount(gram[side == i], minlength=len(known)) for i in range(len(lists))]
+        total.append(int(counts[0].sum()))
+        hit.append(int(np.minimum(counts[0], np.maximum.reduce(counts[1:])).sum()))
+    return total, hit
+
+
 def evaluate_bleu(rows: DataFrame, hyp: str = "hyp", ref: str | Sequence[str] = "ref") -> DataFrame:
-    """Corpus BLEU-4 of tokenised text against one or several references: clipped n-gram counts by joins, brevity penalty.
+    """Corpus BLEU-4 of tokenised text against one or several references: clipped n-gram counts, brevity penalty.
 
     An n-gram is clipped at the most that one reference has of it. The length that counts is that of the reference which
-    is nearest to the output, the shorter of equally near ones. A segment is named by a hash of its texts; equal segments
-    are one with a weight, so that nothing depends on the order of rows.
+    is nearest to the output, the shorter of equally near ones. Every row is counted where it is, and only sums of
+    batches are exchanged.
     """
     refs = [ref] if isinstance(ref, str) else list(ref)
-    once = rows.select(hyp, *refs).groupBy(hyp, *refs).agg(F.count(F.lit(1)).alias("w"))
-    cut = once.select(F.xxhash64(hyp, *refs).alias("id"), "w", tokens(hyp).alias("h"), *[tokens(r).alias(f"r{i}") for i, r in enumerate(refs)])
-
-    def grams(c: str, n: int) -> Column:
-        starts = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(c, i, n), " ").alias("g")))
-
-    def count(c: str) -> DataFrame:
-        every = F.concat(*[grams(c, n) for n in range(1, 5)])
-        return cut.select("id", "w", F.explode(every).alias("x")).groupBy("id", "x.n", "x.g").agg(F.sum("w").alias(c))
-
-    theirs = count("r0").withColumnRenamed("r0", "r")
-    for i in range(1, len(refs)):
-        theirs = theirs.unionByName(count(f"r{i}").withColumnRenamed(f"r{i}", "r"))
-    if len(refs) > 1:
-        theirs = theirs.groupBy("id", "n", "g").agg(F.max("r").alias("r"))
-    both = count("h").join(theirs, ["id", "n", "g"], "left")
-    per_n = both.groupBy("n").agg(F.sum("h").alias("total"), F.sum(F.least("h", F.coalesce("r", F.lit(0)))).alias("hit"))
-    precision = per_n.agg(F.when((F.count(F.lit(1)) == 4) & (F.min("hit") > 0), F.exp(F.sum(F.log(F.col("hit") / F.col("total"))) / 4)).otherwise(0.0).alias("p"))
+    cut = rows.select(tokens(hyp).alias("h"), *[tokens(r).alias(f"r{i}") for i, r in enumerate(refs)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.size(f"r{i}") - F.size("h")).alias("d"), F.size(f"r{i}").alias("n")) for i in range(len(refs))]))["n"]
-    size = cut.agg(F.sum(F.size("h") * F.col("w")).alias("c"), F.sum(nearest * F.col("w")).alias("r"))
+    sums = [*(f"total{n}" for n in range(4)), *(f"hit{n}" for n in range(4)), "c", "r"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), SLICE_ROWS):
+                some = batch.slice(a, SLICE_ROWS)
+                total, hit = word_gram_hits(some.column(2), some.columns[3:])
+                sizes = [pc.sum(some.column(i)).as_py() or 0 for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*total, *hit, *sizes)], names=sums)
+
+    each = cut.select(F.size("h").alias("c"), nearest.alias("n"), "h", *[f"r{i}" for i in range(len(refs))])
+    all_ = each.mapInArrow(run, ", ".join(f"{x} long" for x in sums)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums])
+    every = reduce(lambda x, y: x & y, [F.col(f"hit{n}") > 0 for n in range(4)])
+    precision = F.when(every, F.exp(sum((F.log(F.try_divide(f"hit{n}", f"total{n}")) for n in range(4)), F.lit(0.0)) / 4)).otherwise(0.0)
     penalty = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "c")))
-    return precision.crossJoin(size).select((100 * F.col("p") * F.coalesce(penalty, F.lit(0.0))).alias("bleu"))
+    return all_.select((100 * precision * F.coalesce(penalty, F.lit(0.0))).alias("bleu"))
 
 
 def length_words(line: str | Column) -> Column:

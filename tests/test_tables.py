@@ -1,6 +1,7 @@
 """Operators over ordered tables."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ def test_detruecase_of_letters_without_an_upper_case_of_one(lines):
     assert texts(lines(["ßa ßb . ß", "ﬁn x", "éa", "ᾳ"]).select("line_no", truecase.detruecase("line").alias("line"))) == ["ẞa ßb . ẞ", "ﬁn x", "Éa", "ᾼ"]
 
 
+def test_bleu_exchanges_sums_only(spark):
+    rows = spark.createDataFrame([("a b a b a c", "a b a b", "a c x a b a"), ("a b c d", "a b c d", "b"), ("a b c d", "a b c d", "b"), ("", "x", ""), ("a a a", "a a", "a")], "h string, r string, q string")
+    total, hit = [0] * 4, [0] * 4
+    for h, *refs in map(tuple, rows.collect()):
+        for n in range(1, 5):
+            grams = lambda t: Counter(zip(*[t.split()[i:] for i in range(n)]))  # noqa: B023, E731
+            mine, theirs = grams(h), grams(refs[0]) | grams(refs[1])
+            total[n - 1] += sum(mine.values())
+            hit[n - 1] += sum((mine & theirs).values())
+    # The outputs have 17 words, the nearest references 16.
+    want = 100 * math.exp(sum(math.log(a / b) for a, b in zip(hit, total)) / 4) * 1.0
+    made = analysis.evaluate_bleu(rows, "h", ["r", "q"])
+    assert made.first()["bleu"] == pytest.approx(want)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1 and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merges_against_recounting(spark, monkeypatch):
     vocabulary = [("aaaa", 3), ("aaaaa", 2), ("abab", 4), ("babaa", 4), ("cabab", 1), ("éa", 2), ("b", 9)]
     words, merges = {tuple(w) + (bpe.END,): n for w, n in vocabulary}, []
