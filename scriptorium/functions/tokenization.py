@@ -93,7 +93,9 @@ joiner_detokenize = join_markers
 # --- rule-based tokeniser ---------------------------------------------------------------------------------------------
 
 _SPACE = "\x1f"  # stands for a space of the original
-_SPLIT = re.compile("([" + re.escape(".,!?:;/@%()'\"+£$€") + "])")
+_MARKS = ".,!?:;/@%()'\"+£$€"
+_SPACES = re.compile("  +")
+_BEFORE_PERIOD = re.compile(r"([^ ]+) \.")
 _DOMAINS = "com org cz de fi ee ru tr".split()
 
 
@@ -103,11 +105,16 @@ class RuleTokenizer:
 
     def __init__(self, lang: str, extra: tuple[str, ...] = (), escape_extra: bool = True, prefixes: tuple[str, ...] | None = None):
         words = nonbreaking(lang) if prefixes is None else prefixes
-        self.words = [(" " + self._split(w + ".").rstrip(), f" {w}.") for w in words]
-        protected = [r"\d (?:[.,] \d)+", r"\.(?: \.)+", f"https? : / / [^{_SPACE}]*", r"(?:www \. |)[a-zA-Z]* \. (?:" + "|".join(_DOMAINS) + ")", r"[a-z. ]* @ [a-z. ]*"]
+        # By the token in front of the last period: only those of which it occurs are tried.
+        self.words: dict[str, list[tuple[int, str, str]]] = {}
+        for i, w in enumerate(words):
+            apart = " " + self._split(w + ".").rstrip()
+            self.words.setdefault(re.split(" +", apart)[-2], []).append((i, apart, f" {w}."))
+        # (text that every match has, pattern)
+        protected = [(" ", r"\d (?:[.,] \d)+"), (". .", r"\.(?: \.)+"), ("http", f"https? : / / [^{_SPACE}]*"), (" . ", r"(?:www \. |)[a-zA-Z]* \. (?:" + "|".join(_DOMAINS) + ")"), (" @ ", r"[a-z. ]* @ [a-z. ]*")]
         if lang in ("fi", "et"):
-            protected.append(r"\d \. ")
-        self.protected = [re.compile(p) for p in [*protected, *(re.escape(e) if escape_extra else e for e in extra)]]
+            protected.append((" . ", r"\d \. "))
+        self.protected = [(has, re.compile(p)) for has, p in [*protected, *(("", re.escape(e) if escape_extra else e) for e in extra)]]
         rules = [(r"(pp|No|Art) \.(\s+\d)", r"\1.\2"), (r" ([DLO])\s+' (?=\w)", r" \1'"), (rf"({_SPACE}) ?\. (\d)", r"\1 .\2")]
         if lang == "en":
             rules += [(r"(?<=\w) '\s+([a-z]) ", r" '\1 "), (r"(?<=\w) '\s+(ve|re|ll) ", r" '\1 "), (r"(?<=\d) '\s+s ", " 's ")]
@@ -115,22 +122,28 @@ class RuleTokenizer:
             if lang in ("fi", "et"):
                 rules += [(r"(?<=\w) : ([õöäåüa-z]{1,3}) ", r" :\1 "), (r"(?<=\w) : (ista|nneksi) ", r" :\1 ")]
             rules.append((r"([A-Za-z][a-z]{2}) ' ([a-z]) ", r"\1'\2 "))
-        self.rules = [(re.compile(a), b) for a, b in rules]
+        self.rules = [(next((c for c in "':" if c in a), "."), re.compile(a), b) for a, b in rules]  # every rule is about one of these
 
     @staticmethod
     def _split(text: str) -> str:
-        return _SPLIT.sub(r" \1 ", text)
+        for c in _MARKS:
+            text = text.replace(c, f" {c} ")
+        return text
 
     def __call__(self, text: str) -> str:
-        out = re.sub(" +", " ", self._split(" " + text.replace(" ", f" {_SPACE} ") + " "))
-        for apart, whole in self.words:
-            out = out.replace(apart, whole)
-        for p in self.protected:
-            for found in sorted(set(p.findall(out)), key=len, reverse=True):
-                out = out.replace(found, found.replace(" ", ""))
-        for p, to in self.rules:
-            out = p.sub(to, out)
-        return re.sub(" +", " ", out.replace(_SPACE, "")).strip()
+        out = _SPACES.sub(" ", self._split(" " + text.replace(" ", f" {_SPACE} ") + " "))
+        if " ." in out:
+            ends = {".", *_BEFORE_PERIOD.findall(out)}
+            for _, apart, whole in sorted(x for t in ends if t in self.words for x in self.words[t]):
+                out = out.replace(apart, whole)
+        for has, p in self.protected:
+            if has in out:
+                for found in sorted(set(p.findall(out)), key=len, reverse=True):
+                    out = out.replace(found, found.replace(" ", ""))
+        for has, p, to in self.rules:
+            if has in out:
+                out = p.sub(to, out)
+        return _SPACES.sub(" ", out.replace(_SPACE, "")).strip()
 
 
 @lru_cache(16)
