@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import tokens
 from ..functions.text import is_name
-from ..functions.tokenization import RuleTokenizer, tokenize
+from ..functions.tokenization import RuleTokenizer
 from .truecase import truecase
 
 N = 6
@@ -219,15 +219,21 @@ def with_bleu(rows: DataFrame, baseline: DataFrame, system: DataFrame) -> DataFr
 
 
 def retokenize(rows: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
-    """Tokenises the source in its language, and outputs and references in the target's."""
+    """Tokenises the source in its language, and outputs and references in the target's; a few rows of a batch at a time."""
+    names = rows.columns
 
-    def run(column: pd.Series) -> pd.Series:
-        make = RuleTokenizer(target_lang)
-        return column.map(lambda texts: [None if t is None else make(t) for t in texts], na_action="ignore")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, target = RuleTokenizer(source_lang), RuleTokenizer(target_lang)
+        each = lambda make, texts: None if texts is None else [None if t is None else make(t) for t in texts]
+        for batch in batches:
+            for a in range(0, len(batch), SLICE_ROWS):
+                out = {n: c for n, c in zip(names, batch.slice(a, SLICE_ROWS).columns)}
+                for n, make in (("src", source), ("bl", target), ("sys", target)):
+                    out[n] = pa.array(each(make, out[n].to_pylist()), out[n].type)
+                out["refs"] = pa.array([each(target, r) for r in out["refs"].to_pylist()], out["refs"].type)
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=names)
 
-    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
-    refs = F.pandas_udf(run, "array<string>")
-    return rows.withColumns({"src": tokenize("src", source_lang), "bl": tokenize("bl", target_lang), "sys": tokenize("sys", target_lang), "refs": refs("refs")})
+    return rows.mapInArrow(run, rows.schema)
 
 
 def retruecase(rows: DataFrame, source_model: DataFrame | None, target_model: DataFrame | None) -> DataFrame:

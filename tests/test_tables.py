@@ -59,6 +59,18 @@ def test_bleu_exchanges_sums_only(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1 and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_retokenize_in_slices(spark, monkeypatch):
+    text = "Mr. X pays 3.5 $, it's . . fine."
+    rows = spark.createDataFrame([(i, None if i == 2 else text, text, "a.b", [text, None] if i != 1 else None) for i in range(5)], "docid long, src string, bl string, sys string, refs array<string>").coalesce(1)
+    monkeypatch.setattr(analysis, "SLICE_ROWS", 2)
+    made = analysis.retokenize(rows, "en", "en")
+    # No column goes to the worker in batches of its own.
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString() and made.schema == rows.schema
+    out, make = made.orderBy("docid").collect(), analysis.RuleTokenizer("en")
+    assert [r["src"] for r in out] == [make(text)] * 2 + [None] + [make(text)] * 2
+    assert [r["refs"] for r in out][:2] == [[make(text), None], None] and {(r["bl"], r["sys"]) for r in out} == {(make(text), make("a.b"))}
+
+
 def test_merges_against_recounting(spark, monkeypatch):
     vocabulary = [("aaaa", 3), ("aaaaa", 2), ("abab", 4), ("babaa", 4), ("cabab", 1), ("éa", 2), ("b", 9)]
     words, merges = {tuple(w) + (bpe.END,): n for w, n in vocabulary}, []
