@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -140,9 +141,26 @@ def accent_noise(line: Cell) -> Column:
     return (n >= 6) & (n - F.length(F.translate(x, ACCENT_NOISE, "")) > 0.4 * n)
 
 
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of any of the words, in which common beginnings are looked at once; an apostrophe may stand apart."""
+    if "" in words:
+        return "(?:|" + _any_of([w for w in words if w]) + ")" if any(words) else ""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], []).append(w[1:])
+    parts = [(" ?' ?" if c == "'" else c) + _any_of(tails) for c, tails in rest.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def has_contraction(line: Cell, reverse: bool = False, path: str | None = None) -> Column:
-    words = [b if reverse else a for a, b in contractions("en", path)]
-    return matches(line, [rf"\b{w.replace(chr(39), ' ?' + chr(39) + ' ?')}\b" for w in words], ignore_case=True)
+    words = sorted({b if reverse else a for a, b in contractions("en", path)})
+    if not words or not all(w.replace("'", "").replace(" ", "").isalpha() for w in words):
+        return matches(line, [rf"\b{w.replace(chr(39), ' ?' + chr(39) + ' ?')}\b" for w in words], ignore_case=True)
+    # Most have an apostrophe, which a line must have then.
+    found = [matches(line, [rf"\b{_any_of(some)}\b"], ignore_case=True) for some in ([w for w in words if "'" in w], [w for w in words if "'" not in w]) if some]
+    if any("'" in w for w in words):
+        found[0] = F.contains(col(line), F.lit("'")) & found[0]
+    return reduce(lambda a, b: a | b, found)
 
 
 def untranslated_contraction(source: Cell, target: Cell) -> Column:
