@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -17,11 +18,23 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def at_least(bound: float, seed: int, *parts: Column) -> Column:
+    """``draw(...) >= bound``, compared as hexadecimal digits, which are in the order of their numbers."""
+    least = math.ceil(bound * (1 << 52))
+    if not 0 < least < 1 << 52:
+        return F.lit(least <= 0)
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts])) >= F.lit(f"{least:013x}")
+
+
 def drop_tokens(line: Cell, keys: Sequence[str], probability: float = 0.1, skip_line: float = 0.0, seed: int = 1) -> Column:
     """Drops tokens with a probability, but never all of a line; a skipped line stays as it is."""
     x, k = col(line), [F.col(c) for c in keys]
-    kept = F.filter(tokens(x), lambda t, i: draw(seed, *k, i) >= probability)
-    return F.when((draw(seed + 1, *k) < skip_line) | (F.size(kept) == 0), x).otherwise(F.array_join(kept, " "))
+    # The line's part of a draw and the kept tokens are each bound once.
+    once = lambda made, use: F.element_at(F.transform(F.array(made), use), 1)
+    place = F.concat_ws("-", *[c.cast("string") for c in k], F.lit(""))
+    kept = once(place, lambda p: F.filter(tokens(x), lambda t, i: at_least(probability, seed, F.concat(p, i.cast("string")))))
+    line = once(kept, lambda t: F.when(F.size(t) == 0, x).otherwise(F.array_join(t, " ")))
+    return F.when(at_least(skip_line, seed + 1, *k), line).otherwise(x)
 
 
 def _by_jitter(words: Column, keys: Sequence[Column], max_dist: float, seed: int) -> Column:

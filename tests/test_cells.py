@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions import filters as P
 from scriptorium.functions import text as X
 from scriptorium.functions import tokenization as K
+from scriptorium.functions.languages import contractions
+from scriptorium.operators import noise
 
 CASES = [
     (X.normalize_punctuation, ["a–b ‘c’ it’s «x» ''q'' ½⁄ ", "", None], ['a-b "c" it\'s "x" "q" ½/ ', "", None]),
@@ -130,3 +132,20 @@ def test_dispatch_and_prefix(spark, cells):
 def test_segmentation_of_analyses(cells):
     got = cells(K.mapping_to_segmentation, ["Talossa\ttalo ssa", "muut\tmuu n", "ab\ta# b"])
     assert [(g["segmentation"], g["ok"]) for g in got] == [("Talo ssa", True), ("muut", False), ("a b", True)]
+
+
+def test_contractions_share_beginnings(cells):
+    words = [a for a, _ in contractions("en")]
+    pattern = P._any_of(words)
+    assert len(re.findall("ould", pattern)) < sum("ould" in w for w in words)
+    tries = [f"{x}{w.replace(chr(39), gap)}{y}" for w in words for gap in ("'", " ' ", "") for x in ("", "x", "- ") for y in ("", "s", ".")] + ["", "'", "can", "GONNA go", "İt's"]
+    plain = "(?iuU)" + "|".join(rf"(?:\b{w.replace(chr(39), ' ?' + chr(39) + ' ?')}\b)" for w in words)
+    assert cells(P.has_contraction, tries) == cells(lambda c: F.regexp_like(c, F.lit(plain)), tries)
+    assert cells(lambda c: P.has_contraction(c, reverse=True), ["he is", "heis", "cannot", "x"]) == [True, False, True, False]
+
+
+def test_draws_are_compared_as_hexadecimals(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 3).alias("k"))
+    for p in (-1.0, 0.0, 1e-20, 0.1, 0.5, 0.999, 1.0, 2.0):
+        both = rows.select(noise.at_least(p, 1, F.col("k"), F.col("id")).alias("a"), (noise.draw(1, F.col("k"), F.col("id")) >= p).alias("b"))
+        assert both.where("NOT a <=> b").count() == 0
