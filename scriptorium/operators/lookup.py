@@ -6,36 +6,94 @@ and shuffles a large one. Distinct words are looked up, not tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..corpus import tokens
 from ..functions.text import FIVEDOT, java_quote, latin_letters, truncate_words
+from ..storage import stored
 from .counts import word_pairs
 
+#: Tokens of a block, and rows that are looked at together while it is filled.
+BLOCK_TOKENS, SLICE_ROWS = 1 << 19, 1 << 10
+
 
 def last_of(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """One row a key: the value of the last one in order."""
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def map_tokens(lines: DataFrame, mapping: DataFrame, keys: Sequence[str], column: str = "line", key_of: Callable[[Column], Column] = lambda t: t, restore: Callable[[Column, Column], Column] = lambda t, to: to) -> DataFrame:
-    """Replaces tokens by the mapping's (src, trg); tokens without an entry stay.
-
-    The tokens of a line are exploded with their places, joined and put together again by an aggregation on the line's
-    key, so neither table has to fit anywhere.
+def _blocks(lines: DataFrame, column: str, block_tokens: int) -> DataFrame:
+    """(block, rows, sizes, at, words), written: the rows of a block without ``column``, their numbers of tokens, the place
+    of every token in ``words``, and the different tokens."""
+    rest = [c for c in lines.columns if c != column]
+    split = lines.select(tokens(column).alias("__t"), *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            texts = whole.column(0).combine_chunks()
+            coded = texts.flatten().dictionary_encode()
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(texts), 0)).astype(np.int32)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.drop_columns("__t").schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole.drop_columns("__t"))
+            words = coded.dictionary.cast(pa.string())
+            packed = [pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), sizes.tobytes(), np.asarray(coded.indices).astype(np.int32).tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array([task + made], pa.int64()), *packed, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["block", "rows", "sizes", "at", "words"])
+
+        for batch in batches:
+            for a in range(0, len(batch), SLICE_ROWS):
+                held.append(batch.slice(a, SLICE_ROWS))
+                n += len(held[-1].column(0).flatten())
+                if n >= block_tokens:
+                    yield block()
+                    made, held, n = made + 1, [], 0
+        if held:
+            yield block()
+
+    return stored(split.mapInArrow(run, "block long, rows binary, sizes binary, at binary, words array<string>"), "token-blocks")
+
+
+def map_tokens(lines: DataFrame, mapping: DataFrame, keys: Sequence[str], column: str = "line", key_of: Callable[[Column], Column] = lambda t: t, restore: Callable[[Column, Column], Column] = lambda t, to: to, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Replaces tokens by the mapping's (src, trg); tokens without an entry stay. A source has one entry.
+
+    Lines are written in blocks of about ``block_tokens`` tokens. Only the different tokens of a block are joined to the
+    mapping, so neither table has to fit anywhere, and those that change go back to their block.
     """
-    at = lines.select(*keys, F.posexplode_outer(tokens(column)).alias("__at", "__t"))
-    joined = at.withColumn("src", key_of(F.col("__t"))).join(mapping.select("src", "trg"), "src", "left")
-    word = F.when(F.col("trg").isNull(), F.col("__t")).otherwise(restore(F.col("__t"), F.col("trg")))
-    text = joined.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__t").isNotNull(), F.struct("__at", word.alias("w"))))), lambda x: x["w"]), " ").alias("__new"))
-    rest = [c for c in lines.columns if c not in (*keys, column)]
-    if not rest:
-        return text.select(*keys, F.col("__new").alias(column))
-    return lines.drop(column).join(text, list(keys)).withColumn(column, F.col("__new")).select(lines.columns)
+    order = list(lines.columns) if set(lines.columns) - {*keys, column} else [*keys, column]
+    rest = [c for c in lines.columns if c != column]
+    blocks = _blocks(lines.select(*order), column, block_tokens)
+    each = blocks.select("block", F.posexplode("words").alias("i", "t")).withColumn("src", key_of(F.col("t")))
+    joined = each.join(mapping.select("src", "trg"), "src").where(F.col("trg").isNotNull())
+    changed = joined.select("block", F.struct("i", restore(F.col("t"), F.col("trg")).alias("w")).alias("x"))
+    found = changed.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(len(batch)):
+                rows, sizes, at, words, new = (c[j] for c in batch.columns)
+                said = words.values.to_pylist()
+                for i, w in (zip(*(new.values.field(k).to_pylist() for k in range(2))) if new.is_valid else ()):
+                    said[i] = w
+                ends = np.append(0, np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32), dtype=np.int64)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(said, pa.string()).take(pa.array(np.frombuffer(at.as_buffer(), np.int32))))
+                whole = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
+                columns = dict(zip(rest, (whole.column(k).combine_chunks() for k in range(len(rest))))) | {column: pc.binary_join(lists, " ")}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
+
+    schema = T.StructType([T.StructField(c, T.StringType()) if c == column else lines.schema[c] for c in order])
+    # Blocks are large and few; what is joined to them is their own.
+    return blocks.join(found.hint("merge"), "block", "left").select("rows", "sizes", "at", "words", "found").mapInArrow(run, schema)
 
 
 def unmapped(lines: DataFrame, mapping: DataFrame, column: str = "line", key_of: Callable[[Column], Column] = lambda t: t) -> DataFrame:

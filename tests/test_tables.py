@@ -71,6 +71,19 @@ def test_retokenize_in_slices(spark, monkeypatch):
     assert [r["refs"] for r in out][:2] == [[make(text), None], None] and {(r["bl"], r["sys"]) for r in out} == {(make(text), make("a.b"))}
 
 
+def test_mapping_moves_different_tokens_of_blocks(spark):
+    rows = [(i, None if i == 3 else f"a b{i % 3} a  c", i * 1.5) for i in range(30)] + [(30, "", 1.0), (4, "c c", 2.0)]
+    x = spark.createDataFrame(rows, "line_no long, line string, n double")
+    mapping = spark.createDataFrame([("a", "A B"), ("b1", "é")], "src string, trg string")
+    want = sorted((i, " ".join({"a": "A B", "b1": "é"}.get(t, t) for t in (line or "").split()), n) for i, line, n in rows)
+    for size in (1, 7, 1 << 19):
+        made = lookup.map_tokens(x, mapping, O, block_tokens=size)
+        assert table(made, "line_no", "line", "n") == want and made.columns == x.columns
+    narrow = lookup.map_tokens(x.select("line", "line_no"), mapping, O)
+    assert narrow.columns == ["line_no", "line"] and table(narrow, "line_no", "line") == [w[:2] for w in want]
+    assert lookup.map_tokens(x.limit(0), mapping, O).count() == 0
+
+
 def test_merges_against_recounting(spark, monkeypatch):
     vocabulary = [("aaaa", 3), ("aaaaa", 2), ("abab", 4), ("babaa", 4), ("cabab", 1), ("éa", 2), ("b", 9)]
     words, merges = {tuple(w) + (bpe.END,): n for w, n in vocabulary}, []
