@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,11 +78,37 @@ def join_lines(lines: list[str], max_chars: int = 75, most_chars: int = 500, mos
 
 
 def join_sentences(df: DataFrame, group: str, order: str, column: str = "line") -> DataFrame:
-    """``join_lines`` over the lines of each group, which one task holds at a time; ``part`` numbers the new lines."""
+    """``join_lines`` over the lines of each group, of which one at a time is held; ``part`` numbers the new lines."""
     kind = df.schema[group].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = join_lines(pdf.sort_values(order)[column].fillna("").tolist())
-        return pd.DataFrame({group: pdf[group].iloc[0], "part": range(len(lines)), column: lines})
-
-    return df.select(group, order, column).groupBy(group).applyInPandas(run, f"{group} {kind}, part long, {column} string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, some = None, [], None
+        groups, parts, texts = [], [], []
+
+        def flush() -> None:
+            made = join_lines(lines)
+            groups.extend([now] * len(made))
+            parts.extend(range(len(made)))
+            texts.extend(made)
+            lines.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(groups, some), pa.array(parts, pa.int64()), pa.array(texts, pa.string())], names=[group, "part", column])
+            for x in (groups, parts, texts):
+                x.clear()
+            return out
+
+        for batch in batches:
+            some = batch.schema.field(0).type
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lines and g != now and (g == g or now == now):  # a NaN is no other than a NaN
+                    flush()
+                now = g
+                lines.append(text)
+            yield batch_of()
+        flush()
+        if some is not None:
+            yield batch_of()
+
+    rows = df.select(group, order, F.coalesce(column, F.lit("")).alias(column)).repartition(group).sortWithinPartitions(group, F.col(order).asc_nulls_last())
+    return rows.select(group, column).mapInArrow(run, f"{group} {kind}, part long, {column} string")

@@ -84,6 +84,18 @@ def test_mapping_moves_different_tokens_of_blocks(spark):
     assert lookup.map_tokens(x.limit(0), mapping, O).count() == 0
 
 
+def test_sentences_joined_in_a_stream_of_groups(spark):
+    texts_ = {g: [f"{'A' if i % 4 == 0 else 'b'} c{g or 0} d{'.' if i % 5 == 0 else ''}" if (i + (g or 0)) % 7 else None for i in range(1 + (g or 0) % 9)] for g in [*range(60), None]}
+    rows = [(g, i, t) for g, ts in texts_.items() for i, t in enumerate(ts)]
+    x = spark.createDataFrame(sorted(rows, key=lambda r: hash(r) % 97), "g int, i int, line string")
+    made = blocks.join_sentences(x, "g", "i")
+    assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = [(g, i, t) for g, ts in texts_.items() for i, t in enumerate(blocks.join_lines([t or "" for t in ts]))]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(map(tuple, made.select("g", "part", "line").collect()), key=key) == sorted(want, key=key)
+    assert blocks.join_sentences(x.limit(0), "g", "i").count() == 0
+
+
 def test_merges_against_recounting(spark, monkeypatch):
     vocabulary = [("aaaa", 3), ("aaaaa", 2), ("abab", 4), ("babaa", 4), ("cabab", 1), ("éa", 2), ("b", 9)]
     words, merges = {tuple(w) + (bpe.END,): n for w, n in vocabulary}, []
